@@ -159,14 +159,14 @@ def actors(t: Tables) -> DataFrame:
 
 # --- window scores ----------------------------------------------------------------------------------------
 
-SCORES = EGO + """, scores AS (SELECT log_id, i, t_s AS t_start, t_s + 5e-2 AS t_end, speed / 500 AS s_a,
+SCORES = EGO + """, scores AS (SELECT log_id, i, t_s AS t_start, t_s + 5e-2 AS t_end, speed / 100 AS s_a,
     (event_id % 100) / 100.0 AS s_b, event_id FROM ego)"""
 
 
 def window_scores(t: Tables) -> DataFrame:
     """Two score columns per window, windows being consecutive samples of a log."""
     return ego_signal(t).select("log_id", "i", F.col("t_s").alias("t_start"), (F.col("t_s") + 0.05).alias("t_end"),
-                                (F.col("speed") / 500).alias("s_a"), (F.col("event_id") % 100 / 100.0).alias("s_b"),
+                                (F.col("speed") / 100).alias("s_a"), (F.col("event_id") % 100 / 100.0).alias("s_b"),
                                 "event_id")
 
 
