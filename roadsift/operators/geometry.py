@@ -129,24 +129,34 @@ def box_distance(df: DataFrame, out: str, a: dict, b: dict) -> DataFrame:
 
     In the frame of one box the distance to a corner of the other is a clamped coordinate difference, and
     disjoint convex shapes are nearest at a corner of one of them; overlap is the separating-axis test.
-    Sines, cosines and centres become columns first, so that no term is computed twice.
+    The terms are built up in small steps: one projection with all of them would compile to a method too
+    large for the JVM to optimise, and runs many times slower.
     """
+    names = df.columns
     ax, ay = city_to_ego(b["x"], b["y"], a["yaw"], a["x"], a["y"])
     bx, by = city_to_ego(a["x"], a["y"], b["yaw"], b["x"], b["y"])
     df = df.withColumns({"_c": F.cos(b["yaw"] - a["yaw"]), "_s": F.sin(b["yaw"] - a["yaw"]),
-                         "_ax": ax, "_ay": ay, "_bx": bx, "_by": by})
-    best, apart = None, F.lit(False)
-    for frame, box, cx, cy, sin in ((a, b, F.col("_ax"), F.col("_ay"), F.col("_s")), (b, a, F.col("_bx"), F.col("_by"), -F.col("_s"))):
-        hl, hw = frame["len"] / 2, frame["wid"] / 2
-        lx, ly = F.col("_c") * box["len"] / 2, sin * box["len"] / 2
-        wx, wy = -sin * box["wid"] / 2, F.col("_c") * box["wid"] / 2
-        for i in (1, -1):
-            for j in (1, -1):
-                d = F.hypot(F.greatest(F.abs(cx + lx * i + wx * j) - hl, F.lit(0.0)),
-                            F.greatest(F.abs(cy + ly * i + wy * j) - hw, F.lit(0.0)))
-                best = d if best is None else F.least(best, d)
-        apart = apart | (F.abs(cx) > hl + F.abs(lx) + F.abs(wx)) | (F.abs(cy) > hw + F.abs(ly) + F.abs(wy))
-    return df.withColumn(out, F.when(apart, best).otherwise(0.0)).drop("_c", "_s", "_ax", "_ay", "_bx", "_by")
+                         "_0x": ax, "_0y": ay, "_1x": bx, "_1y": by})
+    c, sides = F.col("_c"), ((a, b, F.col("_s")), (b, a, -F.col("_s")))
+    # half diagonals of the other box in each frame: corners are centre +- (px, py) and centre +- (qx, qy)
+    half = {}
+    for k, (_, box, s) in enumerate(sides):
+        half.update({f"_{k}px": (c * box["len"] - s * box["wid"]) / 2, f"_{k}py": (s * box["len"] + c * box["wid"]) / 2,
+                     f"_{k}qx": (c * box["len"] + s * box["wid"]) / 2, f"_{k}qy": (s * box["len"] - c * box["wid"]) / 2})
+    df = df.withColumns(half)
+    for k, (frame, _, _) in enumerate(sides):
+        df = df.withColumns({
+            f"_{k}{d}{sign}{x}": F.greatest(F.abs(F.col(f"_{k}{x}") + F.col(f"_{k}{d}{x}") * m) - frame[size] / 2, F.lit(0.0))
+            for d in "pq" for sign, m in (("a", 1.0), ("b", -1.0)) for x, size in (("x", "len"), ("y", "wid"))})
+    squares = [F.col(f"_{k}{d}{sign}x") * F.col(f"_{k}{d}{sign}x") + F.col(f"_{k}{d}{sign}y") * F.col(f"_{k}{d}{sign}y")
+               for k in (0, 1) for d in "pq" for sign in "ab"]
+    df = df.withColumn("_best", F.least(*squares))
+    apart = F.lit(False)
+    for k, (frame, _, _) in enumerate(sides):
+        for x, size in (("x", "len"), ("y", "wid")):
+            reach = F.greatest(F.abs(F.col(f"_{k}p{x}")), F.abs(F.col(f"_{k}q{x}")))
+            apart = apart | (F.abs(F.col(f"_{k}{x}")) > frame[size] / 2 + reach)
+    return df.select(*names, F.when(apart, F.sqrt("_best")).otherwise(0.0).alias(out))
 
 
 def softmin(d_cv: Column, d_ca: Column, a_norm: Column, tau: float = 0.3, a0: float = 0.8) -> Column:
@@ -155,19 +165,30 @@ def softmin(d_cv: Column, d_ca: Column, a_norm: Column, tau: float = 0.3, a0: fl
     return -tau * F.ln((1 - w) * F.exp(-d_cv / tau) + w * F.exp(-d_ca / tau) + 1e-12)
 
 
+def approach_columns(m: str = "m", dt: str = "dt") -> list[Column]:
+    low = F.col("_low")[m]
+    return [F.greatest(low, F.lit(0.0)).alias("dmin_m"), F.greatest(-low, F.lit(0.0)).alias("penetration_m"),
+            F.col("_low")[dt].alias("t_at_dmin_s")]
+
+
 def min_approach(rows: DataFrame, keys: Sequence[str], m: str = "m", dt: str = "dt") -> DataFrame:
     """GEO-10: smallest distance, its time offset (earliest on ties) and the penetration depth."""
-    low = rows.groupBy(*keys).agg(F.min(m).alias("_m"), F.min_by(dt, F.struct(m, dt)).alias("t_at_dmin_s"))
-    return low.select(*keys, F.greatest("_m", F.lit(0.0)).alias("dmin_m"), F.greatest(-F.col("_m"), F.lit(0.0)).alias("penetration_m"),
-                      "t_at_dmin_s")
+    low = rows.groupBy(*keys).agg(F.min(F.struct(m, dt)).alias("_low"))
+    return low.select(*keys, *approach_columns())
+
+
+def run_of(below: Column, k: Column, n: int) -> Column:
+    """Aggregate: whether ``n`` consecutive steps ``k`` (below 63) are true, through a bit mask per group."""
+    mask = F.bit_or(F.when(below, F.expr("bigint(1)") * F.pow(F.lit(2.0), k).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    hit = mask
+    for j in range(1, n):
+        hit = hit.bitwiseAND(F.shiftright(mask, j))
+    return hit != 0
 
 
 def sustained(rows: DataFrame, keys: Sequence[str], m: str = "m", k: str = "k", margin: float = 0.6, n: int = 2) -> DataFrame:
-    """GEO-11: whether ``n`` consecutive grid steps are below the margin (the grid has 21 steps per actor)."""
-    w = Window.partitionBy(*keys).orderBy(k)
-    below = F.when(F.col(m) < margin, 1).otherwise(0)
-    run = rows.withColumn("_run", F.sum(below).over(w.rowsBetween(-(n - 1), 0)))
-    return run.groupBy(*keys).agg((F.max("_run") >= n).alias("sustained_tight"))
+    """GEO-11: whether ``n`` consecutive grid steps (21 per actor) are below the margin; no sort is needed."""
+    return rows.groupBy(*keys).agg(run_of(F.col(m) < margin, F.col(k), n).alias("sustained_tight"))
 
 
 def p_overlap(dmin: Column, tight: Column, sigma: float = 1.5, decay: float = 0.6) -> Column:
@@ -235,77 +256,89 @@ def nest_actors(windows: DataFrame, kept: DataFrame, fields: Sequence[str], win:
 # --- map ----------------------------------------------------------------------------------------------------
 
 
-def _arc_points(pts: Column, k: int) -> Column:
-    """``k`` points at equal arc lengths along an array of {x, y} points."""
-    n = F.size(pts)
-    seg = F.sequence(F.lit(0), n - 2)
-    lens = F.transform(seg, lambda i: F.hypot(pts[i + 1]["x"] - pts[i]["x"], pts[i + 1]["y"] - pts[i]["y"]))
-    # cumulative length at the start of every segment
-    cum = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(F.slice(lens, 1, i), F.lit(0.0), lambda a, v: a + v))
-    bundle = F.array(F.struct(pts.alias("p"), cum.alias("c"), lens.alias("l")))
-
-    def place(b):
-        total = F.element_at(b["c"], -1)
-
-        def point(q):
-            at = F.when(q == k - 1, total).otherwise(total * q / (k - 1))
-            # first segment whose end is not before the wanted arc length
-            hit = F.coalesce(F.array_position(F.transform(F.slice(b["c"], 2, n - 1), lambda e: e >= at), True) - 1, F.lit(0))
-            hit = F.when(hit < 0, n - 2).otherwise(hit).cast("int")
-            r = F.greatest(F.lit(0.0), (at - b["c"][hit]) / F.greatest(b["l"][hit], F.lit(1e-9)))
-            return F.struct((b["p"][hit]["x"] + r * (b["p"][hit + 1]["x"] - b["p"][hit]["x"])).alias("x"),
-                            (b["p"][hit]["y"] + r * (b["p"][hit + 1]["y"] - b["p"][hit]["y"])).alias("y"))
-        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), point)
-    return F.transform(bundle, place)[0]
-
-
-def centerlines(lanes: DataFrame, k: int = 50, left: str = "left_pts", right: str = "right_pts") -> DataFrame:
-    """GEO-20: centreline of a lane: mean of both boundaries at ``k`` equal arc lengths (lanes are short arrays)."""
-    ok = (F.size(left) >= 2) & (F.size(right) >= 2)
-    mean = F.zip_with(_arc_points(F.col(left), k), _arc_points(F.col(right), k),
-                      lambda a, b: F.struct(((a["x"] + b["x"]) * 0.5).alias("x"), ((a["y"] + b["y"]) * 0.5).alias("y")))
-    return lanes.where(ok).withColumn("pts", mean)
-
-
-def nearest_segment(x: Column, y: Column, pts: Column) -> Column:
-    """Nearest segment of a polyline as struct(d, seg, theta); the first one on ties."""
-    def one(i):
-        ax, ay = pts[i]["x"], pts[i]["y"]
-        bx, by = pts[i + 1]["x"] - ax, pts[i + 1]["y"] - ay
-        s = F.least(F.greatest(((x - ax) * bx + (y - ay) * by) / (bx * bx + by * by + 1e-12), F.lit(0.0)), F.lit(1.0))
-        return F.struct(F.hypot(x - ax - s * bx, y - ay - s * by).alias("d"), i.alias("seg"), F.atan2(by, bx).alias("theta"))
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.size(pts) - 2), one))
+def centerlines(lanes: DataFrame, k: int = 50, left: str = "left_pts", right: str = "right_pts",
+                log: str = "log_id") -> DataFrame:
+    """GEO-20: points ``k`` of the centreline of each lane: mean of both boundaries at equal arc lengths.
+
+    A boundary is a short point list, so its arc lengths are an ordered sum within the lane.
+    """
+    key = [log, "feature_id"]
+    both = lanes.where((F.size(left) >= 2) & (F.size(right) >= 2)).select(*key, F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col(left).alias("p")), F.struct(F.lit(1).alias("side"), F.col(right).alias("p"))))
+        .alias("b")).select(*key, "b.side", F.col("b.p").alias("pts"))
+    segs = line_segments(both).withColumn("len", F.hypot("ux", "uy"))
+    w = Window.partitionBy(*key, "side").orderBy("seg")
+    whole = Window.partitionBy(*key, "side")
+    segs = segs.withColumns({"end": F.sum("len").over(w), "total": F.sum("len").over(whole), "last": F.max("seg").over(whole)})
+    grid = segs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn(
+        "at", F.col("total") * F.col("k") / (k - 1))
+    # the first segment that reaches the wanted arc length; the last point closes the line
+    holds = (F.col("at") <= F.col("end")) | (F.col("seg") == F.col("last"))
+    hit = grid.where(holds).groupBy(*key, "side", "k").agg(
+        F.min_by(F.struct("sx", "sy", "ux", "uy", "len", "end", "at"), "seg").alias("h"))
+    share = F.when(F.col("k") == k - 1, 1.0).otherwise(
+        (F.col("h.at") - (F.col("h.end") - F.col("h.len"))) / F.greatest(F.col("h.len"), F.lit(1e-9)))
+    points = hit.select(*key, "k", (F.col("h.sx") + share * F.col("h.ux")).alias("x"),
+                        (F.col("h.sy") + share * F.col("h.uy")).alias("y"))
+    return points.groupBy(*key, "k").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def _nano(d: Column) -> Column:
+    """Distance in whole nanometres: equal distances tie whatever the order of their roundings."""
+    return F.floor(d * 1e9 + 0.5)
+
+
+def line_segments(lines: DataFrame, pts: str = "pts") -> DataFrame:
+    """One row per polyline segment: ``seg``, its start (sx, sy), extent (ux, uy) and heading ``theta``."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(pts) - 2), lambda i: F.struct(
+        i.alias("seg"), F.col(pts)[i]["x"].alias("sx"), F.col(pts)[i]["y"].alias("sy"),
+        (F.col(pts)[i + 1]["x"] - F.col(pts)[i]["x"]).alias("ux"), (F.col(pts)[i + 1]["y"] - F.col(pts)[i]["y"]).alias("uy")))
+    segs = lines.where(F.size(pts) >= 2).withColumn("_p", F.explode(pairs)).select(*lines.columns, "_p.*").drop(pts)
+    return segs.withColumn("theta", F.atan2("uy", "ux"))
+
+
+def segment_distance(df: DataFrame, out: str = "d") -> DataFrame:
+    """Distance of point (x, y) to segment (sx, sy) + s (ux, uy)."""
+    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    along = (dx * F.col("ux") + dy * F.col("uy")) / (F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy") + 1e-12)
+    df = df.withColumn("_along", F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)))
+    return df.withColumn(out, F.hypot(dx - F.col("_along") * F.col("ux"), dy - F.col("_along") * F.col("uy"))).drop("_along")
 
 
 def nearest_on_polyline(points: DataFrame, lines: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
     """GEO-21: per point the nearest polyline of its log with distance, segment index and segment heading.
 
-    One join on the log (its map is bounded; adaptive skew handling splits a log with most points) and a
-    combinable minimum per point.
+    The map is cut into segments before one join on the log (a log's map is bounded; adaptive skew handling
+    splits a log with most points), and the minimum per point is combinable.
     """
-    pairs = points.select(log, point, "x", "y").join(lines.select(log, "feature_id", "pts").where(F.size("pts") >= 2), log)
-    hit = pairs.withColumn("_n", nearest_segment(F.col("x"), F.col("y"), F.col("pts")))
-    best = hit.groupBy(point).agg(F.min(F.struct(F.col("_n.d").alias("d"), "feature_id", F.col("_n.seg").alias("seg"),
-                                                 F.col("_n.theta").alias("theta"))).alias("b"))
+    segs = line_segments(lines.select(log, "feature_id", "pts"))
+    hit = segment_distance(points.select(log, point, "x", "y").join(segs, log))
+    best = hit.groupBy(point).agg(F.min_by(F.struct("feature_id", "seg", "d", "theta"),
+                                           F.struct(_nano(F.col("d")).alias("q"), "feature_id", "seg")).alias("b"))
     return best.select(point, "b.*")
 
 
-def inside(x: Column, y: Column, pts: Column) -> Column:
-    """Even-odd rule for a point and a ring of {x, y} points."""
+def ring_edges(polygons: DataFrame, pts: str = "pts") -> DataFrame:
+    """One row per polygon edge (x0, y0) -> (x1, y1), the last point closing the ring."""
     n = F.size(pts)
+    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        F.col(pts)[i]["x"].alias("x1"), F.col(pts)[i]["y"].alias("y1"),
+        F.col(pts)[F.pmod(i - 1 + n, n)]["x"].alias("x0"), F.col(pts)[F.pmod(i - 1 + n, n)]["y"].alias("y0")))
+    return polygons.where(n >= 3).withColumn("_e", F.explode(edges)).select(*polygons.columns, "_e.*").drop(pts)
+
 
-    def crosses(i):
-        p1, p0 = pts[i], pts[F.when(i == 0, n - 1).otherwise(i - 1)]
-        cut = ((p1["y"] > y) != (p0["y"] > y)) & (
-            x < (p1["x"] - p0["x"]) * (y - p0["y"]) / (p1["y"] - p0["y"] + 1e-12) + p0["x"])
-        return cut
-    return (n >= 3) & (F.size(F.filter(F.sequence(F.lit(0), n - 1), crosses)) % 2 == 1)
+def crossing() -> Column:
+    """Whether the edge crosses the ray from (x, y) to the right."""
+    x, y, x0, y0, x1, y1 = (F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1"))
+    return ((y1 > y) != (y0 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0 + 1e-12) + x0)
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
-    """GEO-22: per point whether any polygon of its log contains it."""
-    pairs = points.select(log, point, "x", "y").join(polygons.select(log, "pts"), log)
-    return pairs.groupBy(point).agg(F.bool_or(inside(F.col("x"), F.col("y"), F.col("pts"))).alias("inside"))
+    """GEO-22: per point whether any polygon of its log contains it (even-odd rule over its edges)."""
+    edges = ring_edges(polygons.select(log, "feature_id", "pts"))
+    hits = points.select(log, point, "x", "y").join(edges, log).groupBy(point, "feature_id").agg(
+        F.count_if(crossing()).alias("n"))
+    return hits.groupBy(point).agg(F.bool_or(F.col("n") % 2 == 1).alias("inside"))
 
 
 def angle_diff(a: Column, b: Column) -> Column:
@@ -316,26 +349,31 @@ def angle_diff(a: Column, b: Column) -> Column:
 def map_cues(points: DataFrame, features: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
     """GEO-23: five map cues per point from the lanes, crosswalk edges and drivable areas of its log.
 
-    ``features`` has kind (lane / crosswalk / drivable), is_intersection and pts.  All cues are conditional
-    minima of one join, so the map is read and shuffled once.
+    ``features`` has kind (lane / crosswalk / drivable), is_intersection and pts.  The map is cut
+    into segments first, so that the join carries plain columns and every cue is a combinable minimum.
     """
-    pairs = points.select(log, point, "x", "y", "heading").join(
-        features.select(log, "kind", "feature_id", "is_intersection", "pts"), log, "left")
-    lane, cross, area = (F.col("kind") == k for k in ("lane", "crosswalk", "drivable"))
-    near = F.when(F.col("kind").isin("lane", "crosswalk") & (F.size("pts") >= 2),
-                  nearest_segment(F.col("x"), F.col("y"), F.col("pts")))
-    df = pairs.withColumn("_n", near).withColumn("_in", F.when(area, inside(F.col("x"), F.col("y"), F.col("pts"))))
-    d, theta = F.col("_n.d"), F.col("_n.theta")
-    ahead = cross & (F.abs(angle_diff(theta, F.col("heading"))) < math.pi / 2)
-    best = df.groupBy(point).agg(
-        F.min(F.when(lane, F.struct(d.alias("d"), F.col("feature_id").alias("f"),
-                                    F.cos(F.col("heading") - theta).alias("cos")))).alias("lane"),
+    spots = points.select(log, point, "x", "y", "heading")
+    segs = line_segments(features.where("kind IN ('lane', 'crosswalk')").select(
+        log, "kind", "feature_id", "is_intersection", "pts"))
+    df = segment_distance(spots.join(segs, log))
+    lane, cross = F.col("kind") == "lane", F.col("kind") == "crosswalk"
+    # nearest segment of every line, then the nearest lines
+    per_line = df.groupBy(point, "kind", "feature_id", "is_intersection").agg(
+        F.min_by(F.struct("d", "theta", "heading"), F.struct(_nano(F.col("d")).alias("q"), "seg")).alias("n"))
+    d = F.col("n.d")
+    turn = F.col("n.heading") - F.col("n.theta")
+    ahead = cross & (F.abs(angle_diff(F.col("n.theta"), F.col("n.heading"))) < math.pi / 2)
+    best = per_line.groupBy(point).agg(
+        F.min_by(F.struct(d.alias("d"), F.cos(turn).alias("cos")),
+                 F.when(lane, F.struct(_nano(d).alias("q"), "feature_id"))).alias("lane"),
         F.min(F.when(cross, d)).alias("dist_to_crosswalk_m"), F.min(F.when(ahead, d)).alias("_ahead"),
-        F.min(F.when(lane & F.col("is_intersection"), d)).alias("_inter"), F.bool_or("_in").alias("_inside"))
-    drivable = F.coalesce(F.col("_inside"), F.col("lane.d") < 3.5, F.lit(False))
-    return best.select(point, F.col("lane.d").alias("map_lane_offset_m"), F.col("lane.cos").alias("map_lane_alignment_cos"),
-                       F.coalesce("_ahead", "_inter").alias("dist_to_stopline_m"), "dist_to_crosswalk_m",
-                       drivable.cast("double").alias("in_drivable_area"))
+        F.min(F.when(lane & F.col("is_intersection"), d)).alias("_inter"))
+    area = point_in_polygon(points, features.where("kind = 'drivable'"), point, log)
+    out = points.select(point).join(best, point, "left").join(area, point, "left")
+    drivable = F.coalesce(F.col("inside"), F.col("lane.d") < 3.5, F.lit(False))
+    return out.select(point, F.col("lane.d").alias("map_lane_offset_m"), F.col("lane.cos").alias("map_lane_alignment_cos"),
+                      F.coalesce("_ahead", "_inter").alias("dist_to_stopline_m"), "dist_to_crosswalk_m",
+                      drivable.cast("double").alias("in_drivable_area"))
 
 
 # --- the whole tagger ---------------------------------------------------------------------------------------
@@ -358,7 +396,10 @@ def tag_actors(states: DataFrame, ego: DataFrame, horizon: float = 4.0, step: fl
         return {"x": F.col(f"{p}_x"), "y": F.col(f"{p}_y"), "len": F.col("length_m"), "wid": F.col("width_m"), "yaw": F.col(f"{p}_yaw")}
     both = box_distance(box_distance(rolled, "_d_cv", ego_box, box("cv")), "_d_ca", ego_box, box("ca"))
     m = both.select(*keys, "k", "dt", softmin(F.col("_d_cv"), F.col("_d_ca"), F.col("a_norm")).alias("m"))
-    scored = base.join(min_approach(m, keys), keys).join(sustained(m, keys), keys)
+    # both per-actor results in one pass over the grid
+    low = m.groupBy(*keys).agg(F.min(F.struct("m", "dt")).alias("_low"),
+                               run_of(F.col("m") < 0.6, F.col("k"), 2).alias("sustained_tight"))
+    scored = base.join(low.select(*keys, *approach_columns(), "sustained_tight"), keys)
     x, y = city_to_ego(F.col("x0"), F.col("y0"), F.col("eyaw"), F.col("ex"), F.col("ey"))
     scored = scored.withColumn("x_rel_m", x).withColumn("y_rel_m", y)
     bearing, sector = bearing_sector(F.col("x_rel_m"), F.col("y_rel_m"))

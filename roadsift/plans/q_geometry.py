@@ -75,16 +75,16 @@ def _fit_sql():
         sum(y*dt*dt) AS qy2 FROM s GROUP BY ALL),
       f AS (SELECT *, CASE WHEN n >= 3 THEN n END AS q, (n*qx1 - s1*qx0) / (n*s2 - s1*s1) AS lx, (n*qy1 - s1*qy0) / (n*s2 - s1*s1) AS ly,
         {reg('x')}, {reg('y')} FROM m)
-      SELECT window_key, track_uuid, n_samples, floor(100 * CASE WHEN n >= 3 THEN xq0 ELSE (qx0 - lx*s1) / n END + 0.5) AS x0,
-        floor(100 * CASE WHEN n >= 3 THEN xq1 ELSE lx END + 0.5) AS vx, floor(100 * CASE WHEN n >= 3 THEN yq0 ELSE (qy0 - ly*s1) / n END + 0.5) AS y0,
-        floor(100 * CASE WHEN n >= 3 THEN yq1 ELSE ly END + 0.5) AS vy FROM f"""
+      SELECT window_key, track_uuid, n_samples, floor(97.31e0 * CASE WHEN n >= 3 THEN xq0 ELSE (qx0 - lx*s1) / n END + 0.5) AS x0,
+        floor(97.31e0 * CASE WHEN n >= 3 THEN xq1 ELSE lx END + 0.5) AS vx, floor(97.31e0 * CASE WHEN n >= 3 THEN yq0 ELSE (qy0 - ly*s1) / n END + 0.5) AS y0,
+        floor(97.31e0 * CASE WHEN n >= 3 THEN yq1 ELSE ly END + 0.5) AS vy FROM f"""
 
 
 @query("geo_02_fit_state", ACTOR + " n_samples:n x0:n vx:n y0:n vy:n", _fit_sql())
 def geo_02(t):
-    """In whole hundredths: three close samples extrapolate far, which magnifies rounding."""
+    """In steps of about a hundredth: three close samples extrapolate far, which magnifies rounding."""
     fit = G.fit_state(pairs(t))
-    return fit.withColumns({c: F.floor(F.col(c) * 100 + 0.5) for c in ("x0", "vx", "y0", "vy")})
+    return fit.withColumns({c: F.floor(F.col(c) * 97.31 + 0.5) for c in ("x0", "vx", "y0", "vy")})
 
 
 @query("geo_03_near_event", ACTOR + " i:n t0:d", f"WITH {TRACKS} SELECT * FROM pairs")
@@ -189,7 +189,7 @@ def geo_10(t):
 
 
 @query("geo_11_sustained", "window_key:s sustained_tight:b",
-       f"WITH {STEPS}, r AS (SELECT window_key, m < 0.6 AND coalesce(lag(m) OVER (PARTITION BY window_key ORDER BY k) < 0.6, FALSE) AS two FROM steps) "
+       f"WITH {STEPS}, r AS (SELECT window_key, m < 0.6 AND coalesce(lag(m) OVER w < 0.6 AND lag(k) OVER w = k - 1, FALSE) AS two FROM steps WINDOW w AS (PARTITION BY window_key ORDER BY k)) "
        "SELECT window_key, bool_or(two) AS sustained_tight FROM r GROUP BY window_key")
 def geo_11(t):
     return G.sustained(steps(t), ["window_key"])
@@ -306,9 +306,9 @@ def map_points(t):
 
 
 def _arc_sql(col):
-    return (f"(SELECT feature_id, q, CASE WHEN q = 49 THEN px[5] ELSE px[h] + (at - c[h]) / greatest(l[h], 1e-9) * (px[h+1] - px[h]) END AS x, "
-            f"CASE WHEN q = 49 THEN py[5] ELSE py[h] + (at - c[h]) / greatest(l[h], 1e-9) * (py[h+1] - py[h]) END AS y FROM (SELECT *, "
-            f"CASE WHEN c[2] >= at THEN 1 WHEN c[3] >= at THEN 2 WHEN c[4] >= at THEN 3 ELSE 4 END AS h FROM (SELECT *, c[5] * q / 49 AS at FROM (SELECT *, "
+    return (f"(SELECT feature_id, q, CASE WHEN q = 49 THEN px[5] ELSE px[h] + (arc - c[h]) / greatest(l[h], 1e-9) * (px[h+1] - px[h]) END AS x, "
+            f"CASE WHEN q = 49 THEN py[5] ELSE py[h] + (arc - c[h]) / greatest(l[h], 1e-9) * (py[h+1] - py[h]) END AS y FROM (SELECT *, "
+            f"CASE WHEN c[2] >= arc THEN 1 WHEN c[3] >= arc THEN 2 WHEN c[4] >= arc THEN 3 ELSE 4 END AS h FROM (SELECT *, c[5] * q / 49 AS arc FROM (SELECT *, "
             f"[0e0, l[1], l[1]+l[2], l[1]+l[2]+l[3], l[1]+l[2]+l[3]+l[4]] AS c FROM (SELECT feature_id, [p.x for p in {col}] AS px, [p.y for p in {col}] AS py, "
             f"[sqrt(pow({col}[k+1].x-{col}[k].x,2)+pow({col}[k+1].y-{col}[k].y,2)) for k in range(1,5)] AS l FROM mapf WHERE kind = 'lane')), range(0, 50) AS r(q))))")
 
@@ -318,11 +318,11 @@ def _arc_sql(col):
        f"JOIN {_arc_sql('right_pts')} AS b ON a.feature_id = b.feature_id AND a.q = b.q")
 def geo_20(t):
     lanes = map_features(t).where("kind = 'lane'").withColumnRenamed("pts", "left_pts")
-    return G.centerlines(lanes).select("feature_id", F.posexplode("pts").alias("k", "p")).select("feature_id", "k", "p.x", "p.y")
+    return G.centerlines(lanes)
 
 
 @query("geo_21_nearest_on_polyline", "point_id:s d:d feature_id:n seg:n theta:d",
-       f"WITH {MAPS} SELECT point_id, d, feature_id, seg, theta FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 9), feature_id, seg) AS rn "
+       f"WITH {MAPS} SELECT point_id, d, feature_id, seg, theta FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY floor(d * 1e9 + 0.5), feature_id, seg) AS rn "
        "FROM segd WHERE kind = 'lane') WHERE rn = 1")
 def geo_21(t):
     return G.nearest_on_polyline(map_points(t), map_features(t).where("kind = 'lane'"))
@@ -334,9 +334,9 @@ def geo_22(t):
 
 
 @query("geo_23_map_cues", "point_id:s map_lane_offset_m:d map_lane_alignment_cos:d dist_to_stopline_m:d dist_to_crosswalk_m:d in_drivable_area:d",
-       f"WITH {MAPS}, lane AS (SELECT point_id, d, cos(heading - theta) AS al FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 9), feature_id, seg) AS rn "
+       f"WITH {MAPS}, lane AS (SELECT point_id, d, cos(heading - theta) AS al FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY floor(d * 1e9 + 0.5), feature_id, seg) AS rn "
        f"FROM segd WHERE kind = 'lane') WHERE rn = 1), c AS (SELECT point_id, min(d) FILTER (kind = 'crosswalk') AS cw, min(d) FILTER (is_intersection) AS it FROM segd GROUP BY point_id), "
-       f"cf AS (SELECT point_id, min(d) AS ah FROM (SELECT *, row_number() OVER (PARTITION BY point_id, feature_id ORDER BY round(d, 9), seg) AS rn FROM segd WHERE kind = 'crosswalk') "
+       f"cf AS (SELECT point_id, min(d) AS ah FROM (SELECT *, row_number() OVER (PARTITION BY point_id, feature_id ORDER BY floor(d * 1e9 + 0.5), seg) AS rn FROM segd WHERE kind = 'crosswalk') "
        f"WHERE rn = 1 AND abs((((theta - heading + {math.pi!r}) % {2 * math.pi!r}) + {2 * math.pi!r}) % {2 * math.pi!r} - {math.pi!r}) < {math.pi / 2!r} GROUP BY point_id) "
        "SELECT m.point_id, lane.d AS map_lane_offset_m, lane.al AS map_lane_alignment_cos, coalesce(cf.ah, c.it) AS dist_to_stopline_m, c.cw AS dist_to_crosswalk_m, "
        "CASE WHEN coalesce(poly.inside, lane.d < 3.5, FALSE) THEN 1.0 ELSE 0.0 END AS in_drivable_area FROM mpts AS m LEFT JOIN lane USING (point_id) LEFT JOIN c USING (point_id) "

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadsift.session import tune
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -53,7 +55,7 @@ def query(name: str, spec: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: finish(fn(Tables(spark, sf_dir)), spec)
+        QUERIES[name] = lambda spark, sf_dir: finish(fn(Tables(tune(spark), sf_dir)), spec)
         if sql is not None:
             cols = ", ".join(f"{SQL_CAST[kind].format(c=col)} AS {col}" for col, kind in parse(spec))
             ORACLES[name] = f"SELECT {cols} FROM ({sql}) AS answer"
