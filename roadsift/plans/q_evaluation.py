@@ -9,13 +9,13 @@ from roadsift.plans.q_pu import PU, pu
 from roadsift.plans.registry import query
 
 # ground truth of every second log is moved far away, so that all matching rules occur
-BASE = GT + """, g2 AS (SELECT log_id, g_start + s AS g_start, g_end + s AS g_end, scenario_label FROM (SELECT *, CASE WHEN CAST(log_id AS INT) % 2 = 0 THEN 10e0 ELSE 0e0 END AS s FROM gt)),
+BASE = GT + """, gg AS (SELECT log_id, g_start + s AS g_start, g_end + s AS g_end, scenario_label FROM (SELECT *, CASE WHEN CAST(log_id AS INT) % 2 = 0 THEN 10e0 ELSE 0e0 END AS s FROM gt)),
 wn AS (SELECT log_id, window_key, t_start, t_end, 0.5 * (t_start + t_end) AS centre, i_start, least(-a_min_ms2 / 5000, 1.0) AS score FROM windows),
 preds AS (SELECT window_key, r AS rank, 't' || ((i_start + r) % 5) AS track_uuid, 1e0 / r + (i_start % 7) / 100e0 AS score FROM wn, range(1, 4) AS x(r) WHERE i_start % 11 <> 0),
 tg AS (SELECT CAST(c_custkey AS VARCHAR) AS log_id, 't' || (c_custkey % 5) AS track_uuid FROM customer WHERE c_custkey % 6 <> 0),
 teach AS (SELECT window_key, 't' || ((i_start + r * 2) % 5) AS track_uuid, 1e0 / (1 + r) AS q FROM wn, range(0, 5) AS x(r)),
 hits AS (SELECT log_id, window_key, centre, min(rank) AS rank, max(p.score) AS score FROM preds AS p JOIN wn USING (window_key) JOIN tg USING (log_id, track_uuid) GROUP BY ALL),
-gi AS (SELECT *, 0.5 * (g_start + g_end) AS gc FROM g2),
+gi AS (SELECT *, 0.5 * (g_start + g_end) AS gc FROM gg),
 cn AS (SELECT gi.*, w.window_key, w.centre, h.rank, h.score AS hs, greatest(0, least(g_end, t_end) - greatest(g_start, t_start)) AS inter, t_start, t_end FROM gi JOIN wn AS w USING (log_id) LEFT JOIN hits AS h ON h.window_key = w.window_key),
 cr AS (SELECT *, abs(centre - gc) AS dt, inter / ((g_end - g_start) + (t_end - t_start) - inter) AS iou, CASE WHEN rank IS NOT NULL AND abs(centre - gc) <= 3 THEN 0 WHEN rank IS NOT NULL THEN 1 ELSE 2 END AS cls FROM cn),
 pk AS (SELECT *, row_number() OVER (PARTITION BY log_id, g_start, g_end ORDER BY cls, CASE WHEN cls < 2 THEN rank END, CASE WHEN cls < 2 THEN -hs END, CASE WHEN cls < 2 THEN dt END, -iou, centre, window_key) AS k FROM cr),
@@ -133,7 +133,7 @@ def evl_09_summary(t):
     return V.temporal_summary(V.temporal_quality(gt(t), wins(t)))
 
 
-@query("evl_10_detection_recall", "scenario:s n_gt:n covered:n recall:d", f"WITH {BASE}, c AS (SELECT g.*, CASE WHEN EXISTS (SELECT 1 FROM ov WHERE ov.log_id = g.log_id AND ov.g_start = g.g_start AND ov.g_end = g.g_end) THEN 1 ELSE 0 END AS h FROM g2 AS g) "
+@query("evl_10_detection_recall", "scenario:s n_gt:n covered:n recall:d", f"WITH {BASE}, c AS (SELECT g.*, CASE WHEN EXISTS (SELECT 1 FROM ov WHERE ov.log_id = g.log_id AND ov.g_start = g.g_start AND ov.g_end = g.g_end) THEN 1 ELSE 0 END AS h FROM gg AS g) "
        "SELECT scenario_label AS scenario, count(*) AS n_gt, sum(h) AS covered, avg(h) AS recall FROM c GROUP BY 1 UNION ALL SELECT 'ALL', count(*), sum(h), avg(h) FROM c")
 def evl_10(t):
     return V.detection_recall(gt(t), wins(t))
