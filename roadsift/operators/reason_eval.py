@@ -160,8 +160,8 @@ def parse_reviews(raw: DataFrame, aliases: dict = ALIASES) -> DataFrame:
 
 def human_alignment(trace: DataFrame, human: DataFrame, labels: Sequence[str], aliases: dict = ALIASES) -> DataFrame:
     """S6-09: agreement of each backend with reviewed windows: scenario, first actor, any of three, both."""
-    backends = trace.select("backend_id").distinct()
-    grid = human.withColumn("_j", F.lit(1)).join(backends.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    backends = trace.agg(F.collect_set("backend_id")).scalar()  # a handful of configured backends
+    grid = human.withColumn("backend_id", F.explode(backends))
     j = grid.join(trace, ["backend_id", "window_key"], "left").withColumn("_p", norm_label(F.col("llm_label"), aliases)).withColumn("_t", F.col("human_label"))
     same = (F.coalesce("_t", F.lit("other")) == F.coalesce("_p", F.lit("other"))).cast("double")
     has = F.coalesce(F.col("human_track") != "", F.lit(False))
