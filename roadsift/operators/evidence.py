@@ -111,9 +111,10 @@ def is_close() -> Column:
             | ok(F.col("distance_bucket").isin("very_close", "close") & (t <= 3)))
 
 
-def is_stationary(eps: float = 0.2) -> Column:
-    """EVD-08: no own motion seen: static, or hardly any lateral speed and acceleration."""
-    return (F.col("is_static") == 1) | ((F.abs("lat_speed_mps") <= eps) & (F.abs("a_norm") <= eps))
+def is_stationary(eps: float = 0.3) -> Column:
+    """EVD-08: a static object, or hardly any closing and lateral speed; an unknown speed does not count as low."""
+    slow = (F.abs("rel_speed_closing_mps") < eps) & (F.abs("lat_speed_mps") < eps)
+    return (F.coalesce(F.col("is_static"), F.lit(0)) == 1) | F.coalesce(slow, F.lit(False))
 
 
 def actor_summary() -> Column:

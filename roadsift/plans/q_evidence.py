@@ -17,7 +17,7 @@ e1 AS (SELECT *, CASE WHEN dist_lt3 = 1 OR r_rel_m <= 6 THEN 'very_close' WHEN d
 e2 AS (SELECT *, CASE WHEN is_vru = 1 AND crossing_like <> 0 THEN 'crossing_pedestrian' WHEN is_vru = 1 THEN CASE WHEN abs(lat_offset_m) >= 3 THEN 'side_pedestrian' ELSE 'other' END WHEN trajectory_bucket = 'crossing_like' THEN 'crossing_vehicle'
     WHEN trajectory_bucket IN ('lead_brake_like', 'cut_in_like') THEN 'lead_vehicle' ELSE 'other' END AS role_hint,
   coalesce(dist_lt3 = 1, FALSE) OR coalesce(on_path_like >= 0.5 AND ttc_s <= 1.5 AND r_rel_m <= 30, FALSE) OR coalesce(crossing_like >= 0.5 AND ttc_s <= 2 AND dist_to_crosswalk_m <= 10, FALSE) OR coalesce(distance_bucket IN ('very_close', 'close') AND ttc_s <= 3, FALSE) AS is_close,
-  is_static = 1 OR (abs(lat_speed_mps) <= 0.2 AND abs(a_norm) <= 0.2) AS is_stationary_actor FROM e1),
+  is_static = 1 OR (abs(rel_speed_closing_mps) < 0.3 AND abs(lat_speed_mps) < 0.3) AS is_stationary_actor FROM e1),
 ms AS (SELECT window_key, min(dist_to_stopline_m) AS min_dist_to_stopline_m, min(dist_to_crosswalk_m) AS min_dist_to_crosswalk_m, arg_min(map_lane_offset_m, rank_s3) AS primary_lane_offset_m, count(*) FILTER (in_drivable_area = 1) AS num_actors_in_drivable_area, count(*) FILTER (in_drivable_area <> 1) AS num_actors_off_drivable_area,
   count(*) FILTER (dist_to_crosswalk_m <= 10 AND is_vru = 1) AS num_vru_near_crosswalk, 0 AS num_ped_near_crosswalk, CASE WHEN min(dist_to_crosswalk_m) <= 15 OR min(dist_to_stopline_m) <= 20 THEN 'urban' ELSE 'highway_like' END AS road_type_hint FROM e2 GROUP BY window_key),
 hi AS (SELECT window_key, CASE WHEN arg_min(side_bucket, rank_s3) LIKE '%left%' THEN 'left' WHEN arg_min(side_bucket, rank_s3) LIKE '%right%' THEN 'right' ELSE 'center' END AS primary_side, min(dist_to_crosswalk_m) <= 10 AS near_crosswalk, min(dist_to_stopline_m) <= 12 AS near_stopline, bool_or(is_close) AS has_close_actor FROM e2 GROUP BY window_key),
@@ -270,7 +270,7 @@ def llm_09(t):
     return L.hit_accuracy(preds(t), tags(t))
 
 
-ALIGN = "SELECT count(*) AS n, avg(CASE WHEN coalesce(rank, 99) = 1 THEN 1.0 ELSE 0.0 END) AS rank1, avg(CASE WHEN coalesce(rank, 99) <= 2 THEN 1.0 ELSE 0.0 END) AS top2 FROM pd LEFT JOIN al USING (window_key, primary)"
+ALIGN = "SELECT count(*) AS n, avg(CASE WHEN coalesce(rank, 99) = 1 THEN 1.0 ELSE 0.0 END) AS rank1, avg(CASE WHEN coalesce(rank, 99) <= 2 THEN 1.0 ELSE 0.0 END) AS top2 FROM pd LEFT JOIN al ON al.window_key = pd.window_key AND al.primary = pd.primary"
 
 
 @query("llm_10_alignment", "n:n rank1:d top2:d", f"WITH {PRED} {ALIGN}")
