@@ -151,7 +151,8 @@ def _box_sql(src, x, y, yaw, out="d", ln="length_m", wd="width_m", ex="0e0", ey=
             f"FROM (SELECT *, {a} AS pa, {b} AS pb, {eyaw} AS ha, {yaw} AS hb FROM {src}))")
 
 
-EGO_BOX = {"x": F.lit(0.0), "y": F.lit(0.0), "len": F.lit(4.8), "wid": F.lit(2.0), "yaw": F.lit(0.3)}
+def _ego_box():
+    return {"x": F.lit(0.0), "y": F.lit(0.0), "len": F.lit(4.8), "wid": F.lit(2.0), "yaw": F.lit(0.3)}
 
 
 def _box(x, y, yaw):
@@ -160,7 +161,7 @@ def _box(x, y, yaw):
 
 @query("geo_08_box_distance", ACTOR + " d:d", f"WITH {BOX} SELECT window_key, track_uuid, d FROM {_box_sql('boxes', 'x0', 'y0', 'yaw')}")
 def geo_08(t):
-    return G.box_distance(boxes(t), "d", EGO_BOX, _box("x0", "y0", "yaw"))
+    return G.box_distance(boxes(t), "d", _ego_box(), _box("x0", "y0", "yaw"))
 
 
 @query("geo_09_softmin", ACTOR + " m:d",

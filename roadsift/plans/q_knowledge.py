@@ -12,12 +12,11 @@ from roadsift.plans.registry import query
 
 KEY = "printf('%d|%.6f|%.6f', o_custkey, o_orderkey * 1e0, o_orderkey + 2e0)"
 O = f"o AS (SELECT *, CAST(o_custkey AS VARCHAR) AS log_id, o_orderkey * 1e0 AS t_start, o_orderkey + 2e0 AS t_end, {KEY} AS window_key, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS split_name FROM orders)"
-SPLIT = F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b")
 
 
 def orders(t):
     k = F.col("o_orderkey")
-    df = t.orders.withColumns({"log_id": F.col("o_custkey").cast("string"), "t_start": k * F.lit(1.0), "t_end": k + F.lit(2.0), "split_name": SPLIT})
+    df = t.orders.withColumns({"log_id": F.col("o_custkey").cast("string"), "t_start": k * F.lit(1.0), "t_end": k + F.lit(2.0), "split_name": F.when(k % 2 == 0, "a").otherwise("b")})
     return df.withColumn("window_key", K.window_key(F.col("log_id"), F.col("t_start"), F.col("t_end")))
 
 

@@ -1,5 +1,9 @@
 """Session settings the operators rely on; all are runtime SQL settings, none touches the cluster."""
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -14,7 +18,21 @@ SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="roadsift-"), "roadsift"), "zip", os.path.dirname(root), "roadsift")
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+
+
 def tune(spark: SparkSession) -> SparkSession:
+    ship_package(spark)
     for name, value in SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
