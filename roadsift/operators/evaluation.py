@@ -42,7 +42,8 @@ def match_gt(gt: DataFrame, windows: DataFrame, preds: DataFrame, tags: DataFram
     close = near_join(g, hits, ["log_id"], "gc", "centre", near).groupBy(*GT).agg(pick.alias("near"))
     top = hits.groupBy("log_id").agg(F.min(F.struct("rank", (-F.col("score")).alias("neg"))).alias("b"))
     cls = hits.join(top, "log_id").where((F.col("rank") == F.col("b.rank")) & (-F.col("score") == F.col("b.neg"))).drop("b")
-    anywhere = g.join(cls, "log_id").groupBy(*GT).agg(pick.alias("any"))
+    anywhere = nearest_in_time(g, cls, "gc", "centre", ["window_key", "rank"]).where("window_key IS NOT NULL") \
+        .select(*GT, F.struct("window_key", "rank").alias("any"))
     ov = overlap_join(g, c, ["log_id"], ("g_start", "g_end"), ("t_start", "t_end"))
     iou = interval_iou(F.col("g_start"), F.col("g_end"), F.col("t_start"), F.col("t_end"))
     best = ov.groupBy(*GT).agg(F.min_by("window_key", F.when(iou > 0, F.struct(-iou, "centre", "window_key"))).alias("iou"))

@@ -219,18 +219,20 @@ def window_margins(features: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
 def window_table(features: DataFrame, keys: Sequence[str] = KEYS, ks: Sequence[int] = TOP_KS) -> DataFrame:
     """FEA-12: one row per window, keys first and the other columns sorted by name.
 
-    Everything that is an aggregate over all actors shares one pass; top-K aggregates use the limited rows.
+    Everything that is an aggregate over all actors shares one pass; top-K and best-actor values use the limited rows.
     """
     keys = list(keys)
-    df = features.withColumn("_inv", inverse_distance(F.col("dmin_m")))
-    by_p = F.struct((-F.col("p_overlap")).alias("v"), F.col("track_uuid").alias("t"))
-    by_d = F.struct((-F.col("_inv")).alias("v"), F.col("track_uuid").alias("t"))
-    aggs = {**count_aggs(), **map_aggs(), "_b": F.min_by(F.struct(*SNAPSHOT), by_p),
-            "best_margin_to_top_p": F.min_by("margin_to_top_p", by_p),
-            "best_margin_to_top_invd": F.min_by("margin_to_top_inv_d", by_d)}
-    whole = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    whole = whole.select("*", *[F.col("_b")[c].alias(f"a1_{c}") for c in SNAPSHOT]).drop("_b")
-    out = whole.join(window_topk(features, keys, ks), keys)
+    margin_d = F.max(F.when(F.col("rank_inv_dmin") == 1, F.col("margin_to_top_inv_d")))
+    aggs = {**count_aggs(), **map_aggs(), "best_margin_to_top_invd": margin_d}
+    whole = features.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
+    first = F.col("_rn") == 1
+    top = {f"a1_{c}": F.max(F.when(first, F.col(c))) for c in SNAPSHOT}
+    top["best_margin_to_top_p"] = F.max(F.when(first, F.col("margin_to_top_p")))
+    for k in ks:
+        top.update(top_aggs(k))
+    # the ranked rows are sorted by window already, so the text columns of the snapshot need no sort of their own
+    best = top_ranked(features, keys, max(ks)).groupBy(*keys).agg(*[c.alias(n) for n, c in top.items()])
+    out = whole.join(best, keys)
     return out.select(*keys, *sorted(c for c in out.columns if c not in keys))
 
 

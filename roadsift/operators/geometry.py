@@ -165,16 +165,20 @@ def softmin(d_cv: Column, d_ca: Column, a_norm: Column, tau: float = 0.3, a0: fl
     return -tau * F.ln((1 - w) * F.exp(-d_cv / tau) + w * F.exp(-d_ca / tau) + 1e-12)
 
 
-def approach_columns(m: str = "m", dt: str = "dt") -> list[Column]:
-    low = F.col("_low")[m]
-    return [F.greatest(low, F.lit(0.0)).alias("dmin_m"), F.greatest(-low, F.lit(0.0)).alias("penetration_m"),
-            F.col("_low")[dt].alias("t_at_dmin_s")]
+def approach_aggs(m: str = "m", dt: str = "dt", k: str = "k") -> list[Column]:
+    """Aggregates of the nearest approach.
+
+    Distance in nanometres and step share one integer, so that equal distances go to the earliest step and
+    all buffers are plain numbers, which keeps the aggregate hash-based.
+    """
+    key = _nano(F.col(m)) * 64 + F.col(k)
+    return [F.greatest(F.min(m), F.lit(0.0)).alias("dmin_m"), F.greatest(-F.min(m), F.lit(0.0)).alias("penetration_m"),
+            F.min_by(dt, key).alias("t_at_dmin_s")]
 
 
-def min_approach(rows: DataFrame, keys: Sequence[str], m: str = "m", dt: str = "dt") -> DataFrame:
+def min_approach(rows: DataFrame, keys: Sequence[str], m: str = "m", dt: str = "dt", k: str = "k") -> DataFrame:
     """GEO-10: smallest distance, its time offset (earliest on ties) and the penetration depth."""
-    low = rows.groupBy(*keys).agg(F.min(F.struct(m, dt)).alias("_low"))
-    return low.select(*keys, *approach_columns())
+    return rows.groupBy(*keys).agg(*approach_aggs(m, dt, k))
 
 
 def run_of(below: Column, k: Column, n: int) -> Column:
@@ -305,17 +309,38 @@ def segment_distance(df: DataFrame, out: str = "d") -> DataFrame:
     return df.withColumn(out, F.hypot(dx - F.col("_along") * F.col("ux"), dy - F.col("_along") * F.col("uy"))).drop("_along")
 
 
+LINES = 65536   # lines of one log and segments of one line that fit the packed order
+
+
+def numbered_lines(lines: DataFrame, log: str = "log_id") -> DataFrame:
+    """Number the lines of each log's map by feature id; a map is bounded by its city."""
+    return lines.where(F.size("pts") >= 2).withColumn("line", F.row_number().over(Window.partitionBy(log).orderBy("feature_id")) - 1)
+
+
+def nearest_per_line(points: DataFrame, lines: DataFrame, cols: Sequence[str], point: str, log: str) -> DataFrame:
+    """Nearest segment of every line of the log for each point: ``q`` (nanometres), ``seg``, ``theta``.
+
+    Distance and segment are packed into one integer: the aggregate has number-only buffers, is hash-based
+    and reduces the rows of a point before they are shuffled.
+    """
+    segs = line_segments(lines.select(log, "line", "pts"))
+    hit = segment_distance(points.select(log, point, "x", "y").join(segs, log))
+    key = _nano(F.col("d")) * LINES + F.col("seg")
+    best = hit.groupBy(log, point, "line").agg(F.min(key).alias("_k"), F.min_by("theta", key).alias("theta"))
+    best = best.withColumns({"q": F.floor(F.col("_k") / LINES), "seg": F.col("_k") % LINES}).drop("_k")
+    return best.join(lines.select(log, "line", *cols), [log, "line"])
+
+
 def nearest_on_polyline(points: DataFrame, lines: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
     """GEO-21: per point the nearest polyline of its log with distance, segment index and segment heading.
 
     The map is cut into segments before one join on the log (a log's map is bounded; adaptive skew handling
-    splits a log with most points), and the minimum per point is combinable.
+    splits a log with most points), and both minima are combinable.
     """
-    segs = line_segments(lines.select(log, "feature_id", "pts"))
-    hit = segment_distance(points.select(log, point, "x", "y").join(segs, log))
-    best = hit.groupBy(point).agg(F.min_by(F.struct("feature_id", "seg", "d", "theta"),
-                                           F.struct(_nano(F.col("d")).alias("q"), "feature_id", "seg")).alias("b"))
-    return best.select(point, "b.*")
+    per = nearest_per_line(points, numbered_lines(lines, log), ["feature_id"], point, log)
+    key = F.col("q") * LINES + F.col("line")
+    return per.groupBy(point).agg((F.min("q") / 1e9).alias("d"), F.min_by("feature_id", key).alias("feature_id"),
+                                  F.min_by("seg", key).alias("seg"), F.min_by("theta", key).alias("theta"))
 
 
 def ring_edges(polygons: DataFrame, pts: str = "pts") -> DataFrame:
@@ -350,30 +375,24 @@ def map_cues(points: DataFrame, features: DataFrame, point: str = "point_id", lo
     """GEO-23: five map cues per point from the lanes, crosswalk edges and drivable areas of its log.
 
     ``features`` has kind (lane / crosswalk / drivable), is_intersection and pts.  The map is cut
-    into segments first, so that the join carries plain columns and every cue is a combinable minimum.
+    into segments first, so that the join carries plain columns and every cue is a combinable minimum of numbers.
     """
-    spots = points.select(log, point, "x", "y", "heading")
-    segs = line_segments(features.where("kind IN ('lane', 'crosswalk')").select(
-        log, "kind", "feature_id", "is_intersection", "pts"))
-    df = segment_distance(spots.join(segs, log))
+    lines = numbered_lines(features.where("kind IN ('lane', 'crosswalk')"), log)
+    per = nearest_per_line(points, lines, ["kind", "is_intersection"], point, log).join(points.select(point, "heading"), point)
     lane, cross = F.col("kind") == "lane", F.col("kind") == "crosswalk"
-    # nearest segment of every line, then the nearest lines
-    per_line = df.groupBy(point, "kind", "feature_id", "is_intersection").agg(
-        F.min_by(F.struct("d", "theta", "heading"), F.struct(_nano(F.col("d")).alias("q"), "seg")).alias("n"))
-    d = F.col("n.d")
-    turn = F.col("n.heading") - F.col("n.theta")
-    ahead = cross & (F.abs(angle_diff(F.col("n.theta"), F.col("n.heading"))) < math.pi / 2)
-    best = per_line.groupBy(point).agg(
-        F.min_by(F.struct(d.alias("d"), F.cos(turn).alias("cos")),
-                 F.when(lane, F.struct(_nano(d).alias("q"), "feature_id"))).alias("lane"),
-        F.min(F.when(cross, d)).alias("dist_to_crosswalk_m"), F.min(F.when(ahead, d)).alias("_ahead"),
-        F.min(F.when(lane & F.col("is_intersection"), d)).alias("_inter"))
+    ahead = cross & (F.abs(angle_diff(F.col("theta"), F.col("heading"))) < math.pi / 2)
+    key = F.when(lane, F.col("q") * LINES + F.col("line"))
+
+    def metres(cond):
+        return F.min(F.when(cond, F.col("q"))) / 1e9
+    best = per.groupBy(point).agg(
+        metres(lane).alias("map_lane_offset_m"), F.min_by(F.cos(F.col("heading") - F.col("theta")), key).alias("map_lane_alignment_cos"),
+        metres(cross).alias("dist_to_crosswalk_m"), metres(ahead).alias("_ahead"), metres(lane & F.col("is_intersection")).alias("_inter"))
     area = point_in_polygon(points, features.where("kind = 'drivable'"), point, log)
     out = points.select(point).join(best, point, "left").join(area, point, "left")
-    drivable = F.coalesce(F.col("inside"), F.col("lane.d") < 3.5, F.lit(False))
-    return out.select(point, F.col("lane.d").alias("map_lane_offset_m"), F.col("lane.cos").alias("map_lane_alignment_cos"),
-                      F.coalesce("_ahead", "_inter").alias("dist_to_stopline_m"), "dist_to_crosswalk_m",
-                      drivable.cast("double").alias("in_drivable_area"))
+    drivable = F.coalesce(F.col("inside"), F.col("map_lane_offset_m") < 3.5, F.lit(False))
+    return out.select(point, "map_lane_offset_m", "map_lane_alignment_cos", F.coalesce("_ahead", "_inter").alias("dist_to_stopline_m"),
+                      "dist_to_crosswalk_m", drivable.cast("double").alias("in_drivable_area"))
 
 
 # --- the whole tagger ---------------------------------------------------------------------------------------
@@ -397,9 +416,8 @@ def tag_actors(states: DataFrame, ego: DataFrame, horizon: float = 4.0, step: fl
     both = box_distance(box_distance(rolled, "_d_cv", ego_box, box("cv")), "_d_ca", ego_box, box("ca"))
     m = both.select(*keys, "k", "dt", softmin(F.col("_d_cv"), F.col("_d_ca"), F.col("a_norm")).alias("m"))
     # both per-actor results in one pass over the grid
-    low = m.groupBy(*keys).agg(F.min(F.struct("m", "dt")).alias("_low"),
-                               run_of(F.col("m") < 0.6, F.col("k"), 2).alias("sustained_tight"))
-    scored = base.join(low.select(*keys, *approach_columns(), "sustained_tight"), keys)
+    low = m.groupBy(*keys).agg(*approach_aggs(), run_of(F.col("m") < 0.6, F.col("k"), 2).alias("sustained_tight"))
+    scored = base.join(low, keys)
     x, y = city_to_ego(F.col("x0"), F.col("y0"), F.col("eyaw"), F.col("ex"), F.col("ey"))
     scored = scored.withColumn("x_rel_m", x).withColumn("y_rel_m", y)
     bearing, sector = bearing_sector(F.col("x_rel_m"), F.col("y_rel_m"))

@@ -136,7 +136,7 @@ def ingest_predictions(outputs: DataFrame, evidence: DataFrame, windows: DataFra
     # the id is a hash of the natural key, so it does not depend on what else is ingested
     backends = dirs.withColumn("backend_id", F.conv(F.substring(F.md5(F.concat_ws("|", "prompt_type", "backend_dir")), 1, 12), 16, 10).cast("bigint")) \
         .withColumn("model_name", F.regexp_replace("backend_dir", "^llm_", ""))
-    j = outputs.join(F.broadcast(backends.select("prompt_type", "backend_dir", "backend_id")), ["prompt_type", "backend_dir"]) \
+    j = outputs.join(backends.select("prompt_type", "backend_dir", "backend_id"), ["prompt_type", "backend_dir"]) \
         .join(windows.select("window_key").distinct().withColumn("_w", F.lit(True)), "window_key", "left").join(evidence.withColumn("_e", F.lit(True)), "window_key", "left")
     p = F.upper(F.trim("primary"))
     track = F.when(F.trim("primary").rlike(UUID), F.trim("primary")).when(p == "ACTOR1", F.col("actor1_track_uuid")).when(p == "ACTOR2", F.col("actor2_track_uuid")).when(p == "ACTOR3", F.col("actor3_track_uuid"))
@@ -252,7 +252,7 @@ def top_json(rankings: DataFrame, k: int = 3, key: Sequence[str] = ("split_name"
 def scenario_trace(preds: DataFrame, backends: DataFrame, windows: DataFrame, scores: DataFrame, evidence: DataFrame, rankings: DataFrame, gt: DataFrame, emb: DataFrame) -> DataFrame:
     """KB-18: one row per (split, backend, window): predictions with backend, window, score, evidence, top actors, truth and vector."""
     sw = ["split_name", "window_key"]
-    return preds.join(F.broadcast(backends), "backend_id").join(windows, sw).join(scores, sw, "left").join(evidence, sw, "left") \
+    return preds.join(backends, "backend_id").join(windows, sw).join(scores, sw, "left").join(evidence, sw, "left") \
         .join(top_json(rankings), sw, "left").join(gt, sw, "left").join(emb, ["split_name", "backend_id", "window_key"], "left")
 
 

@@ -43,8 +43,7 @@ def src_03(t):
     # ten features make one document
     doc = g.groupBy("log_id").agg(*[F.map_from_entries(F.collect_list(c)).alias(n) for c, n in ((lane, "lanes"), (walk, "pedestrian_crossings"), (area, "drivable_areas"))])
     S.write_jsonl(doc, path)
-    m = S.read_map(t.spark, path)
-    # a JSON line file holds several documents; reading whole files keeps the first, so the lines are read one by one here
+    m = S.read_map(t.spark, path, whole_files=False)
     return m.select("log_id", "kind", "feature_id", "is_intersection", F.size("pts").alias("n"), F.when(F.col("pts2").isNotNull(), F.size("pts2")).alias("n2"), F.col("pts")[0]["x"].alias("x0"), F.col("pts")[1]["y"].alias("y1"))
 
 

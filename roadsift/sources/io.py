@@ -48,15 +48,15 @@ def read_annotations(spark: SparkSession, path: str, logs: Sequence[str] | DataF
     return no_nan(df.select("log_id", "track_uuid", (F.col("timestamp_ns") * 1e-9).alias("t_s"), "category", "length_m", "width_m", F.col("tx_m").alias("x"), F.col("ty_m").alias("y")))
 
 
-def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-03: vector maps, one JSON document per file, as one row per feature with its point lists.
+def read_map(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """SRC-03: vector maps, one JSON document per file (or per line), as one row per feature with its point lists.
 
     Points may be ``{x, y}`` or ``[x, y]``; ``lanes`` and ``drivable_area`` are accepted as older names.
     """
     lane = "struct<left_lane_boundary:string,right_lane_boundary:string,is_intersection:boolean>"
     schema = (f"log_id string, lane_segments map<string,{lane}>, lanes map<string,{lane}>, pedestrian_crossings map<string,struct<edge1:string,edge2:string>>, "
               "drivable_areas map<string,struct<area_boundary:string>>, drivable_area map<string,struct<area_boundary:string>>")
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    doc = spark.read.schema(schema).option("multiLine", whole_files).json(path)
 
     def points(c):
         as_pairs = F.transform(F.from_json(c, "array<array<double>>"), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
