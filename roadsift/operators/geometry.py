@@ -324,7 +324,9 @@ def nearest_per_line(points: DataFrame, lines: DataFrame, cols: Sequence[str], p
     and reduces the rows of a point before they are shuffled.
     """
     segs = line_segments(lines.select(log, "line", "pts"))
-    hit = segment_distance(points.select(log, point, "x", "y").join(segs, log))
+    # points are spread by their id before they multiply: one small shuffle that the aggregates then reuse
+    spots = points.select(log, point, "x", "y").repartition(point)
+    hit = segment_distance(spots.join(segs, log))
     key = _nano(F.col("d")) * LINES + F.col("seg")
     best = hit.groupBy(log, point, "line").agg(F.min(key).alias("_k"), F.min_by("theta", key).alias("theta"))
     best = best.withColumns({"q": F.floor(F.col("_k") / LINES), "seg": F.col("_k") % LINES}).drop("_k")
@@ -361,7 +363,7 @@ def crossing() -> Column:
 def point_in_polygon(points: DataFrame, polygons: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
     """GEO-22: per point whether any polygon of its log contains it (even-odd rule over its edges)."""
     edges = ring_edges(polygons.select(log, "feature_id", "pts"))
-    hits = points.select(log, point, "x", "y").join(edges, log).groupBy(point, "feature_id").agg(
+    hits = points.select(log, point, "x", "y").repartition(point).join(edges, log).groupBy(point, "feature_id").agg(
         F.count_if(crossing()).alias("n"))
     return hits.groupBy(point).agg(F.bool_or(F.col("n") % 2 == 1).alias("inside"))
 
@@ -405,7 +407,8 @@ def tag_actors(states: DataFrame, ego: DataFrame, horizon: float = 4.0, step: fl
     rolled forward at constant velocity.
     """
     keys = ["window_key", "track_uuid"]
-    base = clamp_state(states).join(ego, "window_key")
+    # spread by actor before the grid multiplies the rows; the aggregates and the join below reuse it
+    base = clamp_state(states).join(ego, "window_key").repartition(*keys)
     grid = time_grid(base.withColumn("t0", F.lit(0.0)), horizon, step).withColumnRenamed("t", "dt")
     rolled = rollout(grid)
     ego_box = {"x": F.col("ex") + F.col("ev") * F.cos("eyaw") * F.col("dt"), "y": F.col("ey") + F.col("ev") * F.sin("eyaw") * F.col("dt"),
