@@ -5,8 +5,10 @@ remaining hash as the number of leading zeros and ``MANTISSA`` bits after them,
 candidates, an estimate of the Jaccard similarity that is corrected for chance collisions drops most of them, and shared shingles of
 the full sets decide.
 
-Equal sets are one class, so copies are never paired.  Inside a band's bucket all members are first compared with the smallest one; what
-these links leave apart is compared in blocks inside tasks, and only pairs that pass the estimate leave a task.
+Equal sets are one class, so copies are never paired.  Inside a band's bucket all members are first compared with the smallest one.
+What these links leave apart is compared in blocks inside tasks, by registers first: of the pairs that pass the estimate a task
+returns a spanning forest, whose trees are the candidate clusters.  The full sets of a cluster then meet, again in blocks, and a task
+returns at most one link for two components.  So the rows that leave a task grow with its members, not with their pairs.
 
 With ``BANDS`` bands of ``ROWS`` registers a pair at similarity 0.85 shares no band with probability 1e-10, at 0.8 with 5e-8; the estimate
 errs by more than ``SIGMAS`` standard errors with probability 3e-5.
@@ -34,6 +36,8 @@ MANTISSA = 10
 BANDS, ROWS = 32, 4
 SIGMAS = 4.0
 BLOCK = 1024
+SET_BLOCK = 256
+COLUMNS = 4096
 # fixed value of the published collision estimate for one bucket of two sets of equal size
 CHANCE = 0.169919487159739093975315012348
 
@@ -148,9 +152,8 @@ def likely(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity.  Sets are made again, only for ids in ``pairs``, and each travels with its pairs."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
+    """``id``, ``items``: the sets of some ids, made again from their texts; an id may stand for rows with different texts."""
     slim = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,53 +162,117 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, size: int,
                 sets = pa.array([s.view(np.int64) for s in shingle_sets(part.column("text"), size)], pa.list_(pa.int64()))
                 yield pa.record_batch([part.column("id"), sets], ["id", "items"])
 
-    # an id may stand for rows with different texts, which all count
-    sets = stored(slim.mapInArrow(run, "id long, items array<long>").where(F.size("items") > 0).dropDuplicates(), "sets")
+    return slim.mapInArrow(run, "id long, items array<long>").where(F.size("items") > 0)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the similarity."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = stored(full_sets(ids, docs, id, text, size).dropDuplicates(), "sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("of_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("of_a")), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - F.col("shared")
-    return both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * union).select("a", "b")
+    return both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * union).select("a", "b").distinct()
 
 
-def apart(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components that may be similar; a bucket of many members is compared in blocks."""
+class Forest:
+    """Union-find over arbitrary labels."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        up = self.up
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = up[above] if above in up else above
+            x = above
+        return x
+
+    def join(self, a, b) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def in_blocks(members: DataFrame, key: str, count: str, block: int, columns: list[str], compare) -> DataFrame:
+    """Bring the members of a key together in blocks: a pair of blocks is one unit, and ``compare`` gets the units of a task one by one.
+
+    A key with n members is dealt to (n / block) ** 2 / 2 units; each member is copied n / block times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        now = None
-        names = ["key", "i", "j", "block", "id", "n", "component", "regs"]
-
-        def compare():
-            if now is None or len(held["id"]) < 2:
-                return
-            ids, n, comp, block = (np.array(held[c]) for c in ("id", "n", "component", "block"))
-            regs = np.frombuffer(b"".join(held["regs"]), np.uint16).reshape(len(ids), -1)
-            for k in range(len(ids) - 1):
-                rest = np.arange(k + 1, len(ids))
-                rest = rest[(comp[rest] != comp[k]) & ((now[1] == now[2]) | (block[rest] != block[k]))]
-                if len(rest):
-                    hit = rest[plausible(regs[rest], regs[k], n[rest], n[k], percent)]
-                    if len(hit):
-                        a, b = np.minimum(ids[hit], ids[k]), np.maximum(ids[hit], ids[k])
-                        yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+        now, held = None, {}
+        names = ["block", *columns]
+
+        def flush():
+            if now is not None and len(held["id"]) > 1:
+                edges = compare(now[1] == now[2], {c: held[c] for c in names})
+                if edges:
+                    a, b = zip(*edges)
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in names}
-            for r in range(batch.num_rows):
-                unit = (columns["key"][r], columns["i"][r], columns["j"][r])
+            units = list(zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j")]))
+            lists = {c: batch.column(c).to_pylist() if c != "items" else [batch.column(c)[r].values.to_numpy() for r in range(batch.num_rows)] for c in names}
+            for r, unit in enumerate(units):
                 if unit != now:
-                    yield from compare()
+                    yield from flush()
                     now, held = unit, {c: [] for c in names}
                 for c in names:
-                    held[c].append(columns[c][r])
-        yield from compare()
+                    held[c].append(lists[c][r])
+        yield from flush()
 
-    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
-    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")))
+    placed = members.withColumn("blocks", F.ceil(F.col(count) / block).cast("long")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    dealt = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "block", "id", "n", "component", "regs").mapInArrow(run, "a long, b long")
+    placed = placed.select(F.col(key).alias("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *columns)
+    return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def apart(members: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest of the pairs in one bucket, but different components, that may be similar."""
+
+    def compare(alone: bool, held: dict) -> list[tuple[int, int]]:
+        ids, n, comp, block = (np.array(held[c]) for c in ("id", "n", "component", "block"))
+        regs = np.frombuffer(b"".join(held["regs"]), np.uint16).reshape(len(ids), -1)
+        forest, edges = Forest(), []
+        for k in range(len(ids) - 1):
+            rest = np.arange(k + 1, len(ids))
+            rest = rest[(comp[rest] != comp[k]) & (alone | (block[rest] != block[k]))]
+            if len(rest):
+                mine = int(ids[k])
+                edges += [(mine, other) for other in ids[rest[plausible(regs[rest], regs[k], n[rest], n[k], percent)]].tolist() if forest.join(mine, other)]
+        return edges
+
+    return in_blocks(members, "key", "members", BLOCK, ["id", "n", "component", "regs"], compare)
+
+
+def linked_in(members: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a cluster, from full sets; at most one for two components of a unit."""
+
+    def compare(alone: bool, held: dict) -> list[tuple[int, int]]:
+        ids, comp, block = (np.array(held[c]) for c in ("id", "component", "block"))
+        sizes = np.array([len(x) for x in held["items"]])
+        items, place, n = np.unique(np.concatenate(held["items"]), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        common = n > 1  # an item of one set is in no intersection
+        column = (np.cumsum(common) - 1)[place]
+        row, column = row[common[place]], column[common[place]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((len(ids), len(ids)), np.float32)
+        for begin in range(0, int(common.sum()), COLUMNS):
+            a, b = np.searchsorted(column, (begin, begin + COLUMNS))
+            dense = np.zeros((len(ids), COLUMNS), np.float32)
+            dense[row[a:b], column[a:b] - begin] = 1
+            shared += dense @ dense.T
+        hit = 100 * shared.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - shared.astype(np.int64))
+        hit &= comp[:, None] != comp[None, :]
+        if not alone:
+            hit &= block[:, None] != block[None, :]
+        forest = Forest()
+        return [(int(ids[x]), int(ids[y])) for x, y in np.argwhere(np.triu(hit)).tolist() if forest.join(int(comp[x]), int(comp[y]))]
+
+    return in_blocks(members, "cluster", "members", SET_BLOCK, ["id", "component", "items"], compare)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85) -> DataFrame:
@@ -224,10 +291,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     placed = buckets.where("members > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     members = placed.join(open_keys, "key").join(classes.select("id", "n", "regs"), "id")
-    more = stored(apart(members, percent).distinct(), "pairs")
+    clusters = components(apart(members, percent)).withColumnRenamed("component", "cluster")
+    clusters = stored(clusters.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "clusters")
+    sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster")
+    more = linked_in(full_sets(clusters.select("id"), docs, id, text, words).join(sized, "id"), percent)
     # rows that share an id tie the classes of their sets together
     ties = full.join(classes.withColumnRenamed("id", "b").select(*name, "b"), name).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    everything = links.unionByName(confirmed(more, docs, id, text, words, percent)).unionByName(ties)
+    everything = links.unionByName(more).unionByName(ties)
     found = components(everything)
     out = rows.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
