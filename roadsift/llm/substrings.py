@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadsift.llm.text import Words, mixed, slices, window_hashes
+from roadsift.llm.text import Words, mixed, slices, squeeze, unsqueeze, window_hashes
 
 BATCH = 16 << 20  # bytes of text whose strings are reduced and packed together
-ZSTD = pa.Codec("zstd", 3)
-HEAD = struct.Struct("<qqqq")
+ZSTD = pa.Codec("zstd", 6)
+KEY = struct.Struct("<qi")
 HIDDEN = np.uint64(2**64 - 1)
-FLAGS = "id long, content long, ranges binary"
+FLAGS = "id long, content int, ranges binary"
 
 
 def plain_bytes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,25 +112,37 @@ class Strings:
             for row in flag_rows(ids[local], content[local], first[local], n[local]):
                 yield -1, row
         bucket = (mixed(least[send]) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((first[send], ids[send], bucket))
         send, bucket = send[order], bucket[order]
         borders = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
         for a, b in zip(borders, [*borders[1:], len(bucket)]):
             mine = send[a:b]
             sizes = size[mine]
             flat = np.arange(sizes.sum()) + np.repeat(start[mine] - (np.cumsum(sizes) - sizes), sizes)
-            body = b"".join([ids[mine].tobytes(), content[mine].tobytes(), first[mine].astype(np.int32).tobytes(), n[mine].astype(np.int8).tobytes(),
-                             sizes.astype(np.int32).tobytes(), data[flat].tobytes()])
+            columns = (np.diff(ids[mine], prepend=0), content[mine].astype(np.int32), first[mine].astype(np.int32), n[mine].astype(np.int8), sizes.astype(np.int32))
+            body = b"".join([*[in_planes(c) for c in columns], data[flat].tobytes()])
             yield int(bucket[a]), struct.pack("<qq", len(mine), len(body)) + ZSTD.compress(body, asbytes=True)
 
 
+def in_planes(values: np.ndarray) -> bytes:
+    """First all lowest bytes, then all next ones: numbers of one size then compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(body: bytes, kind, count: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(body, np.uint8, count * width, at).reshape(width, count)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def unpack(block: bytes) -> tuple[np.ndarray, ...]:
     count, size = struct.unpack_from("<qq", block)
     body = ZSTD.decompress(block[16:], decompressed_size=size, asbytes=True)
     out, at = [], 0
-    for kind in (np.int64, np.int64, np.int32, np.int8, np.int32):
-        out.append(np.frombuffer(body, kind, count, at))
+    for kind in (np.int64, np.int32, np.int32, np.int8, np.int32):
+        out.append(from_planes(body, kind, count, at))
         at += out[-1].nbytes
+    out[0] = np.cumsum(out[0])
     return (*out, np.frombuffer(body, np.uint8, offset=at))
 
 
@@ -140,7 +152,7 @@ def flag_rows(ids, content, first, n) -> Iterator[bytes]:
     ids, content, first, n = ids[order], content[order], first[order], n[order]
     borders = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (content[1:] != content[:-1])))
     for a, b in zip(borders, [*borders[1:], len(ids)]):
-        yield struct.pack("<qq", ids[a], content[a]) + np.stack([first[a:b], n[a:b]], 1).astype("<i4").tobytes()
+        yield KEY.pack(ids[a], content[a]) + np.stack([first[a:b], n[a:b]], 1).astype("<i4").tobytes()
 
 
 def repeated_in(blocks: list[bytes], size: int) -> Iterator[bytes]:
@@ -190,11 +202,11 @@ def covered(ranges: list[bytes], n_words: int, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, id: str, text: str, size: int = 13, inner: int = 4) -> DataFrame:
+def repeated_windows(docs: DataFrame, id: str, text: str, size: int = 13, inner: int = 3) -> DataFrame:
     """For each id and text content, the windows whose words also start in a document with a smaller id."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.where(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("content"), F.col(text).cast("string").alias("text"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = docs.where(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.hash(text).alias("content"), F.col(text).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = Strings(size, inner)
@@ -247,20 +259,28 @@ def _block_batch(rows):
 
 def _flags(rows) -> pa.RecordBatch:
     rows = list(rows)
-    keys = [struct.unpack_from("<qq", r) for r in rows]
-    return pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([r[16:] for r in rows], pa.binary())],
+    keys = [KEY.unpack_from(r) for r in rows]
+    return pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([r[KEY.size:] for r in rows], pa.binary())],
                            ["id", "content", "ranges"])
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 13, inner: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 13, inner: int = 3) -> DataFrame:
     """``row`` (all columns of ``docs`` but the text), ``n_words``, ``n_removed`` and ``kept``: the words left, joined by one space."""
     flags = repeated_windows(docs, id, text, size, inner).groupBy("id", "content").agg(F.collect_list("ranges").alias("ranges"))
     slim = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.col(text).cast("string").alias("text"),
-                       F.col(id).cast("long").alias("owner"), F.xxhash64(text).alias("held"))
+                       F.col(id).cast("long").alias("owner"), F.hash(text).alias("held"))
+
+    def smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("row"), squeeze(batch.column("text")), batch.column("owner"), batch.column("held")], ["row", "text", "owner", "held"])
+
+    kinds = T.StructType().add("row", slim.schema["row"].dataType).add("text", "binary").add("owner", "long").add("held", "integer")
+    slim = slim.mapInArrow(smaller, kinds)
     joined = slim.join(flags, (F.col("owner") == F.col("id")) & (F.col("held") == F.col("content")), "left").select("row", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = pa.record_batch([batch.column("row"), unsqueeze(batch.column("text")), batch.column("ranges")], ["row", "text", "ranges"])
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
                 data, starts, ends = plain_bytes(words)

@@ -6,6 +6,7 @@ so the memory of a task follows its longest document and not its partition.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa
         begin = end
 
 
+ZSTD = pa.Codec("zstd", 3)
+
+
+def squeeze(column: pa.Array) -> pa.Array:
+    """Texts as compressed binary, null as empty: a shuffle's own compression saves little on text."""
+    texts = [t.as_buffer() if t.is_valid else b"" for t in column.cast(pa.binary())]
+    return pa.array([struct.pack("<q", len(t)) + ZSTD.compress(t, asbytes=True) for t in texts], pa.binary())
+
+
+def unsqueeze(column: pa.Array) -> pa.Array:
+    sizes = [(t, struct.unpack_from("<q", t)[0]) for t in column.to_pylist()]
+    return pa.array([ZSTD.decompress(t[8:], decompressed_size=n, asbytes=True) if n else b"" for t, n in sizes], pa.binary()).cast(pa.string())
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a slice: byte borders, the document of each, and their hashes."""
 
