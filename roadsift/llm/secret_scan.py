@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from roadsift.functions.durable import shared_path
+from roadsift.llm.text import squeeze, unsqueeze
 
 RULES_VERSION = 1
 
@@ -74,10 +75,15 @@ class Ledger:
         findings.write.mode("append").option("compression", "zstd").parquet(self.path)
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column("id"), batch.column("sha256"), squeeze(batch.column("text"))], ["id", "sha256", "text"])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        spans = [scan_text(t.as_py() or "") for t in batch.column("text")]
+        spans = [scan_text(t) for t in unsqueeze(batch.column("text")).to_pylist()]
         yield pa.record_batch([batch.column("sha256"), pa.array(spans, kind)], ["sha256", "spans"])
 
 
@@ -89,6 +95,7 @@ def scan(versions: DataFrame, ledger: Ledger, id: str = "doc_id", text: str = "t
     seen = ledger.read().where(F.col("rules") == RULES_VERSION).select("sha256")
     unseen = blobs.join(seen, "sha256", "left_anti").withColumnRenamed("sha256", "blob")
     texts = versions.select(F.col(id).alias("id"), F.sha2(content, 256).alias("sha256"), content.alias("text"))
+    texts = texts.mapInArrow(_squeezed, f"id {texts.schema['id'].dataType.simpleString()}, sha256 string, text binary")
     texts = texts.join(unseen, (F.col("sha256") == F.col("blob")) & F.col("id").eqNullSafe(F.col("at")), "left_semi")
     findings = texts.select("sha256", "text").mapInArrow(_scan, f"sha256 string, spans {SPANS}").dropDuplicates(["sha256"])
     ledger.add(findings.select("sha256", F.lit(RULES_VERSION).alias("rules"), "spans"))
