@@ -100,9 +100,8 @@ def measured(docs: DataFrame, id: str, host: str, text: str) -> DataFrame:
 def removed_lines(base: DataFrame, max_docs: int) -> DataFrame:
     """For each document key: hashes of the lines it loses and the words in them."""
     lines = base.select("id", "host", "k1", "k2", F.explode(F.arrays_zip("line", "line_words")).alias("l"))
-    lines = lines.select("id", F.coalesce(F.col("host").cast("string"), F.lit("")).alias("at"), F.col("host").isNull().alias("nowhere"),
-                         "k1", "k2", F.col("l.line").alias("line"), F.col("l.line_words").alias("words"))
-    key = ["at", "nowhere", "line"]
+    lines = lines.select("id", F.xxhash64("host").alias("at"), "k1", "k2", F.col("l.line").alias("line"), F.col("l.line_words").alias("words"))
+    key = ["at", "line"]
     common = lines.groupBy(key).agg(F.count("*").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") > max_docs)
     lost = lines.join(common, key).where(~F.col("id").eqNullSafe(F.col("first")))
     lost = lost.select("k1", "k2", "line", "words").distinct()  # repeated rows share a key
