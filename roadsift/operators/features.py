@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadsift.functions.ordered import row_index
 from roadsift.functions.quantiles import group_quantiles
 
 KEYS = ["log_id", "window_t_start", "window_t_end", "window_center"]
@@ -54,12 +53,12 @@ def rank_margin(rows: DataFrame, value: str, rank: str, margin: str, keys: Seque
                 tie: str = "track_uuid", desc: bool = True) -> DataFrame:
     """FEA-03: rank within the window and distance to its best value.
 
-    The numbering splits large windows over tasks; the best value is a combinable aggregate joined back.
+    A window holds the few actors that the tagger keeps, so both come from one sort of its rows.
     """
     keys = list(keys)
-    best = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg((F.max if desc else F.min)(value).alias("_best"))
     order = F.col(value).desc_nulls_last() if desc else F.col(value).asc_nulls_last()
-    ranked = row_index(rows, keys, [order, tie], out=rank, start=1).join(best, keys, "left")
+    window = Window.partitionBy(*keys)
+    ranked = rows.withColumn(rank, F.row_number().over(window.orderBy(order, tie)).cast("bigint")).withColumn("_best", (F.max if desc else F.min)(value).over(window))
     gap = F.col("_best") - F.col(value) if desc else F.col(value) - F.col("_best")
     return ranked.withColumn(rank, F.when(F.col(value).isNotNull(), F.col(rank))).withColumn(margin, gap).drop("_best")
 

@@ -101,8 +101,8 @@ def filter_tracks(pairs: DataFrame, cats: Sequence[str] | None = None, min_len:
 
 def time_grid(windows: DataFrame, horizon: float = 4.0, step: float = 0.2, centre: str = "t0") -> DataFrame:
     """GEO-05: inclusive grid centred on each window."""
-    n = int(math.floor(horizon / step))
-    return windows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn(
+    n = grid_steps(horizon, step)
+    return windows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
         "t", F.col(centre) - 0.5 * horizon + F.col("k") * F.lit(step))
 
 
@@ -165,13 +165,22 @@ def softmin(d_cv: Column, d_ca: Column, a_norm: Column, tau: float = 0.3, a0: fl
     return -tau * F.ln((1 - w) * F.exp(-d_cv / tau) + w * F.exp(-d_ca / tau) + 1e-12)
 
 
+STEPS = 1 << 16   # grid steps of one window that fit the packed order
+
+
+def _packed_order(first: Column, then: Column, size: int) -> Column:
+    """One integer that orders by ``first`` and then by ``then``; an error where ``then`` isn't below ``size`` or the sum would overflow."""
+    fits = (then >= 0) & (then < size) & (F.abs(first) < (1 << 62) // size)
+    return F.when(fits, first * size + then).when(first.isNotNull() & then.isNotNull(), F.raise_error(F.lit(f"an order of up to {size} places doesn't fit")).cast("bigint"))
+
+
 def approach_aggs(m: str = "m", dt: str = "dt", k: str = "k") -> list[Column]:
     """Aggregates of the nearest approach.
 
     Distance in nanometres and step share one integer, so that equal distances go to the earliest step and
-    all buffers are plain numbers, which keeps the aggregate hash-based.
+    all buffers are plain numbers, which keeps the aggregate hash-based.  A step that doesn't fit raises.
     """
-    key = _nano(F.col(m)) * 64 + F.col(k)
+    key = _packed_order(_nano(F.col(m)), F.col(k), STEPS)
     return [F.greatest(F.min(m), F.lit(0.0)).alias("dmin_m"), F.greatest(-F.min(m), F.lit(0.0)).alias("penetration_m"),
             F.min_by(dt, key).alias("t_at_dmin_s")]
 
@@ -181,18 +190,36 @@ def min_approach(rows: DataFrame, keys: Sequence[str], m: str = "m", dt: str = "
     return rows.groupBy(*keys).agg(*approach_aggs(m, dt, k))
 
 
-def run_of(below: Column, k: Column, n: int) -> Column:
-    """Aggregate: whether ``n`` consecutive steps ``k`` (below 63) are true, through a bit mask per group."""
-    mask = F.bit_or(F.when(below, F.expr("bigint(1)") * F.pow(F.lit(2.0), k).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    hit = mask
-    for j in range(1, n):
-        hit = hit.bitwiseAND(F.shiftright(mask, j))
-    return hit != 0
+MASK = 62   # steps of one bit mask
+
+
+def run_of(below: Column, k: Column, n: int, steps: int = MASK) -> Column:
+    """Aggregate: whether ``n`` consecutive steps ``k`` (0 to ``steps`` - 1) are true; a step outside raises.
+
+    Bit masks of 62 steps overlap by ``n`` - 1, so that every run lies in one of them whole.
+    """
+    if not 1 <= n <= MASK:
+        raise ValueError(f"a run has 1 to {MASK} steps")
+    inside = F.when((k >= 0) & (k < steps), below).otherwise(F.raise_error(F.lit(f"a step outside the grid of {steps}")).cast("boolean"))
+    found = F.lit(False)
+    for begin in range(0, max(1, steps - n + 1), MASK - n + 1):
+        here = inside & (k >= begin) & (k < begin + MASK)
+        bit = F.pow(F.lit(2.0), F.when(here, k - begin).otherwise(0)).cast("bigint")
+        mask = F.bit_or(F.when(here, bit).otherwise(F.lit(0).cast("bigint")))
+        hit = mask
+        for j in range(1, n):
+            hit = hit.bitwiseAND(F.shiftright(mask, j))
+        found = found | (hit != 0)
+    return found
+
+
+def grid_steps(horizon: float, step: float) -> int:
+    return int(math.floor(horizon / step)) + 1
 
 
-def sustained(rows: DataFrame, keys: Sequence[str], m: str = "m", k: str = "k", margin: float = 0.6, n: int = 2) -> DataFrame:
-    """GEO-11: whether ``n`` consecutive grid steps (21 per actor) are below the margin; no sort is needed."""
-    return rows.groupBy(*keys).agg(run_of(F.col(m) < margin, F.col(k), n).alias("sustained_tight"))
+def sustained(rows: DataFrame, keys: Sequence[str], m: str = "m", k: str = "k", margin: float = 0.6, n: int = 2, steps: int = MASK) -> DataFrame:
+    """GEO-11: whether ``n`` consecutive steps of a grid of ``steps`` are below the margin; no sort is needed."""
+    return rows.groupBy(*keys).agg(run_of(F.col(m) < margin, F.col(k), n, steps).alias("sustained_tight"))
 
 
 def p_overlap(dmin: Column, tight: Column, sigma: float = 1.5, decay: float = 0.6) -> Column:
@@ -309,12 +336,12 @@ def segment_distance(df: DataFrame, out: str = "d") -> DataFrame:
     return df.withColumn(out, F.hypot(dx - F.col("_along") * F.col("ux"), dy - F.col("_along") * F.col("uy"))).drop("_along")
 
 
-LINES = 65536   # lines of one log and segments of one line that fit the packed order
+SEGMENTS = 1 << 18   # segments of one line that fit the packed order; more raise
 
 
 def numbered_lines(lines: DataFrame, log: str = "log_id") -> DataFrame:
     """Number the lines of each log's map by feature id; a map is bounded by its city."""
-    return lines.where(F.size("pts") >= 2).withColumn("line", F.row_number().over(Window.partitionBy(log).orderBy("feature_id")) - 1)
+    return lines.where(F.size("pts") >= 2).withColumn("line", F.row_number().over(Window.partitionBy(log).orderBy(*[c for c in ("kind", "feature_id") if c in lines.columns])) - 1)
 
 
 def nearest_per_line(points: DataFrame, lines: DataFrame, cols: Sequence[str], point: str, log: str) -> DataFrame:
@@ -327,9 +354,9 @@ def nearest_per_line(points: DataFrame, lines: DataFrame, cols: Sequence[str], p
     # points are spread by their id before they multiply: one small shuffle that the aggregates then reuse
     spots = points.select(log, point, "x", "y").repartition(point)
     hit = segment_distance(spots.join(segs, log))
-    key = _nano(F.col("d")) * LINES + F.col("seg")
+    key = _packed_order(_nano(F.col("d")), F.col("seg"), SEGMENTS)
     best = hit.groupBy(log, point, "line").agg(F.min(key).alias("_k"), F.min_by("theta", key).alias("theta"))
-    best = best.withColumns({"q": F.floor(F.col("_k") / LINES), "seg": F.col("_k") % LINES}).drop("_k")
+    best = best.withColumns({"q": F.shiftright("_k", SEGMENTS.bit_length() - 1), "seg": F.col("_k") % SEGMENTS}).drop("_k")
     return best.join(lines.select(log, "line", *cols), [log, "line"])
 
 
@@ -340,9 +367,8 @@ def nearest_on_polyline(points: DataFrame, lines: DataFrame, point: str = "point
     splits a log with most points), and both minima are combinable.
     """
     per = nearest_per_line(points, numbered_lines(lines, log), ["feature_id"], point, log)
-    key = F.col("q") * LINES + F.col("line")
-    return per.groupBy(point).agg((F.min("q") / 1e9).alias("d"), F.min_by("feature_id", key).alias("feature_id"),
-                                  F.min_by("seg", key).alias("seg"), F.min_by("theta", key).alias("theta"))
+    best = per.groupBy(log, point).agg(F.min(F.struct("q", "line", "feature_id", "seg", "theta")).alias("b"))
+    return best.select(log, point, (F.col("b.q") / 1e9).alias("d"), "b.feature_id", "b.seg", "b.theta")
 
 
 def ring_edges(polygons: DataFrame, pts: str = "pts") -> DataFrame:
@@ -363,9 +389,9 @@ def crossing() -> Column:
 def point_in_polygon(points: DataFrame, polygons: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
     """GEO-22: per point whether any polygon of its log contains it (even-odd rule over its edges)."""
     edges = ring_edges(polygons.select(log, "feature_id", "pts"))
-    hits = points.select(log, point, "x", "y").repartition(point).join(edges, log).groupBy(point, "feature_id").agg(
+    hits = points.select(log, point, "x", "y").repartition(point).join(edges, log).groupBy(log, point, "feature_id").agg(
         F.count_if(crossing()).alias("n"))
-    return hits.groupBy(point).agg(F.bool_or(F.col("n") % 2 == 1).alias("inside"))
+    return hits.groupBy(log, point).agg(F.bool_or(F.col("n") % 2 == 1).alias("inside"))
 
 
 def angle_diff(a: Column, b: Column) -> Column:
@@ -380,20 +406,22 @@ def map_cues(points: DataFrame, features: DataFrame, point: str = "point_id", lo
     into segments first, so that the join carries plain columns and every cue is a combinable minimum of numbers.
     """
     lines = numbered_lines(features.where("kind IN ('lane', 'crosswalk')"), log)
-    per = nearest_per_line(points, lines, ["kind", "is_intersection"], point, log).join(points.select(point, "heading"), point)
+    per = nearest_per_line(points, lines, ["kind", "is_intersection"], point, log).join(points.select(log, point, "heading"), [log, point])
     lane, cross = F.col("kind") == "lane", F.col("kind") == "crosswalk"
     ahead = cross & (F.abs(angle_diff(F.col("theta"), F.col("heading"))) < math.pi / 2)
-    key = F.when(lane, F.col("q") * LINES + F.col("line"))
+    key = F.when(lane, F.struct("q", "line"))
 
     def metres(cond):
         return F.min(F.when(cond, F.col("q"))) / 1e9
-    best = per.groupBy(point).agg(
+    best = per.groupBy(log, point).agg(
         metres(lane).alias("map_lane_offset_m"), F.min_by(F.cos(F.col("heading") - F.col("theta")), key).alias("map_lane_alignment_cos"),
         metres(cross).alias("dist_to_crosswalk_m"), metres(ahead).alias("_ahead"), metres(lane & F.col("is_intersection")).alias("_inter"))
     area = point_in_polygon(points, features.where("kind = 'drivable'"), point, log)
-    out = points.select(point).join(best, point, "left").join(area, point, "left")
-    drivable = F.coalesce(F.col("inside"), F.col("map_lane_offset_m") < 3.5, F.lit(False))
-    return out.select(point, "map_lane_offset_m", "map_lane_alignment_cos", F.coalesce("_ahead", "_inter").alias("dist_to_stopline_m"),
+    mapped = features.select(log).distinct().withColumn("_mapped", F.lit(True))
+    out = points.select(log, point).join(best, [log, point], "left").join(area, [log, point], "left").join(mapped, log, "left")
+    # without any map nothing is known
+    drivable = F.when(F.col("_mapped"), F.coalesce(F.col("inside"), F.col("map_lane_offset_m") < 3.5, F.lit(False)))
+    return out.select(log, point, "map_lane_offset_m", "map_lane_alignment_cos", F.coalesce("_ahead", "_inter").alias("dist_to_stopline_m"),
                       "dist_to_crosswalk_m", drivable.cast("double").alias("in_drivable_area"))
 
 
@@ -419,7 +447,7 @@ def tag_actors(states: DataFrame, ego: DataFrame, horizon: float = 4.0, step: fl
     both = box_distance(box_distance(rolled, "_d_cv", ego_box, box("cv")), "_d_ca", ego_box, box("ca"))
     m = both.select(*keys, "k", "dt", softmin(F.col("_d_cv"), F.col("_d_ca"), F.col("a_norm")).alias("m"))
     # both per-actor results in one pass over the grid
-    low = m.groupBy(*keys).agg(*approach_aggs(), run_of(F.col("m") < 0.6, F.col("k"), 2).alias("sustained_tight"))
+    low = m.groupBy(*keys).agg(*approach_aggs(), run_of(F.col("m") < 0.6, F.col("k"), 2, grid_steps(horizon, step)).alias("sustained_tight"))
     scored = base.join(low, keys)
     x, y = city_to_ego(F.col("x0"), F.col("y0"), F.col("eyaw"), F.col("ex"), F.col("ey"))
     scored = scored.withColumn("x_rel_m", x).withColumn("y_rel_m", y)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadsift.functions.intervals import interval_iou, overlap_join
-from roadsift.functions.ordered import row_index
 from roadsift.functions.quantiles import group_medians, group_quantiles
 from roadsift.operators.pu import ordered_split
 
@@ -315,5 +314,3 @@ def topk_qc(topk: DataFrame, manifest: DataFrame, t: DataFrame, k: int = 3) -> D
         out = out.unionByName(tall(part))
     return out
 
-
-_ = row_index

@@ -163,5 +163,3 @@ def nn_recall(emb: DataFrame, vec: str = "embedding") -> tuple[DataFrame, DataFr
     per = hit.groupBy(F.col("_w").alias("window_key")).agg(F.avg("same").alias("recall"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     return hit.agg(F.avg("same").alias("recall"), F.count(F.lit(1)).alias("rows")), per
 
-
-_ = Column

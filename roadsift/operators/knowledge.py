@@ -8,7 +8,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -283,5 +282,3 @@ def check_files(spark, path: str, expected: DataFrame) -> DataFrame:
     return expected.join(files, "name", "left").where(F.col("actual").isNull() | (F.col("actual") != F.col("sha256"))).select(
         "name", F.when(F.col("actual").isNull(), "missing").otherwise("checksum_mismatch").alias("problem"))
 
-
-_ = pd

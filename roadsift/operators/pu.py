@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadsift.functions.durable import pinned
 from roadsift.functions.keys import seeded_hash
 from roadsift.functions.ordered import row_index, running_sum
 from roadsift.functions.quantiles import group_quantiles
@@ -157,6 +158,7 @@ def fit_nnpu_linear(df: DataFrame, cols: Sequence[str], pi: float, y: str = "y",
 
     Full-batch gradient descent: every epoch is one aggregate over the data, the driver holds the weights only.
     """
+    df = pinned(df.select(y, *cols))  # read once an epoch
     w, b, risk = np.zeros(len(cols)), 0.0, None
     for _ in range(epochs):
         p = linear_score(cols, w, b)

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_VALUES = 4_000_000   # numbers in the query matrix that is shipped to every task (32 MB)
 BLOCK = 4096                   # vectors of one packed block
 
 
@@ -46,15 +45,14 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, vec: str = "
     """RET-04: the ``k`` most similar corpus rows of every query: query_id, id, similarity, rank.
 
     ``corpus`` has id, ``queries`` query_id, both the vector and, if ``exclude`` is given, that column: rows that
-    share its value with the query are no candidates.  Every task reduces its own rows to its best k per
-    query before anything is shuffled.  Queries are shipped to the tasks only when their size, which is
-    counted first, is bounded; more of them are packed into blocks and joined block by block.
+    share its value with the query are no candidates.  Both sides are packed into blocks of about ``BLOCK`` rows, each
+    block of queries meets each block of the corpus once, and a task keeps the best k of a block pair per query.
     """
     q = queries.select("query_id", F.col(vec).cast("array<double>").alias("_v"), (F.col(exclude) if exclude else F.lit(None)).cast("string").alias("_x"))
     c = corpus.select("id", F.col(vec).cast("array<double>").alias("_v"), (F.col(exclude) if exclude else F.lit(None)).cast("string").alias("_x"))
     qt, ct = q.schema["query_id"].dataType.simpleString(), c.schema["id"].dataType.simpleString()
     schema = f"query_id {qt}, id {ct}, similarity double"
-    n_q, dim = q.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
+    n_q, n_c = q.count(), c.count()
 
     def score(qid, qm, qx, cid, cm, cx) -> pd.DataFrame:
         sim = qm @ cm.T
@@ -65,19 +63,6 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, vec: str = "
         a, b = _best(sim, k)
         return pd.DataFrame({"query_id": np.asarray(qid)[a], "id": np.asarray(cid)[b], "similarity": sim[a, b]})
 
-    if n_q * (dim or 1) <= BROADCAST_VALUES:
-        rows = q.toPandas()
-        shipped = q.sparkSession.sparkContext.broadcast(
-            (rows["query_id"].to_numpy(), _normalised(rows["_v"]) if len(rows) else np.zeros((0, 1)), rows["_x"].to_numpy()))
-
-        def scan(batches):
-            qid, qm, qx = shipped.value
-            for pdf in batches:
-                if len(pdf) and len(qid):
-                    yield score(qid, qm, qx, pdf["id"].to_numpy(), _normalised(pdf["_v"]), pdf["_x"].to_numpy())
-        return _rank(c.mapInPandas(scan, schema), k)
-
-    n_c = c.count()
     q_blocks, c_blocks = max(1, math.ceil(n_q / BLOCK)), max(1, math.ceil(n_c / BLOCK))
 
     def packed(df: DataFrame, key: str, n: int, block: str) -> DataFrame:
@@ -94,18 +79,31 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, vec: str = "
     return _rank(pairs.mapInPandas(block, schema), k)
 
 
-def approx_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, bucket: float = 0.5, tables: int = 4,
-                radius: float = 1.2, vec: str = "embedding", exact: bool = False) -> DataFrame:
-    """RET-05: candidates that share a random-projection bucket, scored exactly; ``exact`` switches to the full scan."""
+def _codes(v: Column, dim: int, bits: int, tables: int, seed: int) -> Column:
+    """The side of ``bits`` seeded hyperplanes on which a vector lies, as one integer for each of ``tables`` tables."""
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
+    dot = lambda p: F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in p]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return F.array(*[sum((F.when(dot(p) > 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, p in enumerate(table)), F.lit(0)) for table in planes])
+
+
+def approx_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, bits: int = 4, tables: int = 6, seed: int = 1337, vec: str = "embedding",
+                exact: bool = False) -> DataFrame:
+    """RET-05: candidates that lie on the query's side of seeded hyperplanes in one of several tables, scored exactly.
+
+    The bucket of a query and those behind one of its planes are looked at, and queries that find fewer than ``k`` rows there are
+    answered by the full scan, so that each query has k rows if the corpus has.  ``exact`` is the full scan for all.
+    """
     if exact:
         return cosine_topk(corpus, queries, k, vec)
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    c = corpus.select("id", array_to_vector(unit(vec)).alias("f"))
-    q = queries.select("query_id", array_to_vector(unit(vec)).alias("f"))
-    lsh = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1337).fit(c)
-    near = lsh.approxSimilarityJoin(q, c, radius, distCol="dist")
-    # unit vectors: squared distance = 2 - 2 cosine
-    return _rank(near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"),
-                             (1 - F.col("dist") * F.col("dist") / 2).alias("similarity")), k)
+    dim = corpus.select(F.max(F.size(vec))).first()[0] or 1
+    c = corpus.select("id", unit(F.col(vec).cast("array<double>")).alias("_v"))
+    q = queries.select("query_id", unit(F.col(vec).cast("array<double>")).alias("_q"))
+    coded = c.select("id", "_v", F.posexplode(_codes(F.col("_v"), dim, bits, tables, seed)).alias("_t", "_code"))
+    asked = q.select("query_id", "_q", F.posexplode(_codes(F.col("_q"), dim, bits, tables, seed)).alias("_t", "_own"))
+    asked = asked.withColumn("_code", F.explode(F.array(F.col("_own"), *[F.col("_own").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])))
+    near = asked.join(coded, ["_t", "_code"])
+    similarity = F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    found = _rank(near.select("query_id", "id", similarity.alias("similarity")).dropDuplicates(["query_id", "id"]), k)
+    full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    rest = cosine_topk(corpus, queries.join(full, "query_id", "left_anti"), k, vec)
+    return found.join(full, "query_id", "left_semi").unionByName(rest.select(*found.columns))

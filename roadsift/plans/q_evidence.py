@@ -174,10 +174,10 @@ def llm_01(t):
 def _shout(texts):
     if any("error" in x.lower() for x in texts):
         raise ValueError("refused")
-    return [x.upper()[:20] for x in texts]
+    return [x + "!" for x in texts]
 
 
-@query("llm_02_infer", "window_key:s n:n failed:b")
+@query("llm_02_infer", "window_key:s n:n failed:b", "SELECT conv_id || '-' || turn AS window_key, CASE WHEN NOT contains(lower(text), 'error') THEN length(text) + 1 END AS n, contains(lower(text), 'error') AS failed FROM conversations")
 def llm_02(t):
     d = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("window_key"), F.col("text").alias("prompt"))
     return L.infer(d, _shout).select("window_key", F.length("raw").alias("n"), F.col("error").isNotNull().alias("failed"))

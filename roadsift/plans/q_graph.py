@@ -175,15 +175,15 @@ def grf_03(t):
     return R.slice_qc(R.refine_peaks(R.slices(idx), scored(t)), scored(t), idx.where("p_overlap > 0.2"))
 
 
-NEAR = SL + """, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_key ORDER BY r_rel_m, track_uuid) AS rank_by_r FROM idx) WHERE rank_by_r <= 3),
+NEAR = SL + """, near AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_key ORDER BY r_rel_m, track_uuid) AS rank_by_r FROM idx) WHERE rank_by_r <= 3),
 ph(phase_idx, phase, c) AS (VALUES (0, 'pre', 0.2e0), (1, 'onset', 0.4e0), (2, 'mid', 0.7e0), (3, 'peak', 1e0), (4, 'post', 0.4e0)),
-act AS (SELECT log_id, window_key, track_uuid, category, phase_idx, phase, 0 AS is_ego, greatest(0, r_rel_m * (1 - 0.15*c)) AS r_rel_m, greatest(1e-3, greatest(coalesce(ttc_s, 999.0), 1e-3) * (1 - 0.2*c)) AS ttc_s,
+act AS MATERIALIZED (SELECT log_id, window_key, track_uuid, category, phase_idx, phase, 0 AS is_ego, greatest(0, r_rel_m * (1 - 0.15*c)) AS r_rel_m, greatest(1e-3, greatest(coalesce(ttc_s, 999.0), 1e-3) * (1 - 0.2*c)) AS ttc_s,
     greatest(0, dmin_m * (1 - 0.2*c)) AS dmin_m, least(greatest(p_overlap + 0.15*c, 0.0), 1.0) AS p_overlap, rel_speed_closing_mps + 0.25*c AS rel_speed_closing_mps,
     least(greatest((1 - 0.1*c) * heading_align_cos + 0.1*c, -1.0), 1.0) AS heading_align_cos, CASE WHEN approach_like >= 0.5 THEN x_rel_m * (1 - 0.05*c) ELSE x_rel_m END AS x_rel_m,
     CASE WHEN approach_like >= 0.5 THEN y_rel_m * (1 - 0.025*c) ELSE y_rel_m END AS y_rel_m, map_lane_alignment_cos, approach_like FROM near, ph),
-nodes AS (SELECT window_key, track_uuid, phase_idx, phase, is_ego, r_rel_m, x_rel_m, y_rel_m FROM act UNION ALL
+nodes AS MATERIALIZED (SELECT window_key, track_uuid, phase_idx, phase, is_ego, r_rel_m, x_rel_m, y_rel_m FROM act UNION ALL
   SELECT DISTINCT near.window_key, 'EGO', ph.phase_idx, ph.phase, 1, 0.0, 0.0, 0.0 FROM near, ph),
-edges AS (SELECT window_key, phase_idx AS src_phase, phase_idx AS dst_phase, 'EGO' AS src_id, track_uuid AS dst_id, 'ego_to_actor' AS edge_type, sqrt(x_rel_m*x_rel_m + y_rel_m*y_rel_m) AS dist_m, 0 AS is_temporal FROM act
+edges AS MATERIALIZED (SELECT window_key, phase_idx AS src_phase, phase_idx AS dst_phase, 'EGO' AS src_id, track_uuid AS dst_id, 'ego_to_actor' AS edge_type, sqrt(x_rel_m*x_rel_m + y_rel_m*y_rel_m) AS dist_m, 0 AS is_temporal FROM act
   UNION ALL SELECT window_key, phase_idx, phase_idx, track_uuid, 'EGO', 'actor_to_ego', sqrt(x_rel_m*x_rel_m + y_rel_m*y_rel_m), 0 FROM act
   UNION ALL SELECT a.window_key, a.phase_idx, a.phase_idx, a.track_uuid, b.track_uuid, 'actor_to_actor_spatial', sqrt(pow(a.x_rel_m - b.x_rel_m, 2) + pow(a.y_rel_m - b.y_rel_m, 2)), 0
     FROM act AS a JOIN act AS b ON a.window_key = b.window_key AND a.phase_idx = b.phase_idx AND a.track_uuid <> b.track_uuid WHERE sqrt(pow(a.x_rel_m - b.x_rel_m, 2) + pow(a.y_rel_m - b.y_rel_m, 2)) <= 30

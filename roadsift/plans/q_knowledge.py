@@ -6,7 +6,7 @@ from roadsift.functions import keys as K
 from roadsift.operators import knowledge as B
 from roadsift.operators.geometry import nest_actors, union_then_fill
 from roadsift.plans.fixtures import actors
-from roadsift.plans.q_evidence import FLAT, TAGGED, docs
+from roadsift.plans.q_evidence import TAGGED, docs
 from roadsift.plans.q_geometry import FUSED
 from roadsift.plans.registry import query
 
@@ -261,12 +261,10 @@ def kb_19(t):
     CASE WHEN coalesce(n, 0) <> 3 THEN 'not_k_ranked_actors' END, CASE WHEN o_orderkey % 9 = 0 THEN 'rank_outside_budget' END) AS errors FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""")
 def kb_20(t):
     k = F.col("o_orderkey")
-    r = t.lineitem.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("window_key"), F.col("l_linenumber").alias("rank"), F.concat(F.lit("t"), (F.col("l_partkey") % 40).cast("string")).alias("track_uuid")).distinct()
+    r = t.lineitem.select(F.col("l_orderkey").alias("window_key"), F.col("l_linenumber").alias("rank"), F.concat(F.lit("t"), (F.col("l_partkey") % 40).cast("string")).alias("track_uuid")).distinct()
     w = t.orders.select(k.alias("window_key"))
     chosen = t.orders.select(k.alias("window_key"), F.concat(F.lit("t"), (F.col("o_custkey") % 40).cast("string")).alias("track_uuid"))
     ret = t.orders.select(k.alias("window_key"), F.when(k % 9 == 0, 11).otherwise(3).alias("rank"), F.lit(10).alias("top_k"), F.lit(0.5).alias("similarity"), F.lit(0.8).alias("confidence"), F.lit(0.9).alias("s1"), F.when(k % 6 == 0, 0.5).otherwise(0.67).alias("hybrid"))
     q = B.check_lineage({"windows": w, "scores": w.where("window_key % 5 <> 0")}, r, chosen, ret)
     return q.select("window_key", F.array_join("errors", ",").alias("errors"))
 
-
-_ = FLAT

@@ -105,7 +105,7 @@ def s6_08_ece(t):
     return E.ece(_conf(t))
 
 
-HUMAN = TRACE + """, hm AS (SELECT CAST(o_orderkey AS VARCHAR) AS window_key, lower(o_orderstatus) AS hl, CASE WHEN o_orderkey % 7 <> 0 THEN 't' || (o_custkey % 4) END AS ht FROM orders WHERE o_orderkey % 5 = 0),
+HUMAN = TRACE + """, hm AS (SELECT CAST(o_orderkey AS VARCHAR) AS window_key, lower(o_orderstatus) AS hl, CASE WHEN o_orderkey % 7 <> 0 THEN 't' || (o_custkey % 4) END AS ht FROM orders),
 hj AS (SELECT b.backend_id, hm.*, tc.lab, tc.sk FROM hm, (SELECT DISTINCT backend_id FROM pd) AS b LEFT JOIN tc ON tc.backend_id = b.backend_id AND tc.window_key = hm.window_key),
 hf AS (SELECT backend_id, label, count(*) FILTER (ft = label AND fp = label) AS tp, count(*) FILTER (ft <> label AND fp = label) AS fpos, count(*) FILTER (ft = label AND fp <> label) AS fn FROM (SELECT backend_id, CASE WHEN hl IN ('f', 'o') THEN hl ELSE 'other' END AS ft, CASE WHEN lab IN ('f', 'o') THEN lab ELSE 'other' END AS fp FROM hj),
   (VALUES ('f'), ('o')) AS v(label) GROUP BY ALL)"""
@@ -120,7 +120,7 @@ def s6_09(t):
     actors = F.array(*[F.struct(F.lit(f"A{i}").alias("label"), F.lit(f"t{i}").alias("uuid")) for i in range(4)])
     rec = F.struct(F.col("o_custkey").cast("string").alias("log_id"), k.cast("string").alias("window_key"), F.struct(
         F.col("o_orderstatus").alias("scenario_label"), F.struct(F.when(k % 7 != 0, F.concat(F.lit("A"), (F.col("o_custkey") % 4).cast("string"))).alias("primary_trigger")).alias("fields")).alias("scenario"), actors.alias("actors"))
-    raw = t.orders.where("o_orderkey % 5 = 0").select(k.alias("seq"), F.to_json(rec).alias("line"))
+    raw = t.orders.select(k.alias("seq"), F.to_json(rec).alias("line"))
     return E.human_alignment(trace(t), E.parse_reviews(raw, {}), LABELS, ALIAS)
 
 

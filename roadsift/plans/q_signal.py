@@ -187,5 +187,3 @@ def sig_17(t):
     fixed = S.detect_windows(ego, -1500.0, -45000.0).withColumn("source", F.lit("fixed"))
     return S.union_windows(own, fixed)
 
-
-_ = window_key

@@ -117,9 +117,11 @@ def src_09(t):
 @query("src_10_read_outputs", "prompt_type:s backend_dir:s event_id:n", "SELECT 'p' || (event_id % 3) AS prompt_type, 'llm_' || event_type AS backend_dir, event_id FROM events WHERE event_id % 3 < 2 AND event_type = 'click'")
 def src_10(t):
     root = S.scratch(t.spark, "outputs")
-    for prompt in ("p0", "p1", "p2"):
-        for kind in ("click", "view"):
-            t.events.where((F.col("event_id") % 3 == int(prompt[1])) & (F.col("event_type") == kind)).select("event_id").write.json(f"{root}/{prompt}/llm_{kind}")
+    folders = t.events.select("event_id", (F.col("event_id") % 3).cast("int").alias("p"), F.concat(F.lit("llm_"), "event_type").alias("b"))
+    for p in range(3):
+        kinds = [r["b"] for r in folders.select("b").distinct().collect()]  # the few event types
+        for kind in kinds:
+            folders.where((F.col("p") == p) & (F.col("b") == kind)).select("event_id").write.json(f"{root}/p{p}/{kind}")
     return S.read_outputs(t.spark, root, "event_id bigint", ["p0", "p1"], ["llm_click"])
 
 

@@ -127,11 +127,13 @@ def read_docs(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_outputs(spark: SparkSession, root: str, schema: str, prompts: Sequence[str] | None = None, backends: Sequence[str] | None = None) -> DataFrame:
     """SRC-10: ``root/<prompt>/<backend>/*.json`` with the two folder names as columns and optional allowlists."""
-    df = spark.read.schema(schema).json(f"{root.rstrip('/')}/*/*/*.json").select("*", F.col("_metadata.file_path").alias("_path"))
+    def any_of(names):
+        return "{" + ",".join(names) + "}" if names else "*"
+
+    # the allowlists are part of the path, so folders outside them aren't listed
+    df = spark.read.schema(schema).json(f"{root.rstrip('/')}/{any_of(prompts)}/{any_of(backends)}/*.json").select("*", F.col("_metadata.file_path").alias("_path"))
     part = r"/([^/]+)/([^/]+)/[^/]+$"
-    df = df.withColumns({"prompt_type": F.regexp_extract("_path", part, 1), "backend_dir": F.regexp_extract("_path", part, 2)}).drop("_path")
-    df = df.where(F.col("prompt_type").isin(*prompts)) if prompts else df
-    return df.where(F.col("backend_dir").isin(*backends)) if backends else df
+    return df.withColumns({"prompt_type": F.regexp_extract("_path", part, 1), "backend_dir": F.regexp_extract("_path", part, 2)}).drop("_path")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

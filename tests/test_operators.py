@@ -66,8 +66,7 @@ def test_similarity_paths_agree(spark, monkeypatch):
     q = df.where("id < 12").withColumnRenamed("id", "query_id")
     u = vs / np.linalg.norm(vs, axis=1, keepdims=True)
     want = {i: list(np.argsort(-(u @ u[i]), kind="stable")[:5]) for i in range(12)}
-    shipped = N.cosine_topk(df, q, 5).orderBy("query_id", "rank").collect()
-    monkeypatch.setattr(N, "BROADCAST_VALUES", 1)
+    shipped = N.cosine_topk(df, q, 5).orderBy("query_id", "rank").collect()  # one block
     monkeypatch.setattr(N, "BLOCK", 16)
     blocked = N.cosine_topk(df, q, 5).orderBy("query_id", "rank").collect()
     for i in range(12):
@@ -82,8 +81,36 @@ def test_approximate_search_finds_most_neighbours(spark):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)], "id int, embedding array<double>")
     q = df.where("id < 10").withColumnRenamed("id", "query_id")
     exact = {(r["query_id"], r["id"]) for r in N.cosine_topk(df, q, 5).collect()}
-    approx = {(r["query_id"], r["id"]) for r in N.approx_topk(df, q, 5, bucket=1.0, tables=6, radius=1.5).collect()}
-    assert len(exact & approx) >= 0.8 * len(exact)
+    approx = {(r["query_id"], r["id"]) for r in N.approx_topk(df, q, 5).collect()}
+    assert len(approx) == 50 and len(exact & approx) >= 0.8 * len(exact)
+    sparse = {(r["query_id"], r["id"]) for r in N.approx_topk(df, q, 40, bits=6, tables=1).collect()}
+    assert len(sparse) == 400  # queries whose buckets hold too few are answered in full
+
+
+def test_a_grid_of_a_hundred_steps(spark):
+    rows = [("a", k, 0.1 if k in (98, 99) else 1.0 + k) for k in range(100)] + [("b", k, 0.1 if k in (10, 12, 75) else 5.0) for k in range(100)]
+    df = spark.createDataFrame(rows, "w string, k int, m double").withColumn("dt", F.col("k") * 0.1)
+    got = {r["w"]: r for r in G.min_approach(df, ["w"]).join(G.sustained(df, ["w"], steps=100), "w").collect()}
+    assert got["a"]["sustained_tight"] and not got["b"]["sustained_tight"]
+    assert got["a"]["t_at_dmin_s"] == pytest.approx(9.8) and got["b"]["t_at_dmin_s"] == pytest.approx(1.0)
+    with pytest.raises(Exception, match="outside the grid"):
+        G.sustained(df, ["w"]).collect()
+
+
+def test_a_map_of_seventy_thousand_lines(spark):
+    lines = spark.range(70_000).select(F.lit("l").alias("log_id"), F.col("id").alias("feature_id"), F.array(*[F.struct(F.lit(x).alias("x"), (F.col("id") * 2.0).alias("y")) for x in (0.0, 1.0)]).alias("pts"))
+    points = spark.createDataFrame([("l", "p", 0.5, 139_998.4), ("l", "q", 0.5, 0.9)], "log_id string, point_id string, x double, y double")
+    got = {r["point_id"]: (r["feature_id"], round(r["d"], 6)) for r in G.nearest_on_polyline(points, lines).collect()}
+    assert got == {"p": (69_999, 0.4), "q": (0, 0.9)}
+
+
+def test_a_point_id_in_two_logs(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    features = spark.createDataFrame([("a", 1, "drivable", False, square), ("b", 1, "lane", True, [(0.0, 9.0), (9.0, 9.0)])],
+                                     "log_id string, feature_id int, kind string, is_intersection boolean, pts array<struct<x: double, y: double>>")
+    points = spark.createDataFrame([("a", "p", 1.0, 1.0, 0.0), ("b", "p", 1.0, 1.0, 0.0), ("c", "p", 1.0, 1.0, 0.0)], "log_id string, point_id string, x double, y double, heading double")
+    got = {r["log_id"]: (r["map_lane_offset_m"], r["in_drivable_area"]) for r in G.map_cues(points, features).collect()}
+    assert got == {"a": (None, 1.0), "b": (8.0, 0.0), "c": (None, None)}
 
 
 def test_pu_risk_falls_and_separates(spark):
