@@ -336,7 +336,7 @@ def segment_distance(df: DataFrame, out: str = "d") -> DataFrame:
     return df.withColumn(out, F.hypot(dx - F.col("_along") * F.col("ux"), dy - F.col("_along") * F.col("uy"))).drop("_along")
 
 
-SEGMENTS = 1 << 18   # segments of one line that fit the packed order; more raise
+SEGMENTS = 1 << 14   # segments of one line that fit the packed order, with distances up to 281 km; beyond that it raises
 
 
 def numbered_lines(lines: DataFrame, log: str = "log_id") -> DataFrame:
