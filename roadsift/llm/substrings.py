@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadsift.llm.text import Words, mixed, slices, squeeze, unsqueeze, window_hashes
+from roadsift.llm.text import SLICE, Words, mixed, slices, squeeze, unsqueeze, window_hashes
 
-BATCH = 16 << 20  # bytes of text whose strings are reduced and packed together
+BATCH = 12 << 20  # bytes of text whose strings are reduced and packed together
 ZSTD = pa.Codec("zstd", 6)
 KEY = struct.Struct("<qi")
 HIDDEN = np.uint64(2**64 - 1)
@@ -160,36 +160,41 @@ def repeated_in(blocks: list[bytes], size: int) -> Iterator[bytes]:
     ids, content, first, n, sizes, data = (np.concatenate(c) for c in zip(*map(unpack, blocks)))
     offsets = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=offsets[1:])
-    text = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-    words = Words(text)
-    hashes, whole = window_hashes(words.hashes, words.doc, size)
-    at = np.flatnonzero(whole)
-    order = at[np.argsort(hashes[at], kind="stable")]
+    parts, a = [], 0
+    while a < len(sizes):  # hashing takes many bytes for one of text, so it goes slice by slice
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
+        here, shift = offsets[a:b + 1] - offsets[a], offsets[a]
+        words = Words(pa.Array.from_buffers(pa.large_string(), b - a, [None, pa.py_buffer(here.tobytes()), pa.py_buffer(data[shift:offsets[b]].tobytes())]))
+        hashes, whole = window_hashes(words.hashes, words.doc, size)
+        at = np.flatnonzero(whole)
+        parts.append((hashes[at], (words.doc[at] + a).astype(np.int32), (at - words.bounds[words.doc[at]]).astype(np.int32),
+                      words.starts[at] + shift, words.ends[at + size - 1] + shift))
+        a = b
+    hashes, owner, place, begin, end = (np.concatenate(c) for c in zip(*parts))
+    del parts
+    order = np.argsort(hashes, kind="stable")
     sorted_hashes = hashes[order]
     borders = np.flatnonzero(np.append(True, sorted_hashes[1:] != sorted_hashes[:-1]))
     counts = np.diff(np.append(borders, len(order)))
-    many = np.repeat(counts > 1, counts)
-    order, borders, counts = order[many], borders[counts > 1], counts[counts > 1]
+    order, counts = order[np.repeat(counts > 1, counts)], counts[counts > 1]
     if not len(order):
         return
     borders = np.cumsum(counts) - counts
-    raw, starts, ends = data.tobytes(), words.starts.tolist(), words.ends[order + size - 1].tolist()
-    lead = np.repeat(borders, counts)
-    exact = all(raw[starts[a]:e] == raw[starts[order[b]]:ends[b]] for a, e, b in zip(order.tolist(), ends, lead.tolist()))
-    owner = words.doc[order]
-    if exact:
+    raw, owner, place = data.tobytes(), owner[order], place[order]
+    begin, end = begin[order].tolist(), end[order].tolist()
+    lead = np.repeat(borders, counts).tolist()
+    if all(raw[x:y] == raw[begin[k]:end[k]] for x, y, k in zip(begin, end, lead)):
         least = np.repeat(np.minimum.reduceat(ids[owner], borders), counts)
     else:  # different words with one hash: tell them apart by their bytes
         smallest: dict[bytes, int] = {}
-        texts = [raw[starts[a]:e] for a, e in zip(order.tolist(), ends)]
+        texts = [raw[x:y] for x, y in zip(begin, end)]
         for t, i in zip(texts, ids[owner].tolist()):
             smallest[t] = min(i, smallest.get(t, i))
         least = np.array([smallest[t] for t in texts])
     late = ids[owner] > least
     if late.any():
         who = owner[late]
-        start = first[who] + order[late] - words.bounds[who]
-        yield from flag_rows(ids[who], content[who], start, np.ones(len(who), np.int64))
+        yield from flag_rows(ids[who], content[who], first[who] + place[late], np.ones(len(who), np.int64))
 
 
 def covered(ranges: list[bytes], n_words: int, size: int) -> np.ndarray:
