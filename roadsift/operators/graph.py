@@ -150,34 +150,34 @@ def temporal_edges(nodes: DataFrame) -> DataFrame:
                       F.lit(1).alias("is_temporal"))
 
 
-def all_edges(nodes: DataFrame, m: float = 30.0) -> DataFrame:
-    return ego_edges(nodes).unionByName(proximity_edges(nodes, m)).unionByName(temporal_edges(nodes))
-
-
-def cap_graph(nodes: DataFrame, edges: DataFrame, n: int = 40, e: int = 120) -> tuple[DataFrame, DataFrame]:
-    """GRF-11: ego nodes plus the nearest others up to ``n`` nodes, edges between kept nodes, spatial ones capped to the shortest ``e``."""
-    w = Window.partitionBy(WIN).orderBy(F.col("is_ego").desc(), "r_rel_m", "track_uuid", "phase_idx")
-    kept = nodes.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
-    ends = kept.select(WIN, "track_uuid", "phase_idx")
-    alive = edges.join(ends.withColumnsRenamed({"track_uuid": "src_id", "phase_idx": "src_phase"}), [WIN, "src_id", "src_phase"], "left_semi") \
-                 .join(ends.withColumnsRenamed({"track_uuid": "dst_id", "phase_idx": "dst_phase"}), [WIN, "dst_id", "dst_phase"], "left_semi")
-    ew = Window.partitionBy(WIN).orderBy("dist_m", "src_phase", "src_id", "dst_id", "edge_type")
-    spatial = alive.where("is_temporal = 0").withColumn("_k", F.row_number().over(ew)).where(F.col("_k") <= e).drop("_k")
-    return kept, spatial.unionByName(alive.where("is_temporal = 1"))
+def cap_graph(nodes: DataFrame, n: int = 40, e: int = 120, m: float = 30.0) -> tuple[DataFrame, DataFrame]:
+    """GRF-11: ego nodes plus the nearest others up to ``n`` nodes, and the edges between them, spatial ones capped to the shortest ``e``.
+
+    The node cap doesn't depend on edges, so it comes first and edges arise only between kept nodes: a window is then one array of at
+    most ``n`` nodes, and edges, both caps and node positions (``node``, ``src``, ``dst``) share one shuffle by window."""
+    follow = Window.partitionBy(WIN, "track_uuid").orderBy("phase_idx")
+    near = Window.partitionBy(WIN).orderBy(F.col("is_ego").desc(), "r_rel_m", "track_uuid", "phase_idx")
+    kept = nodes.repartition(WIN).withColumn("_next", F.lead("phase_idx").over(follow)).withColumn("_k", F.row_number().over(near)).where(F.col("_k") <= n)
+    kept = kept.withColumn("node", F.row_number().over(Window.partitionBy(WIN).orderBy("track_uuid", "phase_idx")) - 1)
+    node = F.struct("track_uuid", "phase_idx", "is_ego", F.col("x_rel_m").alias("x"), F.col("y_rel_m").alias("y"), "_next", "node")
+    pairs = kept.groupBy(WIN).agg(F.collect_list(node).alias("nodes")).withColumn("a", F.explode("nodes")).withColumn("b", F.explode("nodes"))
+    other = F.col("a.track_uuid") != F.col("b.track_uuid")
+    next_one = ~other & (F.col("a.is_ego") == 0) & (F.col("b.phase_idx") == F.col("a._next"))
+    d = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
+    kind = F.when(next_one, EDGE_TYPES[3]).when(other & (F.col("a.phase_idx") == F.col("b.phase_idx")), F.when(F.col("a.is_ego") == 1, EDGE_TYPES[0])
+                                                .when(F.col("b.is_ego") == 1, EDGE_TYPES[1]).when(d <= m, EDGE_TYPES[2]))
+    edges = pairs.select(WIN, F.col("a.phase_idx").alias("src_phase"), F.col("b.phase_idx").alias("dst_phase"), F.col("a.track_uuid").alias("src_id"),
+                         F.col("b.track_uuid").alias("dst_id"), kind.alias("edge_type"), F.when(next_one, 0.0).otherwise(d).alias("dist_m"),
+                         next_one.cast("int").alias("is_temporal"), F.col("a.node").alias("src"), F.col("b.node").alias("dst")).where("edge_type IS NOT NULL")
+    short = Window.partitionBy(WIN, "is_temporal").orderBy("dist_m", "src_phase", "src_id", "dst_id", "edge_type")
+    edges = edges.withColumn("is_temporal", F.coalesce("is_temporal", F.lit(0))).withColumn("_k", F.row_number().over(short))
+    return kept.drop("_k", "_next"), edges.where((F.col("is_temporal") == 1) | (F.col("_k") <= e)).drop("_k")
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """GRF-12: edges with dense node positions per window and edge-type id, and a node/edge manifest.
-
-    Works on capped graphs, so numbering a window sorts at most the node cap.
-    """
-    w = Window.partitionBy(WIN).orderBy("track_uuid", "phase_idx")
-    idx = nodes.select(WIN, "track_uuid", "phase_idx").withColumn("node", F.row_number().over(w) - 1)
-    src = idx.withColumnsRenamed({"track_uuid": "src_id", "phase_idx": "src_phase", "node": "src"})
-    dst = idx.withColumnsRenamed({"track_uuid": "dst_id", "phase_idx": "dst_phase", "node": "dst"})
+    """GRF-12: edges of a capped graph with dense node positions per window and edge-type id, and a node/edge manifest."""
     kind = F.array_position(F.array(*[F.lit(t) for t in EDGE_TYPES]), F.col("edge_type")) - 1
-    adj = edges.join(src, [WIN, "src_id", "src_phase"]).join(dst, [WIN, "dst_id", "dst_phase"]).select(
-        WIN, "src", "dst", kind.alias("edge_type_id"), "dist_m")
+    adj = edges.select(WIN, "src", "dst", kind.alias("edge_type_id"), "dist_m")
     sizes = nodes.groupBy(WIN).agg(F.count(F.lit(1)).alias("n_nodes"))
     degrees = adj.groupBy(WIN).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("edge_type_id") != 3).alias("n_spatial"),
                                    F.count_if(F.col("edge_type_id") == 3).alias("n_temporal"))

@@ -248,8 +248,7 @@ ni AS (SELECT window_key, track_uuid, phase_idx, row_number() OVER (PARTITION BY
 
 
 def capped(t):
-    n = nodes(t)
-    return R.cap_graph(n, R.all_edges(n), 14, 12)
+    return R.cap_graph(nodes(t), 14, 12)
 
 
 @query("grf_11_cap_graph", EDGE_SPEC, f"WITH {CAP} SELECT * FROM ke")
