@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from roadsift.functions.ordered import own_rows, chunk_window, row_index, running_sum, with_halo
 
 SCAN = 1024
+RUN = 32
 EPS_SCORE = 1e-5
 EPS_EMISSION = 1e-6
 
@@ -65,9 +66,16 @@ def _last(a) -> Column:
 
 
 def _scan(rows, start: Column, step, back: bool = False) -> Column:
-    """Array of ``len(rows) + 1`` states; the first one is ``start`` (forwards) or the last one (backwards)."""
+    """Array of ``len(rows) + 1`` states; the first one is ``start`` (forwards) or the last one (backwards).
+
+    Appending copies an array, so states grow in runs of ``RUN`` and only the finished runs are appended to each other."""
     seq = F.reverse(rows) if back else rows
-    states = F.aggregate(seq, F.array(start), lambda acc, x: F.concat(acc, F.array(step(_last(acc), x))))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(seq) - 1) / RUN).cast("int")), lambda k: F.slice(seq, k * RUN + 1, RUN))
+
+    def run(part, state: Column) -> Column:
+        return F.slice(F.aggregate(part, F.array(state), lambda acc, x: F.concat(acc, F.array(step(_last(acc), x)))), 2, RUN)
+
+    states = F.flatten(F.aggregate(runs, F.array(F.array(start)), lambda acc, part: F.concat(acc, F.array(run(part, _last(_last(acc)))))))
     return F.reverse(states) if back else states
 
 
