@@ -1,8 +1,10 @@
 """Nearest neighbours by inner product with a vantage-point tree per shard.
 
-A vector gets one more component that brings all to one length, so the largest inner product is the smallest distance, and the triangle
-inequality holds.  A subtree is left out where ``relax`` times its least possible distance exceeds the distance of the k-th neighbour so
-far: 1 is exact search, more is faster and may miss neighbours.  Every row is in a tree.  Shards and query blocks have a
+A vector gets one more component that brings all of a shard to one length, so the largest inner product is the smallest distance, and the
+triangle inequality holds.  A subtree is left out where ``relax`` times its least possible distance exceeds the distance of the k-th
+neighbour so far: 1 is exact search, whatever the lengths.  More is faster and only fit for vectors of nearly one length: queries don't get
+the component, so one long vector moves all distances of its shard to its own length, and most of the shard is left out.  Neighbours are
+ranked by the inner product itself.  Every row is in a tree.  Shards and query blocks have a
 fixed size in bytes; a task holds one tree and reads query blocks one by one, and keeps k rows for each query and shard.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a query meets only vectors of its own
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 SHARD_BYTES = 4 << 20
 BLOCK_QUERIES = 512
 LEAF = 128
+# part of the common length by which rounding may move a distance
+ROUNDING = 1e-6
 
 
 class Tree:
@@ -40,7 +44,7 @@ class Tree:
         distance = np.sqrt(np.maximum(self.squares[rows] + self.squares[at] - 2 * self.points[rows] @ self.points[at], 0))
         middle = float(np.median(distance))
         inner = distance <= middle
-        if inner.all():  # many equal vectors
+        if inner.all() or not inner.any():  # many equal vectors, or lengths past the range of a double
             half = len(rows) // 2
             return (at, np.inf, self._build(rows[:half]), self._build(rows[half:]))
         return (at, middle, self._build(rows[inner]), self._build(rows[~inner]))
@@ -53,7 +57,8 @@ class Search:
         self.tree, self.ids, self.queries, self.own, self.k, self.relax = tree, ids, queries, own, k, relax
         n = len(queries)
         self.squares = (queries * queries).sum(1)
-        self.near = np.full((n, k), np.inf)
+        self.reach = self.squares + tree.squares.max(initial=0)
+        self.scores = np.full((n, k), -np.inf)
         self.rows = np.full((n, k), -1)
         if n:
             self._visit(tree.root, np.arange(n))
@@ -66,14 +71,15 @@ class Search:
         if not len(q):
             return
         if isinstance(node, np.ndarray):
-            distance = self._distance(q, node)
-            distance[self.ids[node] == self.own[q][:, None]] = np.inf
-            near = np.concatenate([self.near[q], distance], 1)
-            rows = np.concatenate([self.rows[q], np.broadcast_to(node, distance.shape)], 1)
-            # a few more than k aren't needed: equal distances are told apart by id
-            best = np.lexsort((np.where(rows < 0, 0, self.ids[rows]), near), axis=1)[:, :self.k]
-            self.near[q] = np.take_along_axis(near, best, 1)
-            self.rows[q] = np.where(np.isinf(self.near[q]), -1, np.take_along_axis(rows, best, 1))
+            score = np.einsum("qd,rd->qr", self.queries[q], self.tree.points[node])  # equal vectors get equal scores
+            own = self.ids[node] == self.own[q][:, None]
+            score[own] = -np.inf
+            scores = np.concatenate([self.scores[q], score], 1)
+            rows = np.concatenate([self.rows[q], np.where(own, -1, node)], 1)
+            # a few more than k aren't needed: equal scores are told apart by id
+            best = np.lexsort((np.where(rows < 0, 0, self.ids[rows]), -scores), axis=1)[:, :self.k]
+            self.scores[q] = np.take_along_axis(scores, best, 1)
+            self.rows[q] = np.take_along_axis(rows, best, 1)
             return
         at, middle, inner, outer = node
         if np.isinf(middle):
@@ -84,8 +90,9 @@ class Search:
         for first, second, mine in ((inner, outer, gap <= 0), (outer, inner, gap > 0)):
             side = q[mine]
             self._visit(first, side)
-            left = np.abs(gap[mine]) * self.relax <= self.near[side, -1] + 1e-9
-            self._visit(second, side[left])
+            last = np.sqrt(np.maximum(self.reach[side] - 2 * self.scores[side, -1], 0))
+            away = np.abs(gap[mine]) * self.relax > last + ROUNDING * np.sqrt(self.reach[side])
+            self._visit(second, side[~away])
 
 
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
@@ -121,11 +128,10 @@ def _packed(rows: DataFrame, group: list[str], names: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, id: str = "vec_id", vector: str = "embedding", k: int = 20, relax: float = 1.0) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``<id>``, ``score`` for the rows where ``is_query`` (a condition on ``id``) holds."""
     rows = usable(vectors, id, vector)
-    sizes = rows.agg(F.count("*").alias("n"), F.max("size").alias("size"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square"),
+    sizes = rows.agg(F.count("*").alias("n"), F.max("size").alias("size"),
                      F.sum(F.when(is_query, 1).otherwise(0)).alias("queries")).first()
     per_shard = max(1024, SHARD_BYTES // (8 * (sizes["size"] or 1)))
     n_shards, n_blocks = -(-(sizes["n"] or 1) // per_shard), -(-(sizes["queries"] or 1) // BLOCK_QUERIES)
-    reach = (sizes["square"] or 0.0) * (1 + 1e-9)
     placed = rows.withColumn("size", F.col("size").cast("long")).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_shards)))
     shards = _packed(placed, ["size", "shard"], "shard")
     blocks = _packed(placed.where(is_query).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n_blocks))), ["size", "block"], "block")
@@ -140,16 +146,15 @@ def nearest(vectors: DataFrame, is_query, id: str = "vec_id", vector: str = "emb
                 size, shard, block, ids, data = (batch.column(c)[r].as_py() for c in ("size", "shard", "block", "ids", "data"))
                 ids, data = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, size)
                 if block < 0:
-                    rest = np.sqrt(np.maximum(reach - (data * data).sum(1), 0))
-                    now, held, original = (size, shard), ids, data
+                    squares = (data * data).sum(1)
+                    rest = np.sqrt(squares.max() - squares)
+                    now, held = (size, shard), ids
                     tree = Tree(np.column_stack([data, rest]))
                 elif now == (size, shard):
                     found = Search(tree, held, np.column_stack([data, np.zeros(len(data))]), ids, k, relax)
-                    hit = found.rows >= 0
                     rows = np.maximum(found.rows, 0)
-                    score = np.where(hit, (data[:, None, :] * original[rows]).sum(-1), -np.inf)
                     yield pa.record_batch([pa.array([block]), pa.array([size]), pa.array([ids.tobytes()], pa.binary()),
-                                           pa.array([held[rows].tobytes()], pa.binary()), pa.array([score.tobytes()], pa.binary())], ["block", "size", "queries", "ids", "scores"])
+                                           pa.array([held[rows].tobytes()], pa.binary()), pa.array([found.scores.tobytes()], pa.binary())], ["block", "size", "queries", "ids", "scores"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, best = None, None

@@ -147,7 +147,7 @@ def op7(spark, sf_dir):
 
 @query("op8_vantage_point_neighbours")
 def op8(spark, sf_dir):
-    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, relax=1.5)
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
 @query("op9_substring_dedup", """

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadsift.llm import chat, neighbours
+from roadsift.llm import chat, neighbours, queries
 
 NAN = float("nan")
 
@@ -55,6 +55,31 @@ def test_relaxed_recall(spark):
     assert len(got) == 20 * len(want) and hits >= 0.9 * len(got)
 
 
+def lengths(kind, n=4000):
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(40, 16))
+    x = centres[r.integers(0, 40, n)] + 0.3 * r.normal(size=(n, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "log-normal":
+        x *= r.lognormal(0, 0.7, (n, 1))
+    elif kind != "equal":
+        x[77] *= float(kind)
+    return [(k, x[k].astype(np.float32).tolist(), None) for k in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["equal", "3", "10", "1e8", "log-normal"])
+def test_query_finds_all_neighbours_whatever_the_lengths(spark, tmp_path, kind):
+    rows = lengths(kind)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.QUERIES["op8_vantage_point_neighbours"](spark, str(tmp_path)).collect()
+    want = brute(rows, 20)
+    found = {q: set() for q in want}
+    for r in got:
+        found[r["query_id"]].add(r["vec_id"])
+    recall = sum(len(found[q] & set(ids)) for q, (ids, _) in want.items()) / (20 * len(want))
+    assert len(got) == 20 * len(want) and recall == 1.0, recall
+
+
 def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0])], "vec_id long, embedding array<double>")
     got = neighbours.nearest(few, F.col("id") % 20 == 0).collect()
