@@ -31,6 +31,28 @@ def test_near_duplicates(table, size, percent):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(shingles(texts()[r["doc_id"]], size)), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
+@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
+def test_short_near_duplicates(spark, size, percent):
+    """Pairs of 5 to 30 words that differ at their ends; no two pairs share a word, so only partners can be linked."""
+    import random
+
+    r = random.Random(9)
+    rows, linked = {}, 0
+    for k in range(1500):
+        words = [f"p{k}w{j}" for j in range(r.randint(5, 30))]
+        other = list(words)
+        for _ in range(r.choice([1, 1, 1, 2])):
+            other.insert(r.choice([0, len(other)]), f"p{k}x{len(other)}")
+        rows[2 * k], rows[2 * k + 1] = " ".join(words), " ".join(other)
+    want = {}
+    for k in range(1500):
+        want |= near({i: rows[i] for i in (2 * k, 2 * k + 1)}, size, percent)
+        linked += want[2 * k + 1] == 2 * k
+    got = minhash.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), words=size, percent=percent).collect()
+    lost = [r["doc_id"] for r in got if r["component_id"] != want[r["doc_id"]]]
+    assert linked > 700 and not lost, (len(lost), linked)
+
+
 def test_rows_that_share_an_id_are_one_document(spark):
     rows = [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (2, "p q r s t u v w"), (0, "a b c d e f g h"), (9, "other words only here")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
