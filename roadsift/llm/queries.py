@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadsift.llm import bpe, chat, minhash, neighbours, packing, rules, secret_scan, substrings, tokens, toxicity
+from roadsift.llm import bpe, chat, merkle, minhash, neighbours, packing, rules, secret_scan, substrings, tokens, toxicity
 from roadsift.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,5 +177,49 @@ def op10(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(span_text(of(*base)), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+@query("op11_merkle_manifest", """
+WITH RECURSIVE v AS (
+  SELECT doc_id, lang, n_chars, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+         || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head, CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+         list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, c:
+           list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents),
+f AS MATERIALIZED (
+  SELECT doc_id, lang, sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || tail) AS leaf,
+         sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR)) || ':'
+                || (n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END) END || tail) AS bent FROM v),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM f),
+up(lvl, lang, i, h, n) AS (
+  SELECT 0, lang, i, leaf, n FROM leaves
+  UNION ALL SELECT lvl + 1, lang, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY lvl, lang, i // 2, n),
+subs AS MATERIALIZED (SELECT lang, h, lvl AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lvl, i, h, n) AS (
+  SELECT 0, i, h, n FROM subs
+  UNION ALL SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, i // 2, n),
+root AS MATERIALIZED (SELECT h, lvl AS height FROM top WHERE n = 1),
+over AS MATERIALIZED (
+  SELECT s.lang, s.h AS subroot, root.h AS root, s.height, coalesce(list(coalesce(CASE WHEN (s.i >> t.lvl) & 1 = 1 THEN 'L' ELSE 'R' END || t.h, '') ORDER BY s.l) FILTER (s.l IS NOT NULL), []) AS path
+  FROM (SELECT *, unnest(CASE WHEN (SELECT height FROM root) > 0 THEN range((SELECT height FROM root)) ELSE [NULL] END) AS l FROM subs) s CROSS JOIN root
+  LEFT JOIN top t ON t.lvl = s.l AND t.i = xor(s.i >> s.l, 1) GROUP BY s.lang, s.h, root.h, s.height),
+below AS (
+  SELECT d.lang, d.i, list(coalesce(CASE WHEN (d.i >> d.l) & 1 = 1 THEN 'L' ELSE 'R' END || u.h, '') ORDER BY d.l) FILTER (d.l IS NOT NULL) AS path
+  FROM (SELECT x.lang, x.i, unnest(CASE WHEN o.height > 0 THEN range(o.height) ELSE [NULL] END) AS l FROM leaves x JOIN over o ON x.lang IS NOT DISTINCT FROM o.lang) d
+  LEFT JOIN up u ON u.lvl = d.l AND u.lang IS NOT DISTINCT FROM d.lang AND u.i = xor(d.i >> d.l, 1) GROUP BY d.lang, d.i),
+p AS (
+  SELECT x.*, o.subroot, o.root, list_concat(coalesce(b.path, []), o.path) AS path
+  FROM leaves x JOIN over o ON x.lang IS NOT DISTINCT FROM o.lang JOIN below b ON b.lang IS NOT DISTINCT FROM x.lang AND b.i = x.i),
+r AS (
+  SELECT *, sha256(array_to_string(list_transform(path, lambda s: substr(s, 2)), '')) AS proof_sha256,
+         list_reduce(list_prepend(bent, path), lambda a, s: sha256(CASE WHEN s[1] = 'L' THEN substr(s, 2) || a ELSE a || substr(s, 2) END)) AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM r
+""")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    out = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], group="lang", tampered={"n_chars": F.col("n_chars") + 1}, when=tampered)
+    proof = F.sha2(F.array_join(F.col("path.sibling"), ""), 256)
+    return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
 def load() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
