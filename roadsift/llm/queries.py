@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadsift.llm import bpe, chat, merkle, minhash, neighbours, packing, rules, secret_scan, substrings, tokens, toxicity
+from roadsift.llm import alignment, bpe, chat, merkle, minhash, neighbours, packing, rules, secret_scan, substrings, tokens, toxicity
 from roadsift.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,5 +221,12 @@ def op11(spark, sf_dir):
     return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
 
 
+@query("op12_tokenizer_alignment")
+def op12(spark, sf_dir):
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    out = alignment.alignment(table(spark, sf_dir, "documents"), *files, digests=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 def load() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
