@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadsift.llm import alignment, bpe, chat, merkle, minhash, neighbours, packing, rules, secret_scan, substrings, tokens, toxicity
+from roadsift.llm import alignment, bpe, chat, merkle, minhash, neighbours, packing, repeats, rules, secret_scan, substrings, tokens, toxicity
 from roadsift.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,5 +228,11 @@ def op12(spark, sf_dir):
     return out.withColumnRenamed("groups", "groups_sha256")
 
 
+@query("op13_suffix_array_dedup")
+def op13(spark, sf_dir):
+    out = repeats.remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), size=400)
+    return out.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def load() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
