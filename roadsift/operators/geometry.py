@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadsift.functions.durable import pinned
 from roadsift.functions.intervals import near_join
 
 # Published tagging configuration.
@@ -337,37 +338,102 @@ def segment_distance(df: DataFrame, out: str = "d") -> DataFrame:
 
 
 SEGMENTS = 1 << 14   # segments of one line that fit the packed order, with distances up to 281 km; beyond that it raises
+CELL, GROWTH, LEVELS = 8.0, 4, 4   # metres of the finest cells, and how they grow until a search takes in the whole map
 
 
 def numbered_lines(lines: DataFrame, log: str = "log_id") -> DataFrame:
     """Number the lines of each log's map by feature id; a map is bounded by its city."""
-    return lines.where(F.size("pts") >= 2).withColumn("line", F.row_number().over(Window.partitionBy(log).orderBy(*[c for c in ("kind", "feature_id") if c in lines.columns])) - 1)
+    return lines.where(F.size("pts") >= 2).withColumn("line", F.row_number().over(Window.partitionBy(log).orderBy(
+        *[c for c in ("kind", "feature_id", "edge") if c in lines.columns])) - 1)
 
 
-def nearest_per_line(points: DataFrame, lines: DataFrame, cols: Sequence[str], point: str, log: str) -> DataFrame:
-    """Nearest segment of every line of the log for each point: ``q`` (nanometres), ``seg``, ``theta``.
+def _cell(v: Column, size: float) -> Column:
+    return F.floor(v / size)
 
-    Distance and segment are packed into one integer: the aggregate has number-only buffers, is hash-based
-    and reduces the rows of a point before they are shuffled.
-    """
-    segs = line_segments(lines.select(log, "line", "pts"))
-    # points are spread by their id before they multiply: one small shuffle that the aggregates then reuse
-    spots = points.select(log, point, "x", "y").repartition(point)
-    hit = segment_distance(spots.join(segs, log))
-    key = _packed_order(_nano(F.col("d")), F.col("seg"), SEGMENTS)
-    best = hit.groupBy(log, point, "line").agg(F.min(key).alias("_k"), F.min_by("theta", key).alias("theta"))
-    best = best.withColumns({"q": F.shiftright("_k", SEGMENTS.bit_length() - 1), "seg": F.col("_k") % SEGMENTS}).drop("_k")
-    return best.join(lines.select(log, "line", *cols), [log, "line"])
 
+def segment_cells(segs: DataFrame, size: float) -> DataFrame:
+    """Each segment once per cell (cx, cy) from which a point may lie within ``size`` of it.
+
+    Column by column: the stretch of the segment that is at most one column away, and the rows up to one above and below it."""
+    def y_at(x: Column) -> Column:
+        share = F.when(F.abs("ux") > 1e-12, (x - F.col("sx")) / F.col("ux"))
+        return F.col("sy") + F.col("uy") * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+
+    def rows(c: Column) -> Column:
+        a, b = y_at((c - 1) * size), y_at((c + 2) * size)
+        steep = F.abs("ux") <= 1e-12
+        lo = F.when(steep, F.least("sy", F.col("sy") + F.col("uy"))).otherwise(F.least(a, b))
+        hi = F.when(steep, F.greatest("sy", F.col("sy") + F.col("uy"))).otherwise(F.greatest(a, b))
+        return F.transform(F.sequence(_cell(lo, size) - 1, _cell(hi, size) + 1), lambda r: F.struct(c.alias("cx"), r.alias("cy")))
+    ends = F.least("sx", F.col("sx") + F.col("ux")), F.greatest("sx", F.col("sx") + F.col("ux"))
+    cells = F.flatten(F.transform(F.sequence(_cell(ends[0], size) - 1, _cell(ends[1], size) + 1), rows))
+    return segs.withColumn("_c", F.explode(cells)).select(*segs.columns, "_c.*")
 
-def nearest_on_polyline(points: DataFrame, lines: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
-    """GEO-21: per point the nearest polyline of its log with distance, segment index and segment heading.
 
-    The map is cut into segments before one join on the log (a log's map is bounded; adaptive skew handling
-    splits a log with most points), and both minima are combinable.
+def cell_hits(points: DataFrame, segs: DataFrame, size: float | None, log: str = "log_id") -> DataFrame:
+    """Point and segment pairs of neighbouring cells (of the whole log without ``size``), with their distance."""
+    if size is None:
+        return segment_distance(points.join(segs, log))
+    at = points.withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)})
+    return segment_distance(at.join(segment_cells(segs, size), [log, "cx", "cy"]).drop("cx", "cy"))
+
+
+def nearest_lines(points: DataFrame, lines: DataFrame, cols: Sequence[str], targets: dict[str, Column], point: str, log: str,
+                  open_first: dict[str, Column] | None = None, cell: float = CELL) -> DataFrame:
+    """For each point and target the nearest line of its log that meets the target: a struct of ``q`` (nanometres), ``line``, ``seg``,
+    ``theta`` and ``cols``; null where the log has none.
+
+    A target is a condition on a line (its ``cols``, the heading ``theta`` of its segment nearest to the point) and on the point's columns.
+    The search runs ring after ring: segments are registered in the cells around them, a point meets those of its own cell, which are all
+    within one cell's size of it, and is done with a target once the best line is no farther than that.  What is left goes on
+    with cells ``GROWTH`` times as large, and after ``LEVELS`` of them meets its log's whole map.  ``open_first`` names the targets that
+    a point's log can't meet at all by a condition on the point's columns, so that it doesn't look for them.
     """
-    per = nearest_per_line(points, numbered_lines(lines, log), ["feature_id"], point, log)
-    best = per.groupBy(log, point).agg(F.min(F.struct("q", "line", "feature_id", "seg", "theta")).alias("b"))
+    segs = line_segments(lines.select(log, "line", "pts", *cols))
+    kept = points.columns
+    best_type = "struct<" + ", ".join(["q: bigint", "line: int", "seg: bigint", "theta: double", *[f"{c}: {lines.schema[c].dataType.simpleString()}" for c in cols]]) + ">"
+    left = points.withColumns({f"_open_{t}": (open_first or {}).get(t, F.lit(True)) for t in targets} | {f"_best_{t}": F.lit(None).cast(best_type) for t in targets})
+    is_open = [F.col(f"_open_{t}") for t in targets]
+    some_open = is_open[0]
+    for c in is_open[1:]:
+        some_open = some_open | c
+    out = left.where(~some_open).select(*kept, *[F.col(f"_best_{t}").alias(t) for t in targets])
+    left = left.where(some_open)
+    asked = [c for c in kept if c not in (log, point, "x", "y")]
+    sizes = [cell * GROWTH ** k for k in range(LEVELS)] + [None]
+    for size in sizes:
+        # points are spread by their id before they multiply: one small shuffle that the aggregates then reuse
+        hit = cell_hits(left.select(log, point, "x", "y", *asked).repartition(point), segs, size, log)
+        key = _packed_order(_nano(F.col("d")), F.col("seg"), SEGMENTS)
+        per = hit.groupBy(log, point, *asked, "line", *cols).agg(F.min(key).alias("_k"), F.min_by("theta", key).alias("theta"))
+        per = per.withColumns({"q": F.shiftright("_k", SEGMENTS.bit_length() - 1), "seg": F.col("_k") % SEGMENTS})
+        found = per.groupBy(log, point).agg(*[F.min(F.when(cond, F.struct("q", F.col("line").cast("int").alias("line"), "seg", "theta", *cols))).cast(best_type).alias(f"_new_{t}")
+                                              for t, cond in targets.items()])
+        reach = F.lit(True) if size is None else None
+        state = left.join(found, [log, point], "left")
+        changed = {}
+        for t in targets:
+            new = F.col(f"_new_{t}")
+            sure = F.col(f"_open_{t}") & (reach if reach is not None else F.coalesce(new["q"] <= F.lit(int(size * 1e9 * (1 - 1e-9))), F.lit(False)))
+            changed[f"_best_{t}"] = F.when(sure, new).otherwise(F.col(f"_best_{t}"))
+            changed[f"_open_{t}"] = F.col(f"_open_{t}") & ~sure
+        state = state.withColumns(changed).drop(*[f"_new_{t}" for t in targets])
+        if size is not None:
+            state = pinned(state)
+        done = state if size is None else state.where(~some_open)
+        out = out.unionByName(done.select(*kept, *[F.col(f"_best_{t}").alias(t) for t in targets]))
+        if size is not None:
+            left = state.where(some_open)
+            if left.isEmpty():
+                break
+    return out
+
+
+def nearest_on_polyline(points: DataFrame, lines: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
+    """GEO-21: per point the nearest polyline of its log with distance, segment index and segment heading; equal distances go to the
+    smaller feature id.  Points of logs without lines have no row."""
+    mapped = points.join(lines.where(F.size("pts") >= 2).select(log).distinct(), log, "left_semi")
+    best = nearest_lines(mapped.select(log, point, "x", "y"), numbered_lines(lines, log), ["feature_id"], {"b": F.lit(True)}, point, log)
     return best.select(log, point, (F.col("b.q") / 1e9).alias("d"), "b.feature_id", "b.seg", "b.theta")
 
 
@@ -386,12 +452,24 @@ def crossing() -> Column:
     return ((y1 > y) != (y0 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0 + 1e-12) + x0)
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
-    """GEO-22: per point whether any polygon of its log contains it (even-odd rule over its edges)."""
-    edges = ring_edges(polygons.select(log, "feature_id", "pts"))
-    hits = points.select(log, point, "x", "y").repartition(point).join(edges, log).groupBy(log, point, "feature_id").agg(
-        F.count_if(crossing()).alias("n"))
-    return hits.groupBy(log, point).agg(F.bool_or(F.col("n") % 2 == 1).alias("inside"))
+def polygon_cells(polygons: DataFrame, size: float, log: str = "log_id") -> DataFrame:
+    """Edges by cell: an edge is in each row of cells it passes, from the column where its polygon begins to the one where the edge ends,
+    as a point's ray to the right meets no other edge."""
+    left = F.array_min(F.transform("pts", lambda p: p["x"]))
+    edges = ring_edges(polygons.select(log, "feature_id", left.alias("_left"), "pts"))
+    rows = F.sequence(_cell(F.least("y0", "y1"), size), _cell(F.greatest("y0", "y1"), size))
+    columns = F.sequence(_cell(F.col("_left"), size), _cell(F.greatest("x0", "x1"), size))
+    return edges.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(columns)).drop("_left")
+
+
+def point_in_polygon(points: DataFrame, polygons: DataFrame, point: str = "point_id", log: str = "log_id", cell: float = 4 * CELL) -> DataFrame:
+    """GEO-22: per point whether any polygon of its log contains it (even-odd rule); a point tests the edges of its cell's row only.
+    Points of logs without polygons have no row."""
+    at = points.select(log, point, _cell(F.col("x"), cell).alias("cx"), _cell(F.col("y"), cell).alias("cy"), "x", "y").repartition(point)
+    hits = at.join(polygon_cells(polygons, cell, log), [log, "cx", "cy"]).groupBy(log, point, "feature_id").agg(F.count_if(crossing()).alias("n"))
+    found = hits.groupBy(log, point).agg(F.bool_or(F.col("n") % 2 == 1).alias("inside"))
+    mapped = points.select(log, point).join(polygons.where(F.size("pts") >= 3).select(log).distinct(), log, "left_semi")
+    return mapped.join(found, [log, point], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
 def angle_diff(a: Column, b: Column) -> Column:
@@ -399,30 +477,57 @@ def angle_diff(a: Column, b: Column) -> Column:
     return F.pmod(a - b + math.pi, F.lit(2 * math.pi)) - math.pi
 
 
+SECTORS = 32
+
+
+def map_lines(features: DataFrame, log: str = "log_id") -> DataFrame:
+    """The lines that cues are measured to: a lane's centre line where it has two boundaries (``pts`` and ``pts2``), else its one line; both
+    edges of a crosswalk."""
+    keys = [log, "kind", "feature_id", "is_intersection"]
+    if "pts2" not in features.columns:
+        return features.where("kind IN ('lane', 'crosswalk')").select(*keys, F.lit(0).alias("edge"), "pts")
+    two = (F.col("kind") == "lane") & (F.size("pts2") > 0)
+    one = features.where(F.col("kind").isin("lane", "crosswalk") & ~F.coalesce(two, F.lit(False)))
+    plain = one.select(*keys, F.lit(0).alias("edge"), "pts").unionByName(
+        one.where((F.col("kind") == "crosswalk") & F.col("pts2").isNotNull()).select(*keys, F.lit(1).alias("edge"), F.col("pts2").alias("pts")))
+    lanes = features.where(two)
+    centre = centerlines(lanes, left="pts", right="pts2", log=log).groupBy(log, "feature_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pts"))
+    return plain.unionByName(lanes.select(*keys).join(centre, [log, "feature_id"]).select(*keys, F.lit(0).alias("edge"), "pts"))
+
+
 def map_cues(points: DataFrame, features: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
     """GEO-23: five map cues per point from the lanes, crosswalk edges and drivable areas of its log.
 
-    ``features`` has kind (lane / crosswalk / drivable), is_intersection and pts.  The map is cut
-    into segments first, so that the join carries plain columns and every cue is a combinable minimum of numbers.
+    ``features`` has kind (lane / crosswalk / drivable), is_intersection, pts and, where a feature has two sides, pts2.  Lines are found
+    through ``nearest_lines``; a small summary of each log says which cues it can give at all.
     """
-    lines = numbered_lines(features.where("kind IN ('lane', 'crosswalk')"), log)
-    per = nearest_per_line(points, lines, ["kind", "is_intersection"], point, log).join(points.select(log, point, "heading"), [log, point])
+    lines = numbered_lines(map_lines(features, log), log)
     lane, cross = F.col("kind") == "lane", F.col("kind") == "crosswalk"
-    ahead = cross & (F.abs(angle_diff(F.col("theta"), F.col("heading"))) < math.pi / 2)
-    key = F.when(lane, F.struct("q", "line"))
-
-    def metres(cond):
-        return F.min(F.when(cond, F.col("q"))) / 1e9
-    best = per.groupBy(log, point).agg(
-        metres(lane).alias("map_lane_offset_m"), F.min_by(F.cos(F.col("heading") - F.col("theta")), key).alias("map_lane_alignment_cos"),
-        metres(cross).alias("dist_to_crosswalk_m"), metres(ahead).alias("_ahead"), metres(lane & F.col("is_intersection")).alias("_inter"))
+    inter = lane & F.col("is_intersection")
+    width = 2 * math.pi / SECTORS
+    summary = line_segments(lines.select(log, "kind", "is_intersection", "pts")).groupBy(log).agg(
+        F.bool_or(lane).alias("_lane"), F.bool_or(cross).alias("_cross"), F.bool_or(inter).alias("_inter"),
+        F.collect_set(F.when(cross, F.floor((F.col("theta") + math.pi) / width))).alias("_ways"))
+    # a crosswalk segment counts as ahead if its heading is within a right angle; by sectors of headings, with a margin of one
+    may = F.exists("_ways", lambda s: F.abs(angle_diff(s * width + width / 2 - math.pi, F.col("heading"))) < math.pi / 2 + width)
+    known = points.select(log, point, "x", "y", "heading").join(summary, log, "left").withColumns(
+        {"_may": F.coalesce(may, F.lit(False)), **{c: F.coalesce(c, F.lit(False)) for c in ("_lane", "_cross", "_inter")}})
+    slim = known.select(log, point, "x", "y", "heading", *[F.col(c) for c in ("_may", "_lane", "_cross", "_inter")])
+    targets = {"lane": lane, "cross": cross, "ahead": cross & (F.abs(angle_diff(F.col("theta"), F.col("heading"))) < math.pi / 2), "inter": inter}
+    wanted = {"lane": F.col("_lane"), "cross": F.col("_cross"), "ahead": F.col("_may"), "inter": F.col("_inter") & ~F.col("_may")}
+    best = nearest_lines(slim, lines, ["kind", "is_intersection"], targets, point, log, wanted)
+    # no crosswalk ahead after all: the nearest intersection counts instead
+    rest = best.where(F.col("_may") & F.col("ahead").isNull() & F.col("_inter")).select(log, point, "x", "y")
+    late = nearest_lines(rest, lines.where(inter), [], {"late": F.lit(True)}, point, log).select(log, point, F.col("late.q").alias("_late"))
     area = point_in_polygon(points, features.where("kind = 'drivable'"), point, log)
     mapped = features.select(log).distinct().withColumn("_mapped", F.lit(True))
-    out = points.select(log, point).join(best, [log, point], "left").join(area, [log, point], "left").join(mapped, log, "left")
+    out = best.join(late, [log, point], "left").join(area, [log, point], "left").join(mapped, log, "left")
     # without any map nothing is known
-    drivable = F.when(F.col("_mapped"), F.coalesce(F.col("inside"), F.col("map_lane_offset_m") < 3.5, F.lit(False)))
-    return out.select(log, point, "map_lane_offset_m", "map_lane_alignment_cos", F.coalesce("_ahead", "_inter").alias("dist_to_stopline_m"),
-                      "dist_to_crosswalk_m", drivable.cast("double").alias("in_drivable_area"))
+    drivable = F.when(F.col("_mapped"), F.coalesce(F.col("inside"), F.col("lane.q") / 1e9 < 3.5, F.lit(False)))
+    return out.select(log, point, (F.col("lane.q") / 1e9).alias("map_lane_offset_m"), F.cos(F.col("heading") - F.col("lane.theta")).alias("map_lane_alignment_cos"),
+                      (F.coalesce("ahead.q", "inter.q", "_late") / 1e9).alias("dist_to_stopline_m"), (F.col("cross.q") / 1e9).alias("dist_to_crosswalk_m"),
+                      drivable.cast("double").alias("in_drivable_area"))
 
 
 # --- the whole tagger ---------------------------------------------------------------------------------------
