@@ -4,9 +4,11 @@ A line counts by its words in lower case.  A line that more than ``max_docs`` do
 of them but the one with the smallest id, so that one copy of every passage stays; a document that keeps less than
 ``min_percent_left`` of its words is rejected, as is one that fails the base rules.
 
-Defined results: a null or empty text has no words and fails the base rules; each row is a document of its own, so repeated rows count as
-often as they occur; all null hosts are one host; rows with a null id are documents that never are the first with a line; an
-empty table gives an empty one; columns other than the three named are ignored.
+Lower case is that of A to Z; other letters stay as they are.
+
+Defined results: a null or empty text has no words and fails the base rules; every row gives one row, and rows with the same id count as one
+document of a line; all null hosts are one host; rows with a null id count as one document, which never is the first with a line;
+an empty table gives an empty one; columns other than the three named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadsift.functions.durable import stored
-from roadsift.llm.text import UNITS, Words, mixed, slices, unit_hashes, window_hashes
+from roadsift.llm.text import UNITS, Words, mixed, slices, unit_hashes, unused, window_hashes
 
 # fixed values: what counts as a symbol, and the base rules
 SYMBOLS = "#*$%&|<>"
@@ -102,7 +104,8 @@ def removed_lines(base: DataFrame, max_docs: int) -> DataFrame:
     lines = base.select("id", "host", "k1", "k2", F.explode(F.arrays_zip("line", "line_words")).alias("l"))
     lines = lines.select("id", F.xxhash64("host").alias("at"), "k1", "k2", F.col("l.line").alias("line"), F.col("l.line_words").alias("words"))
     key = ["at", "line"]
-    common = lines.groupBy(key).agg(F.count("*").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") > max_docs)
+    holders = lines.select("id", *key).distinct()  # repeated rows of an id are one document here
+    common = holders.groupBy(key).agg(F.count("*").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") > max_docs)
     lost = lines.join(common, key).where(~F.col("id").eqNullSafe(F.col("first")))
     lost = lost.select("k1", "k2", "line", "words").distinct()  # repeated rows share a key
     return lost.groupBy("k1", "k2").agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("removed"))
@@ -121,12 +124,13 @@ def quality_rules(docs: DataFrame, id: str = "doc_id", host: str = "source", tex
 
 def apply_rules(docs: DataFrame, id: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
     """The documents that are kept, without the lines that are removed; all columns of ``docs`` stay."""
-    verdict = quality_rules(docs, id, host, text, **limits).where("kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("removed").alias("_removed"))
-    verdict = verdict.dropDuplicates(["_k1", "_k2"])
-    keyed = docs.withColumn("_k1", F.xxhash64(id, text)).withColumn("_k2", F.hash(id, text))
-    joined = keyed.join(verdict, ["_k1", "_k2"]).drop("_k1", "_k2")
-    changed = F.col("_removed").isNotNull()
-    whole = joined.where(~changed).drop("_removed")
+    k1, k2, lost = unused(docs, "k1", "k2", "removed")
+    verdict = quality_rules(docs, id, host, text, **limits).where("kept").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("removed").alias(lost))
+    verdict = verdict.dropDuplicates([k1, k2])
+    keyed = docs.withColumn(k1, F.xxhash64(id, text)).withColumn(k2, F.hash(id, text))
+    joined = keyed.join(verdict, [k1, k2]).drop(k1, k2)
+    changed = F.col(lost).isNotNull()
+    whole = joined.where(~changed).drop(lost)
     names = docs.columns
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +140,7 @@ def apply_rules(docs: DataFrame, id: str = "doc_id", host: str = "source", text:
                 words = Words(part.column(at))
                 lines, first, hashes = line_words(words)
                 starts = np.append(line_starts(words.data, words.offsets), len(words.data))
-                removed = part.column(part.schema.get_field_index("_removed")).to_pylist()
+                removed = part.column(part.schema.get_field_index(lost)).to_pylist()
                 raw, texts = words.data.tobytes(), []
                 bounds = np.searchsorted(words.doc[first], np.arange(words.n_docs + 1))
                 for d in range(words.n_docs):

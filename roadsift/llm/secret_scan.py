@@ -4,7 +4,7 @@ Every version of a text is known by its sha256.  A scan looks only at (sha256, r
 what it finds to the ledger, and joins findings back to every row with that text.  Rules with a new ``RULES_VERSION`` look at all texts again.
 
 Defined results: a null text counts as empty; a text without a secret has an empty list of spans; repeated ids and rows each give
-one row; a null id stays null; an empty table gives an empty one; columns other than the two named are ignored.
+one row; a null id stays null; an empty table gives an empty one; columns other than the two named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from roadsift.functions.durable import shared_path
-from roadsift.llm.text import squeeze, unsqueeze
+from roadsift.functions.durable import shared_path, stored
+from roadsift.llm.text import squeeze, unsqueeze, unused
 
 RULES_VERSION = 1
+FEW = 50_000  # hashes with an id, some 100 bytes each, that may be broadcast
 
 # fixed values: kind, pattern, group that is measured, least length of it
 BASE_RULES = [
@@ -44,7 +45,7 @@ COMPILED = [(k, kind, re.compile(r"[0-9a-f]{24,}" if kind == "hex" else pattern,
             for k, (kind, pattern, group, least) in enumerate(ALL_RULES)]
 
 SPANS = "array<struct<kind: string, start: long, end: long>>"
-LEDGER = f"sha256 string, rules int, spans {SPANS}"
+LEDGER = f"sha256 string, spans {SPANS}, rules int"
 
 
 def scan_text(text: str) -> list[dict]:
@@ -60,19 +61,27 @@ def scan_text(text: str) -> list[dict]:
 
 
 class Ledger:
-    """Findings by text and rule version, as Parquet files that are only added to."""
+    """Findings by text and rule version, as Parquet files that are only added to, partitioned by rule version.
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or shared_path(spark, "ledger")
+    A scan that is repeated, or runs beside another, may add a text's findings again; they are equal, and a reader sees one of them."""
 
-    def read(self) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str | None = None, rules: int = RULES_VERSION):
+        self.spark, self.path, self.rules = spark, path or shared_path(spark, "ledger"), rules
+
+    def rows(self) -> DataFrame:
+        """Every entry of every rule version, repeated ones too."""
         try:
             return self.spark.read.schema(LEDGER).parquet(self.path)
         except AnalysisException:  # nothing was added yet
             return self.spark.createDataFrame([], LEDGER)
 
+    def read(self) -> DataFrame:
+        """One row for each text that was looked at under these rules."""
+        return self.rows().where(F.col("rules") == self.rules).dropDuplicates(["sha256"])
+
     def add(self, findings: DataFrame):
-        findings.write.mode("append").option("compression", "zstd").parquet(self.path)
+        added = findings.select("sha256", "spans", F.lit(self.rules).alias("rules"))
+        added.write.mode("append").partitionBy("rules").option("compression", "zstd").parquet(self.path)
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,32 +97,40 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(versions: DataFrame, ledger: Ledger, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spans of every row of ``versions``; texts that the ledger holds under these rules aren't read again."""
+    """Spans of every row of ``versions``; texts that the ledger holds under its rules aren't read again.
+
+    What is unseen is decided on hashes.  Texts move only if something is unseen: few unseen ones (``FEW``) are sent to the texts, else both
+    are shuffled by hash."""
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = versions.select(F.col(id).alias("id"), F.sha2(content, 256).alias("sha256"))
     blobs = named.groupBy("sha256").agg(F.min("id").alias("at"))
-    seen = ledger.read().where(F.col("rules") == RULES_VERSION).select("sha256")
-    unseen = blobs.join(seen, "sha256", "left_anti").withColumnRenamed("sha256", "blob")
-    texts = versions.select(F.col(id).alias("id"), F.sha2(content, 256).alias("sha256"), content.alias("text"))
-    texts = texts.mapInArrow(_squeezed, f"id {texts.schema['id'].dataType.simpleString()}, sha256 string, text binary")
-    texts = texts.join(unseen, (F.col("sha256") == F.col("blob")) & F.col("id").eqNullSafe(F.col("at")), "left_semi")
-    findings = texts.select("sha256", "text").mapInArrow(_scan, f"sha256 string, spans {SPANS}").dropDuplicates(["sha256"])
-    ledger.add(findings.select("sha256", F.lit(RULES_VERSION).alias("rules"), "spans"))
-    known = ledger.read().where(F.col("rules") == RULES_VERSION).select("sha256", "spans")
+    unseen = stored(blobs.join(ledger.read().select("sha256"), "sha256", "left_anti").withColumnRenamed("sha256", "blob"), "unseen")
+    n = unseen.count()
+    if n:
+        texts = versions.select(F.col(id).alias("id"), F.sha2(content, 256).alias("sha256"), content.alias("text"))
+        here = (F.col("sha256") == F.col("blob")) & F.col("id").eqNullSafe(F.col("at"))
+        if n <= FEW:
+            texts = texts.join(F.broadcast(unseen), here, "left_semi")
+        texts = texts.mapInArrow(_squeezed, f"id {texts.schema['id'].dataType.simpleString()}, sha256 string, text binary")
+        if n > FEW:
+            texts = texts.join(unseen, here, "left_semi")
+        ledger.add(texts.select("sha256", "text").mapInArrow(_scan, f"sha256 string, spans {SPANS}").dropDuplicates(["sha256"]))
+    known = ledger.read().select("sha256", "spans")
     return named.join(known, "sha256").select(F.col("id").alias(id), "sha256", "spans")
 
 
 def redact(docs: DataFrame, ledger: Ledger, id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """The documents with every span replaced by ``mark``; overlapping spans are replaced together."""
     scan(docs, ledger, id, text)
-    hot = (ledger.read().where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).select(F.col("sha256").alias("_sha"), F.col("spans").alias("_spans")))
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).join(hot, "_sha", "left").drop("_sha")
+    sha, found = unused(docs, "sha", "spans")
+    hot = ledger.read().where(F.size("spans") > 0).select(F.col("sha256").alias(sha), F.col("spans").alias(found))
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).join(hot, sha, "left").drop(sha)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for t, spans in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist()):
+            for t, spans in zip(batch.column(text).to_pylist(), batch.column(found).to_pylist()):
                 out, at = [], 0
                 for s in spans:
                     if s["start"] >= at:
@@ -122,5 +139,5 @@ def redact(docs: DataFrame, ledger: Ledger, id: str = "doc_id", text: str = "tex
                 texts.append("".join([*out, t[at:]]))
             yield pa.record_batch([pa.array(texts, batch.column(c).type) if c == text else batch.column(c) for c in names], names)
 
-    clean = keyed.where(F.col("_spans").isNull()).drop("_spans")
-    return clean.unionByName(keyed.where(F.col("_spans").isNotNull()).mapInArrow(run, docs.schema))
+    clean = keyed.where(F.col(found).isNull()).drop(found)
+    return clean.unionByName(keyed.where(F.col(found).isNotNull()).mapInArrow(run, docs.schema))

@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from roadsift.llm.text import SLICE, Words, mixed, slices, squeeze, unsqueeze, window_hashes
 
 BATCH = 12 << 20  # bytes of text whose strings are reduced and packed together
+BUCKET = 4 << 20  # bytes of text to a bucket
+TASK = 64 << 20  # bytes of text to a task, where the session's shuffle partitions would make it more
 ZSTD = pa.Codec("zstd", 6)
 KEY = struct.Struct("<qi")
 HIDDEN = np.uint64(2**64 - 1)
@@ -209,8 +211,9 @@ def covered(ranges: list[bytes], n_words: int, size: int) -> np.ndarray:
 
 def repeated_windows(docs: DataFrame, id: str, text: str, size: int = 13, inner: int = 3) -> DataFrame:
     """For each id and text content, the windows whose words also start in a document with a smaller id."""
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    buckets, tasks = max(1, -(-total // BUCKET)), -(-total // TASK)
     slim = docs.where(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.hash(text).alias("content"), F.col(text).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +243,7 @@ def repeated_windows(docs: DataFrame, id: str, text: str, size: int = 13, inner:
 
     packed = slim.mapInArrow(cut, "bucket long, spread long, block binary")
     # local findings go everywhere, strings to the task of their bucket
-    dealt = packed.repartition(F.col("spread")).sortWithinPartitions("bucket")
+    dealt = (packed.repartition("spread") if tasks <= partitions else packed.repartition(tasks, "spread")).sortWithinPartitions("bucket")
     return dealt.select("bucket", "block").mapInArrow(match, FLAGS)
 
 
@@ -269,24 +272,28 @@ def _flags(rows) -> pa.RecordBatch:
                            ["id", "content", "ranges"])
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 13, inner: int = 3) -> DataFrame:
-    """``row`` (all columns of ``docs`` but the text), ``n_words``, ``n_removed`` and ``kept``: the words left, joined by one space."""
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 13, inner: int = 3, as_it_was: bool = False) -> DataFrame:
+    """``row`` (all columns of ``docs`` but the text), ``n_words``, ``n_removed`` and ``kept``: the words left, joined by one space.
+
+    With ``as_it_was`` a text that loses nothing is kept with its white space, and a null one stays null."""
     flags = repeated_windows(docs, id, text, size, inner).groupBy("id", "content").agg(F.collect_list("ranges").alias("ranges"))
     slim = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.col(text).cast("string").alias("text"),
                        F.col(id).cast("long").alias("owner"), F.hash(text).alias("held"))
 
     def smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("row"), squeeze(batch.column("text")), batch.column("owner"), batch.column("held")], ["row", "text", "owner", "held"])
+            there = batch.column("text").is_valid()
+            yield pa.record_batch([batch.column("row"), squeeze(batch.column("text")), there, batch.column("owner"), batch.column("held")], ["row", "text", "there", "owner", "held"])
 
-    kinds = T.StructType().add("row", slim.schema["row"].dataType).add("text", "binary").add("owner", "long").add("held", "integer")
+    kinds = T.StructType().add("row", slim.schema["row"].dataType).add("text", "binary").add("there", "boolean").add("owner", "long").add("held", "integer")
     slim = slim.mapInArrow(smaller, kinds)
-    joined = slim.join(flags, (F.col("owner") == F.col("id")) & (F.col("held") == F.col("content")), "left").select("row", "text", "ranges")
+    joined = slim.join(flags, (F.col("owner") == F.col("id")) & (F.col("held") == F.col("content")), "left").select("row", "text", "there", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = pa.record_batch([batch.column("row"), unsqueeze(batch.column("text")), batch.column("ranges")], ["row", "text", "ranges"])
+            batch = pa.record_batch([batch.column("row"), unsqueeze(batch.column("text")), batch.column("there"), batch.column("ranges")], ["row", "text", "there", "ranges"])
             for part in slices(batch, "text"):
+                own = zip(part.column("text").to_pylist(), part.column("there").to_pylist()) if as_it_was else None
                 words = Words(part.column("text"))
                 data, starts, ends = plain_bytes(words)
                 bounds = words.bounds
@@ -294,7 +301,11 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size
                 whole, texts = data.tobytes(), []
                 for d, ranges in enumerate(part.column("ranges").to_pylist()):
                     a, b = int(bounds[d]), int(bounds[d + 1])
-                    if ranges:
+                    if own is not None:
+                        before, there = next(own)
+                    if own is not None and not ranges:
+                        texts.append(before if there else None)
+                    elif ranges:
                         gone = covered(ranges, b - a, size)
                         removed[d] = int(gone.sum())
                         texts.append(b" ".join([whole[starts[a + k]:ends[a + k]] for k in np.flatnonzero(~gone).tolist()]).decode())

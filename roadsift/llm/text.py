@@ -61,6 +61,17 @@ def unit_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mixed(np.add.reduceat(values[begin:] * weights, starts - begin))
 
 
+def unused(df, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` is called so, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

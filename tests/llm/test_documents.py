@@ -138,7 +138,7 @@ def verdicts(rows, limit, percent):
     holders = {}
     for i, t, _, host, *_ in rows:
         for line in {norm(x) for x in (t or "").split("\n")} - {""}:
-            holders.setdefault((host, line), []).append(i)
+            holders.setdefault((host, line), set()).add(i)
     hot = {k: min((i for i in v if i is not None), default=None) for k, v in holders.items() if len(v) > limit}
     out = []
     for i, t, _, host, *_ in rows:
@@ -168,6 +168,66 @@ def test_quality_rules(spark):
     assert any(v[7] for v in kept)
 
 
+def filler(k):
+    return " ".join(f"f{k}x{j}" for j in range(60))
+
+
+def test_rules_count_documents_and_lower_only_letters_a_to_z(spark):
+    """60 documents twice: not more than 100 documents.  101 documents whose line differs in an accented capital: two lines."""
+    twice = [(k, f"a shared line of words\n{filler(k)}", "h", 1) for k in range(60)] * 2
+    accents = [(1000 + k, ("É" if k % 2 else "é") + f"TAPE of words\n{filler(k)}", "g", 1) for k in range(101)]
+    docs = spark.createDataFrame(twice + accents, "doc_id long, text string, source string, n_chars int")
+    got = rules.quality_rules(docs).collect()
+    assert len(got) == 221 and not any(r["n_removed_words"] for r in got)
+    assert {r["n_removed_words"] for r in rules.quality_rules(docs, max_docs=50).collect()} == {0, 3, 5}
+
+
+def test_columns_of_the_caller_keep_their_names_and_values(spark):
+    """Every working name, used and not, in any case of letters."""
+    names = ["_k1", "k1", "K2", "_removed", "removed", "_sha", "SHA", "_spans", "spans", "_text", "row", "there", "kept", "at", "line"]
+    rows = [(k, f"{filler(k)} token=abcdef{k}12\nline that all have here", "s", *names) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names if c not in ("K2", "SHA")) + ", `K2` string, `SHA` string")
+    plain = [r[:3] for r in rows]
+    values = dict(zip([c for c in names if c not in ("K2", "SHA")] + ["K2", "SHA"], names))
+    cleaned = rules.apply_rules(docs, max_docs=2).collect()
+    assert cleaned[0].__fields__ == docs.columns and sum("that all" in r["text"] for r in cleaned) == 1
+    redacted = secret_scan.redact(docs, secret_scan.Ledger(spark)).collect()
+    assert all("[secret]" in r["text"] and "token" not in r["text"] for r in redacted)
+    import corpus_pipeline as p
+
+    cut = p.substring_dedup(spark, docs, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in cut} == {x[:2] for x in plain}  # nothing repeats for 13 words
+    for out in (cleaned, redacted, cut):
+        assert len(out) == 4 and all(r[c] == v for r in out for c, v in values.items())
+
+
+def test_a_ledger_that_is_written_twice(spark):
+    """A repeated or concurrent scan adds the same findings again."""
+    docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, "clean"), (3, "token=abcdefgh")], "doc_id long, text string")
+    ledger = secret_scan.Ledger(spark)
+    first = {(r["doc_id"], len(r["spans"])) for r in secret_scan.scan(docs, ledger).collect()}
+    ledger.add(ledger.read())
+    assert ledger.rows().count() == 4 and ledger.read().count() == 2
+    got = secret_scan.scan(docs, ledger).collect()
+    assert len(got) == 3 and {(r["doc_id"], len(r["spans"])) for r in got} == first and ledger.rows().count() == 4
+    assert secret_scan.redact(docs, ledger).count() == 3
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_two_versions_of_a_corpus_and_of_the_rules(spark, monkeypatch, few):
+    """Only new texts are read in the second version; new rules read every text of the corpus again, beside the old findings."""
+    monkeypatch.setattr(secret_scan, "FEW", few)
+    old = spark.createDataFrame([(k, f"text {k} secret: value{k}99") for k in range(6)], "doc_id long, text string")
+    new = spark.createDataFrame([(k, f"text {k} secret: value{k}99" if k < 4 else f"changed {k}") for k in range(6)] + [(9, None)], "doc_id long, text string")
+    ledger = secret_scan.Ledger(spark)
+    assert {len(r["spans"]) for r in secret_scan.scan(old, ledger).collect()} == {1}
+    second = {r["doc_id"]: len(r["spans"]) for r in secret_scan.scan(new, ledger).collect()}
+    assert second == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 9: 0} and ledger.rows().count() == 6 + 3
+    later = secret_scan.Ledger(spark, ledger.path, rules=2)
+    assert later.read().count() == 0 and {r["doc_id"]: len(r["spans"]) for r in secret_scan.scan(new, later).collect()} == second
+    assert ledger.rows().count() == 9 + 7 and ledger.read().count() == 9
+
+
 def secrets_of(text):
     """The base rules as they are stated: leftmost matches first, then the least length."""
     found = []
@@ -183,11 +243,11 @@ def test_secrets_and_the_ledger(spark, table):
     base = lambda spans: [tuple(s) for s in spans if s["kind"] in ("assign", "access", "hex")]
     assert sorted(((r["doc_id"], base(r["spans"])) for r in got), key=repr) == sorted(((r[0], secrets_of(r[1])) for r in documents()), key=repr)
     assert any(r["spans"] for r in got)
-    n = ledger.read().count()
+    n = ledger.rows().count()
     assert n == len({r[1] or "" for r in documents()})
     more = spark.createDataFrame([(500, "token = abcdefgh"), (501, documents()[30][1])], "doc_id long, text string")
     assert {r["doc_id"]: len(r["spans"]) for r in secret_scan.scan(more, ledger).collect()} == {500: 1, 501: 0}
-    assert ledger.read().count() == n + 1  # the known text wasn't read again
+    assert ledger.rows().count() == n + 1  # the known text wasn't read again
     clean = secret_scan.redact(more, ledger).collect()
     assert {r["text"] for r in clean if r["doc_id"] == 500} == {"[secret]"}
 
