@@ -2,6 +2,9 @@
 
 Stages: quality rules (rejected documents go, lines that too many documents of a source share are cut), near-duplicate removal (one
 document of each group stays), substring removal (words in passages of an earlier document go), secrets replaced, packing.
+
+Every stage takes null, empty and very long texts, null and repeated ids, repeated rows, an empty table, and columns of any name besides
+``doc_id``, ``text`` and ``source``; all but the last return the columns they were given.
 """
 
 from __future__ import annotations
@@ -18,12 +21,17 @@ SECRET_MARK = "[secret]"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without the lines that more than 100 documents of a source share (the smallest id keeps them).
+
+    Null and empty texts fail.  Rows with the same id count as one document of a line; repeated rows stay repeated."""
     prepared(spark)
     return sized(rules.apply_rules(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles at a similarity of 0.8; the smallest id of a group stays."""
+    """Five-word shingles at a similarity of 0.8; the smallest id of a group stays.
+
+    Texts without words are linked with nothing and stay, as do rows with a null id; rows with the same id are one document, whose rows all stay or all go."""
     prepared(spark)
     groups = minhash.near_duplicates(docs, words=5, percent=80)
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
@@ -31,19 +39,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thirteen-word windows.  A text that loses nothing stays as it is, white space included."""
+    """Texts without the words that lie in thirteen-word windows of a document with a smaller id.
+
+    A text that loses nothing stays as it is, white space included, and null stays null; rows with a null id or with the same id take
+    nothing from each other."""
     prepared(spark)
-    out = substrings.remove_repeats(docs.withColumn("_text", F.col("text")), size=13)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row._text"))
-    return sized(out.withColumn("text", text).select(*[F.col("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns]))
+    out = substrings.remove_repeats(docs, size=13, as_it_was=True)
+    return sized(out.select(*[F.col("kept").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every secret replaced by a mark; overlapping ones are replaced together.  Null stays null; every row stays."""
     prepared(spark)
     return sized(secret_scan.redact(docs, secret_scan.Ledger(spark), mark=SECRET_MARK))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised texts in sequences of at most 2048 ids.  A null or empty text is the closing id alone; repeated rows are documents of their own."""
     prepared(spark)
     packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), closing_id=1, capacity=2048)
     return packed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
