@@ -347,6 +347,27 @@ def geo_23(t):
     return G.map_cues(map_points(t), map_features(t))
 
 
+PI2 = f"{2 * math.pi!r}"
+TWO_SIDED = f"""{MAPS}, cl AS (SELECT a.feature_id, a.q, (a.x + b.x) * 0.5 AS x, (a.y + b.y) * 0.5 AS y FROM {_arc_sql('pts')} AS a JOIN {_arc_sql('right_pts')} AS b ON a.feature_id = b.feature_id AND a.q = b.q),
+s2 AS (SELECT log_id, feature_id, kind, is_intersection, 0 AS edge, p.q AS seg, p.x AS ax, p.y AS ay, n.x - p.x AS bx, n.y - p.y AS bdy FROM mapf JOIN cl AS p USING (feature_id) JOIN cl AS n ON n.feature_id = p.feature_id AND n.q = p.q + 1
+  UNION ALL SELECT log_id, feature_id, kind, is_intersection, 0, s, pts[s+1].x, pts[s+1].y, pts[s+2].x - pts[s+1].x, pts[s+2].y - pts[s+1].y FROM mapf, range(0, 4) AS r(s) WHERE kind = 'crosswalk'
+  UNION ALL SELECT log_id, feature_id, kind, is_intersection, 1, s, right_pts[s+1].x, right_pts[s+1].y, right_pts[s+2].x - right_pts[s+1].x, right_pts[s+2].y - right_pts[s+1].y FROM mapf, range(0, 4) AS r(s) WHERE kind = 'crosswalk'),
+d2 AS (SELECT p.point_id, p.heading, s.*, sqrt(pow(x - ax - u*bx, 2) + pow(y - ay - u*bdy, 2)) AS d, atan2(bdy, bx) AS theta FROM mpts AS p
+  JOIN s2 AS s USING (log_id), LATERAL (SELECT least(greatest(((x-ax)*bx + (y-ay)*bdy) / (bx*bx + bdy*bdy + 1e-12), 0.0), 1.0) AS u)),
+per AS MATERIALIZED (SELECT point_id, kind, feature_id, edge, any_value(is_intersection) AS it, any_value(heading) AS heading, min(d) AS d, arg_min(theta, floor(d * 1e9 + 0.5) * 64 + seg) AS theta FROM d2 GROUP BY point_id, kind, feature_id, edge),
+cues AS (SELECT point_id, min(d) FILTER (kind = 'lane') AS lane, arg_min(cos(heading - theta), floor(d * 1e9 + 0.5) * 1e5 + feature_id) FILTER (kind = 'lane') AS al, min(d) FILTER (kind = 'crosswalk') AS cw, min(d) FILTER (kind = 'lane' AND it) AS inter,
+  min(d) FILTER (kind = 'crosswalk' AND abs((((theta - heading + {math.pi!r}) % {PI2}) + {PI2}) % {PI2} - {math.pi!r}) < {math.pi / 2!r}) AS ahead FROM per GROUP BY point_id)"""
+
+
+@query("geo_26_two_sided_map_cues", "point_id:s map_lane_offset_m:d map_lane_alignment_cos:d dist_to_stopline_m:d dist_to_crosswalk_m:d in_drivable_area:d",
+       f"WITH {TWO_SIDED} SELECT m.point_id, lane AS map_lane_offset_m, al AS map_lane_alignment_cos, coalesce(ahead, inter) AS dist_to_stopline_m, cw AS dist_to_crosswalk_m, "
+       "CASE WHEN m.log_id IN (SELECT log_id FROM mapf) THEN CASE WHEN coalesce(poly.inside, lane < 3.5, FALSE) THEN 1.0 ELSE 0.0 END END AS in_drivable_area "
+       "FROM mpts AS m LEFT JOIN cues USING (point_id) LEFT JOIN poly USING (point_id)")
+def geo_26(t):
+    """Cues from features as a map file gives them: both boundaries of a lane, both edges of a crosswalk."""
+    return G.map_cues(map_points(t), map_features(t).withColumnRenamed("right_pts", "pts2"))
+
+
 @query("geo_24_angle_diff", ACTOR + " diff:d",
        f"WITH {BOX} SELECT window_key, track_uuid, (((yaw*7 - atan2(y0, x0) + {math.pi!r}) % {2 * math.pi!r}) + {2 * math.pi!r}) % {2 * math.pi!r} - {math.pi!r} AS diff FROM boxes")
 def geo_24(t):

@@ -104,6 +104,84 @@ def test_a_map_of_seventy_thousand_lines(spark):
     assert got == {"p": (69_999, 0.4), "q": (0, 0.9)}
 
 
+def brute_cues(x, y, heading, lines, polygons):
+    """Cues of one point by looking at every segment: lane, cos, stop line, crosswalk, inside."""
+    found = []
+    for kind, inter, pts in lines:
+        best = None
+        for (ax, ay), (bx, by) in zip(pts, pts[1:]):
+            s = min(max(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2 + 1e-12), 0), 1)
+            d = math.hypot(x - ax - s * (bx - ax), y - ay - s * (by - ay))
+            if best is None or round(d * 1e9) < round(best[0] * 1e9):  # equal distances, as at a corner, go to the first segment
+                best = d, math.atan2(by - ay, bx - ax)
+        found.append((kind, inter, *best))
+    lane = min((f for f in found if f[0] == "lane"), key=lambda f: round(f[2] * 1e9), default=None)
+    cross = min((f[2] for f in found if f[0] == "crosswalk"), default=None)
+    turned = lambda a: abs((a - heading + math.pi) % (2 * math.pi) - math.pi)
+    ahead = min((f[2] for f in found if f[0] == "crosswalk" and turned(f[3]) < math.pi / 2), default=None)
+    inter = min((f[2] for f in found if f[0] == "lane" and f[1]), default=None)
+    inside = False
+    for pts in polygons:
+        odd = False
+        for (x0, y0), (x1, y1) in zip([pts[-1], *pts[:-1]], pts):
+            odd ^= (y1 > y) != (y0 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0 + 1e-12) + x0
+        inside |= odd
+    return lane and lane[2], lane and math.cos(heading - lane[3]), ahead if ahead is not None else inter, cross, inside if polygons else bool(lane and lane[2] < 3.5)
+
+
+FEATURES = "log_id string, feature_id int, kind string, is_intersection boolean, pts array<struct<x: double, y: double>>"
+
+
+def test_map_cues_through_cells(spark):
+    """Points near and hundreds of metres away from lines of all lengths and directions, in logs with and without crosswalks ahead."""
+    rng = np.random.default_rng(8)
+    features, points = [], []
+    for log in range(6):
+        for k in range(25):
+            kind = ["lane", "lane", "crosswalk", "drivable"][k % 4]
+            if kind == "crosswalk" and log == 1 or kind == "lane" and log == 2:
+                continue
+            at, step = rng.uniform(-300, 300, 2), rng.uniform(-60, 60, (rng.integers(3, 6), 2)) * (1 if k % 3 else 0.05)
+            if log == 3 and kind == "crosswalk":
+                step = np.abs(step) * [1, 0.1]  # all to the east
+            features.append((f"l{log}", k, kind, k % 8 == 0, [tuple(map(float, p)) for p in at + np.cumsum(step, axis=0)]))
+        for k in range(40):
+            x, y = rng.uniform(-350, 350, 2) * (1 if k % 5 else 8)
+            points.append((f"l{log}", f"p{k}", float(x), float(y), float(rng.uniform(-3, 3))))
+    frame = spark.createDataFrame(points, "log_id string, point_id string, x double, y double, heading double")
+    got = {(r["log_id"], r["point_id"]): tuple(r)[2:] for r in G.map_cues(frame, spark.createDataFrame(features, FEATURES)).collect()}
+    assert len(got) == len(points)
+    for log, point, x, y, heading in points:
+        mine = [f for f in features if f[0] == log]
+        want = brute_cues(x, y, heading, [(f[2], f[3], f[4]) for f in mine if f[2] != "drivable"], [f[4] for f in mine if f[2] == "drivable"])
+        for a, b in zip(got[log, point], want):
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(float(b), abs=1e-6)), (log, point, got[log, point], want)
+
+
+def test_a_log_of_a_hundred_thousand_segments(spark):
+    """Pairs that are looked at grow with the points, not with points times segments."""
+    lines = spark.range(20_000).select(F.lit("l").alias("log_id"), F.col("id").cast("int").alias("feature_id"), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.struct(
+        (F.col("id") % 100 * 60.0 + k * 9.0).alias("x"), (F.floor(F.col("id") / 100) * 7.0 + k * 0.5).alias("y"))).alias("pts"))
+    points = spark.range(3000).select(F.lit("l").alias("log_id"), F.col("id").alias("point_id"), (F.col("id") * 7919 % 5900 + 0.3).alias("x"), (F.col("id") * 104729 % 1390 + 0.7).alias("y"))
+    got = {r["point_id"]: r["d"] for r in G.nearest_on_polyline(points, lines).collect()}
+    segs = G.line_segments(G.numbered_lines(lines).select("log_id", "line", "pts"))
+    assert segs.count() == 100_000 and G.cell_hits(points, segs, G.CELL).count() < 40 * 3000
+    for r in points.where("point_id % 500 = 0").collect():
+        near = [[(k % 100 * 60.0 + j * 9.0, k // 100 * 7.0 + j * 0.5) for j in range(6)] for k in range(20_000)]
+        near = [p for p in near if abs(p[0][0] - r["x"]) < 120 and abs(p[0][1] - r["y"]) < 60]
+        assert got[r["point_id"]] == pytest.approx(brute_cues(r["x"], r["y"], 0.0, [("lane", False, p) for p in near], [])[0], abs=1e-6)
+
+
+def test_two_sided_features(spark):
+    """A lane is measured to the line between its boundaries, a crosswalk to both edges."""
+    side = [(0.0, 0.0), (10.0, 0.0)], [(0.0, 4.0), (10.0, 4.0)]
+    rows = [("a", 1, "lane", False, *side), ("a", 2, "crosswalk", False, [(20.0, 0.0), (20.0, 4.0)], [(23.0, 0.0), (23.0, 4.0)]), ("b", 1, "lane", False, side[0], None)]
+    features = spark.createDataFrame(rows, FEATURES + ", pts2 array<struct<x: double, y: double>>")
+    points = spark.createDataFrame([("a", "p", 5.0, 2.5, 0.1), ("a", "q", 24.0, 1.0, 1.0), ("b", "p", 5.0, 1.0, 0.0)], "log_id string, point_id string, x double, y double, heading double")
+    got = {(r["log_id"], r["point_id"]): (round(r["map_lane_offset_m"], 6), r["dist_to_crosswalk_m"]) for r in G.map_cues(points, features).collect()}
+    assert got == {("a", "p"): (0.5, 15.0), ("a", "q"): (round(math.hypot(14, 1), 6), 1.0), ("b", "p"): (1.0, None)}
+
+
 def test_a_point_id_in_two_logs(spark):
     square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
     features = spark.createDataFrame([("a", 1, "drivable", False, square), ("b", 1, "lane", True, [(0.0, 9.0), (9.0, 9.0)])],
