@@ -79,7 +79,7 @@ def measured(docs: DataFrame, id: str, host: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):  # measuring takes many bytes for one of text
                 words = Words(part.column("text"))
                 out = measure(words)
                 _, first, hashes = line_words(words)

@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadsift.llm.text import SLICE, Words, mixed, slices, squeeze, unsqueeze, window_hashes
+from roadsift.llm.text import Words, mixed, slices, squeeze, unsqueeze, window_hashes
 
 BATCH = 12 << 20  # bytes of text whose strings are reduced and packed together
-BUCKET = 4 << 20  # bytes of text to a bucket
+PIECE = 1 << 20  # bytes of text hashed at once; hashing takes many bytes for one of text
+BUCKET = 4 << 20  # bytes of text to a bucket at most, on average
 TASK = 64 << 20  # bytes of text to a task, where the session's shuffle partitions would make it more
 ZSTD = pa.Codec("zstd", 6)
 KEY = struct.Struct("<qi")
@@ -163,8 +164,8 @@ def repeated_in(blocks: list[bytes], size: int) -> Iterator[bytes]:
     offsets = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=offsets[1:])
     parts, a = [], 0
-    while a < len(sizes):  # hashing takes many bytes for one of text, so it goes slice by slice
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE, "right")) - 1)
         here, shift = offsets[a:b + 1] - offsets[a], offsets[a]
         words = Words(pa.Array.from_buffers(pa.large_string(), b - a, [None, pa.py_buffer(here.tobytes()), pa.py_buffer(data[shift:offsets[b]].tobytes())]))
         hashes, whole = window_hashes(words.hashes, words.doc, size)
@@ -213,13 +214,13 @@ def repeated_windows(docs: DataFrame, id: str, text: str, size: int = 13, inner:
     """For each id and text content, the windows whose words also start in a document with a smaller id."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    buckets, tasks = max(1, -(-total // BUCKET)), -(-total // TASK)
+    buckets, tasks = max(2 * partitions, -(-total // BUCKET)), -(-total // TASK)
     slim = docs.where(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.hash(text).alias("content"), F.col(text).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = Strings(size, inner)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 strings.add(part)
                 if strings.bytes >= BATCH:
                     yield from _blocks(strings, buckets)
@@ -292,7 +293,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = pa.record_batch([batch.column("row"), unsqueeze(batch.column("text")), batch.column("there"), batch.column("ranges")], ["row", "text", "there", "ranges"])
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 own = zip(part.column("text").to_pylist(), part.column("there").to_pylist()) if as_it_was else None
                 words = Words(part.column("text"))
                 data, starts, ends = plain_bytes(words)
