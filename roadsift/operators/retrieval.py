@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadsift.operators.similarity import approx_topk, cosine_topk  # noqa: F401
+from roadsift.operators.inverted import approx_topk  # noqa: F401
+from roadsift.operators.similarity import cosine_topk
 
 # Filter names of the query specification with the trace column and comparison they stand for.
 FILTERS = {"llm_label": ("llm_label_canonical", "eq"), "llm_label_raw": ("llm_label_raw", "eq"), "llm_conf_min": ("llm_confidence", "ge"),

@@ -1,4 +1,4 @@
-"""Exact and approximate nearest vectors.  Vectors are numeric arrays; similarity is the cosine."""
+"""Exact nearest vectors.  Vectors are numeric arrays; similarity is the cosine."""
 
 from __future__ import annotations
 
@@ -156,33 +156,3 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, vec: str = "
     share its value with the query are no candidates.  ``topk_with_visits`` says how.
     """
     return topk_with_visits(corpus, queries, k, vec, exclude, not_self)[0]
-
-
-def _codes(v: Column, dim: int, bits: int, tables: int, seed: int) -> Column:
-    """The side of ``bits`` seeded hyperplanes on which a vector lies, as one integer for each of ``tables`` tables."""
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
-    dot = lambda p: F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in p]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.array(*[sum((F.when(dot(p) > 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, p in enumerate(table)), F.lit(0)) for table in planes])
-
-
-def approx_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, bits: int = 4, tables: int = 6, seed: int = 1337, vec: str = "embedding",
-                exact: bool = False) -> DataFrame:
-    """RET-05: candidates that lie on the query's side of seeded hyperplanes in one of several tables, scored exactly.
-
-    The bucket of a query and those behind one of its planes are looked at, and queries that find fewer than ``k`` rows there are
-    answered by the full scan, so that each query has k rows if the corpus has.  ``exact`` is the full scan for all.
-    """
-    if exact:
-        return cosine_topk(corpus, queries, k, vec)
-    dim = corpus.select(F.max(F.size(vec))).first()[0] or 1
-    c = corpus.select("id", unit(F.col(vec).cast("array<double>")).alias("_v"))
-    q = queries.select("query_id", unit(F.col(vec).cast("array<double>")).alias("_q"))
-    coded = c.select("id", "_v", F.posexplode(_codes(F.col("_v"), dim, bits, tables, seed)).alias("_t", "_code"))
-    asked = q.select("query_id", "_q", F.posexplode(_codes(F.col("_q"), dim, bits, tables, seed)).alias("_t", "_own"))
-    asked = asked.withColumn("_code", F.explode(F.array(F.col("_own"), *[F.col("_own").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])))
-    near = asked.join(coded, ["_t", "_code"])
-    similarity = F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    found = _rank(near.select("query_id", "id", similarity.alias("similarity")).dropDuplicates(["query_id", "id"]), k)
-    full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-    rest = cosine_topk(corpus, queries.join(full, "query_id", "left_anti"), k, vec)
-    return found.join(full, "query_id", "left_semi").unionByName(rest.select(*found.columns))

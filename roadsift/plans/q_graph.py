@@ -239,26 +239,34 @@ def grf_10(t):
     return R.temporal_edges(nodes(t))
 
 
-CAP = NEAR + """, kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_key ORDER BY is_ego DESC, r_rel_m, track_uuid, phase_idx) AS k FROM nodes) WHERE k <= 14),
-alive AS (SELECT e.* FROM edges AS e SEMI JOIN kn AS a ON e.window_key = a.window_key AND e.src_id = a.track_uuid AND e.src_phase = a.phase_idx),
-alive2 AS (SELECT e.* FROM alive AS e SEMI JOIN kn AS a ON e.window_key = a.window_key AND e.dst_id = a.track_uuid AND e.dst_phase = a.phase_idx),
-ke AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY window_key ORDER BY dist_m, src_phase, src_id, dst_id, edge_type) AS k FROM alive2 WHERE is_temporal = 0) WHERE k <= 12
-  UNION ALL SELECT * FROM alive2 WHERE is_temporal = 1),
-ni AS (SELECT window_key, track_uuid, phase_idx, row_number() OVER (PARTITION BY window_key ORDER BY track_uuid, phase_idx) - 1 AS node FROM kn)"""
+CAP = NEAR + """, kn AS MATERIALIZED (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY window_key ORDER BY track_uuid, phase_idx) - 1 AS node FROM (
+  SELECT *, row_number() OVER (PARTITION BY window_key ORDER BY is_ego DESC, r_rel_m, track_uuid, phase_idx) AS k FROM nodes) WHERE k <= 14),
+pr AS (SELECT a.window_key, a.node AS src, b.node AS dst, a.phase_idx AS src_phase, b.phase_idx AS dst_phase, a.track_uuid AS src_id, b.track_uuid AS dst_id, a.is_ego AS a_ego, b.is_ego AS b_ego,
+    sqrt(pow(a.x_rel_m - b.x_rel_m, 2) + pow(a.y_rel_m - b.y_rel_m, 2)) AS d, a.track_uuid = b.track_uuid AS own
+  FROM kn AS a JOIN kn AS b ON a.window_key = b.window_key AND (a.phase_idx = b.phase_idx AND a.track_uuid <> b.track_uuid OR b.phase_idx = a.phase_idx + 1 AND a.track_uuid = b.track_uuid AND a.is_ego = 0)),
+ce AS (SELECT window_key, src, dst, src_phase, dst_phase, src_id, dst_id, CASE WHEN own THEN 'actor_temporal' WHEN a_ego = 1 THEN 'ego_to_actor' WHEN b_ego = 1 THEN 'actor_to_ego' ELSE 'actor_to_actor_spatial' END AS edge_type,
+    CASE WHEN own THEN 0.0 ELSE d END AS dist_m, CASE WHEN own THEN 1 ELSE 0 END AS is_temporal FROM pr WHERE own OR a_ego = 1 OR b_ego = 1 OR d <= 30),
+ke AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY window_key, is_temporal ORDER BY dist_m, src_phase, src_id, dst_id, edge_type) AS k FROM ce) WHERE is_temporal = 1 OR k <= 12)"""
 
 
 def capped(t):
     return R.cap_graph(nodes(t), 14, 12)
 
 
-@query("grf_11_cap_graph", EDGE_SPEC, f"WITH {CAP} SELECT * FROM ke")
+@query("grf_11_cap_graph", EDGE_SPEC, f"WITH {CAP} SELECT * EXCLUDE (src, dst) FROM ke")
 def grf_11(t):
     return capped(t)[1]
 
 
-@query("grf_12_adjacency", "window_key:s src:n dst:n edge_type_id:n dist_m:d", f"""WITH {CAP} SELECT e.window_key, a.node AS src, b.node AS dst,
-  list_position(['ego_to_actor', 'actor_to_ego', 'actor_to_actor_spatial', 'actor_temporal'], edge_type) - 1 AS edge_type_id, dist_m FROM ke AS e
-  JOIN ni AS a ON a.window_key = e.window_key AND a.track_uuid = e.src_id AND a.phase_idx = e.src_phase JOIN ni AS b ON b.window_key = e.window_key AND b.track_uuid = e.dst_id AND b.phase_idx = e.dst_phase""")
+@query("grf_11_capped_windows", "window_key:s n:n metres:d edges:s", f"WITH {CAP} SELECT window_key, count(*) AS n, sum(dist_m) AS metres, string_agg(e, ',' ORDER BY e) AS edges FROM (SELECT *, src || '>' || dst || ':' || edge_type AS e FROM ke) GROUP BY window_key")
+def grf_11_windows(t):
+    """The same edges, one row a window."""
+    e = capped(t)[1].withColumn("e", F.concat(F.col("src").cast("string"), F.lit(">"), F.col("dst").cast("string"), F.lit(":"), "edge_type"))
+    return e.groupBy("window_key").agg(F.count("*").alias("n"), F.sum("dist_m").alias("metres"), F.array_join(F.sort_array(F.collect_list("e")), ",").alias("edges"))
+
+
+@query("grf_12_adjacency", "window_key:s src:n dst:n edge_type_id:n dist_m:d", f"""WITH {CAP} SELECT window_key, src, dst,
+  list_position(['ego_to_actor', 'actor_to_ego', 'actor_to_actor_spatial', 'actor_temporal'], edge_type) - 1 AS edge_type_id, dist_m FROM ke""")
 def grf_12(t):
     return R.adjacency(*capped(t))[0]
 

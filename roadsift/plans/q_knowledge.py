@@ -180,7 +180,7 @@ def _embedder(texts):
     return [[float(len(x)), float(x.count(" "))] if len(x) % 5 else [1.0] for x in texts]
 
 
-@query("kb_13_embed_missing", "status:s n:n")
+@query("kb_13_embed_missing", "status:s n:n", "SELECT CASE WHEN text IS NULL THEN 'failed' WHEN length(text) % 5 = 0 THEN 'dim_mismatch' ELSE 'ok' END AS status, count(*) AS n FROM conversations WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM conversations WHERE conv_id % 2 = 0) GROUP BY 1")
 def kb_13(t):
     d = t.conversations.select(F.col("conv_id").alias("backend_id"), F.col("turn").cast("string").alias("window_key"), "text")
     return B.embed_counts(B.embed_missing(d, d.where("conv_id % 2 = 0"), _embedder, 2))
@@ -191,6 +191,14 @@ def _tables(t):
     return {"windows": o.select("split_name", "window_key"), "gt": o.where("o_orderkey % 3 = 0").select("split_name", "window_key"), "scores": o.where("o_orderkey % 5 <> 0").select("split_name", "window_key")}
 
 
+@query("kb_13_vectors", "backend_id:n window_key:s length:d blanks:d status:s", "SELECT conv_id AS backend_id, turn AS window_key, CASE WHEN length(text) % 5 <> 0 THEN length(text) END AS length, CASE WHEN length(text) % 5 <> 0 THEN length(text) - length(replace(text, ' ', '')) END AS blanks, "
+       "CASE WHEN text IS NULL THEN 'failed' WHEN length(text) % 5 = 0 THEN 'dim_mismatch' ELSE 'ok' END AS status FROM conversations WHERE conv_id % 2 = 1")
+def kb_13_vectors(t):
+    d = t.conversations.select(F.col("conv_id").alias("backend_id"), F.col("turn").cast("string").alias("window_key"), "text")
+    v = B.embed_missing(d, d.where("conv_id % 2 = 0"), _embedder, 2)
+    return v.withColumns({"length": F.get("embedding", F.lit(0)), "blanks": F.get("embedding", F.lit(1))})
+
+
 @query("kb_14_table_counts", "table_name:s rows:n windows:n", f"WITH {O}, a AS (SELECT * FROM o WHERE split_name = 'a') SELECT 'windows' AS table_name, count(*) AS rows, count(DISTINCT window_key) AS windows FROM a UNION ALL SELECT 'gt', count(*), count(DISTINCT window_key) FROM a WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'scores', count(*), count(DISTINCT window_key) FROM a WHERE o_orderkey % 5 <> 0")
 def kb_14(t):
     return B.table_counts(_tables(t), "a")
@@ -215,15 +223,16 @@ def kb_16_dup(t):
 
 
 def _emb(t):
-    p = t.lineitem.where("l_partkey % 3 <> 0").select("l_linenumber", F.col("l_orderkey").alias("window_key")).distinct()
-    return p.select(F.col("l_linenumber").cast("bigint").alias("backend_id"), "window_key", F.when(F.col("window_key") % 2 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("embedding"))
+    """A vector for one backend of every order; not every order has a line, and so a prediction, of that number."""
+    k = F.col("o_orderkey")
+    return t.orders.select((k % 7 + 1).alias("backend_id"), k.alias("window_key"), F.when(k % 2 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("embedding"))
 
 
 def _pr(t):
-    return t.lineitem.where("l_quantity < 40").select(F.col("l_linenumber").cast("bigint").alias("backend_id"), F.col("l_orderkey").alias("window_key"))
+    return t.lineitem.select(F.col("l_linenumber").cast("bigint").alias("backend_id"), F.col("l_orderkey").alias("window_key"))
 
 
-EMB = "em AS (SELECT DISTINCT l_linenumber AS backend_id, l_orderkey AS window_key FROM lineitem WHERE l_partkey % 3 <> 0), pr AS (SELECT l_linenumber AS backend_id, l_orderkey AS window_key FROM lineitem WHERE l_quantity < 40)"
+EMB = "em AS (SELECT o_orderkey % 7 + 1 AS backend_id, o_orderkey AS window_key FROM orders), pr AS (SELECT l_linenumber AS backend_id, l_orderkey AS window_key FROM lineitem)"
 
 
 @query("kb_17_backend_coverage", "backend_id:n prompt_type:s n_rows:n windows:n embedded:n", f"WITH {EMB}, b AS (SELECT DISTINCT l_linenumber AS backend_id FROM lineitem), p AS (SELECT backend_id, count(*) AS n_rows, count(DISTINCT window_key) AS windows FROM pr GROUP BY 1), e AS (SELECT backend_id, count(*) AS embedded FROM em GROUP BY 1) SELECT b.backend_id, 'p' || b.backend_id AS prompt_type, coalesce(n_rows, 0) AS n_rows, coalesce(windows, 0) AS windows, coalesce(embedded, 0) AS embedded FROM b LEFT JOIN p USING (backend_id) LEFT JOIN e USING (backend_id)")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from roadsift.operators import retrieval as Q
-from roadsift.operators.similarity import approx_topk, cosine_topk
+from roadsift.operators.inverted import approx_topk
+from roadsift.operators.similarity import cosine_topk
 from roadsift.plans.registry import query
 
 TRACE = """tr AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, 'w' || vec_id AS window_key, 'log' || (vec_id % 25) AS log_id, vec_id % 4 AS backend_id,
@@ -78,6 +79,12 @@ def ret_05(t):
     return approx_topk(trace(t), queries_of(t), 10)
 
 
+@query("ret_05_all_cells", R + " similarity:d", f"WITH {TRACE} SELECT * FROM ranked WHERE rank <= 10")
+def ret_05_all(t):
+    """With every cell probed the search is exact."""
+    return approx_topk(trace(t), queries_of(t), 10, probes=1 << 20)
+
+
 @query("ret_06_rerank_linear", R + " final_score:d part_sim:d part_conf:d part_s1:d",
        f"WITH {TRACE}, r AS (SELECT query_id, id, similarity AS part_sim, 0.1 * llm_confidence AS part_conf, 0.1 * score_final AS part_s1, similarity + 0.1 * llm_confidence + 0.1 * score_final AS final_score FROM ranked) "
        "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank FROM r")
