@@ -59,8 +59,10 @@ def _solve(pre: str, v: str, quad: Column) -> list[Column]:
     q0 = F.try_divide(det([[a, t, u], [b, tt, tu], [c, tu, uu]]), d3)
     q1 = F.try_divide(det([[n, a, u], [t, b, tu], [u, c, uu]]), d3)
     q2 = F.try_divide(det([[n, t, a], [t, tt, b], [u, tu, c]]), d3)
-    l1 = F.try_divide(n * b - t * a, d2)
+    # samples of fewer than three different times have no parabola, those of one time no slope
+    l1 = F.coalesce(F.try_divide(n * b - t * a, d2), F.lit(0.0))
     l0 = F.try_divide(a - l1 * t, n)
+    quad = quad & q0.isNotNull()
     return [F.when(quad, q0).otherwise(l0), F.when(quad, q1).otherwise(l1), F.when(quad, q2).otherwise(F.lit(0.0))]
 
 
@@ -69,7 +71,7 @@ def fit_state(tracks: DataFrame, keys: Sequence[str] = ("window_key", "track_uui
     """GEO-02: least-squares position, velocity and acceleration of each track at ``t0``.
 
     Samples within ``win``; within ``widen`` when fewer than three; the nearest two when still fewer than two.
-    Quadratic for three or more samples, linear otherwise.
+    Quadratic for three or more samples, linear otherwise; also linear where they have fewer than three different times.
     """
     keys = list(keys)
     dt = F.col(t) - F.col(t0)
@@ -230,9 +232,9 @@ def p_overlap(dmin: Column, tight: Column, sigma: float = 1.5, decay: float = 0.
 
 
 def bearing_sector(x: Column, y: Column, front: float = FRONT) -> tuple[Column, Column]:
-    """GEO-13: bearing and sector 0 front, 1 left, 2 rear, 3 right."""
+    """GEO-13: bearing and sector 0 front, 1 left, 2 right, 3 back."""
     b = F.atan2(y, x)
-    sector = F.when(F.abs(b) > math.pi - front, 2).when(F.abs(b) <= front, 0).when(b > 0, 1).otherwise(3)
+    sector = F.when(F.abs(b) > math.pi - front, 3).when(F.abs(b) <= front, 0).when(b > 0, 1).otherwise(2)
     return b, sector
 
 
@@ -537,15 +539,21 @@ def tag_actors(states: DataFrame, ego: DataFrame, horizon: float = 4.0, step: fl
     """Actor states at window centres to ranked, scored actors of each window.
 
     ``ego`` holds, per window, the ego state at the centre (ex, ey, eyaw, ev); over the short horizon it is
-    rolled forward at constant velocity.
+    rolled forward at constant velocity.  ``tag_recorded`` reads the recorded path instead.
     """
     keys = ["window_key", "track_uuid"]
     # spread by actor before the grid multiplies the rows; the aggregates and the join below reuse it
     base = clamp_state(states).join(ego, "window_key").repartition(*keys)
     grid = time_grid(base.withColumn("t0", F.lit(0.0)), horizon, step).withColumnRenamed("t", "dt")
+    path = {"gx": F.col("ex") + F.col("ev") * F.cos("eyaw") * F.col("dt"), "gy": F.col("ey") + F.col("ev") * F.sin("eyaw") * F.col("dt"), "gyaw": F.col("eyaw")}
+    return _scored_tags(base, grid.withColumns(path), horizon, step, k)
+
+
+def _scored_tags(base: DataFrame, grid: DataFrame, horizon: float, step: float, k: int) -> DataFrame:
+    """Scores, static gate and ranks of the actors in ``base``; ``grid`` has each actor once per step, with the ego pose (gx, gy, gyaw)."""
+    keys = ["window_key", "track_uuid"]
     rolled = rollout(grid)
-    ego_box = {"x": F.col("ex") + F.col("ev") * F.cos("eyaw") * F.col("dt"), "y": F.col("ey") + F.col("ev") * F.sin("eyaw") * F.col("dt"),
-               "len": F.lit(EGO_LENGTH), "wid": F.lit(EGO_WIDTH), "yaw": F.col("eyaw")}
+    ego_box = {"x": F.col("gx"), "y": F.col("gy"), "len": F.lit(EGO_LENGTH), "wid": F.lit(EGO_WIDTH), "yaw": F.col("gyaw")}
 
     def box(p):
         return {"x": F.col(f"{p}_x"), "y": F.col(f"{p}_y"), "len": F.col("length_m"), "wid": F.col("width_m"), "yaw": F.col(f"{p}_yaw")}
@@ -563,3 +571,34 @@ def tag_actors(states: DataFrame, ego: DataFrame, horizon: float = 4.0, step: fl
                                  "lat_speed_mps": F.col("vy") * F.cos("eyaw") - F.col("vx") * F.sin("eyaw"),
                                  "p_overlap": p_overlap(F.col("dmin_m"), F.col("sustained_tight"))})
     return union_then_fill(static_gate(scored), k)
+
+
+def tag_recorded(pose: DataFrame, annotations: DataFrame, windows: DataFrame, cats: Sequence[str] | None = None, horizon: float = 4.0, step: float = 0.2,
+                 min_len: float = 0.5, max_dist: float = 200.0, k: int = 24) -> DataFrame:
+    """The whole tagger: recorded poses and annotations to the ranked, scored actors of each window.
+
+    ``pose`` has log_id, t_s, px, py, pyaw and the speed pv; ``annotations`` log_id, track_uuid, t_s, category, length_m, width_m and the
+    position x, y in the vehicle's frame; ``windows`` log_id, window_key and the centre t0.  Annotations are moved to the city frame by the pose
+    at their time, a window's grid reads the recorded path, and tracks are gated at their fitted position.  An actor's category and size are
+    those of its first sample near the window.
+    """
+    from roadsift.functions.trajectory import at_times
+
+    keys = ["window_key", "track_uuid"]
+    placed = at_times(pose, annotations, ["px", "py", "pyaw"], qt="t_s")
+    cx, cy = ego_to_city(F.col("x"), F.col("y"), F.col("pyaw"), F.col("px"), F.col("py"))
+    city = placed.select("log_id", "track_uuid", "t_s", "category", "length_m", "width_m", cx.alias("x"), cy.alias("y"))
+    wins = windows.select("log_id", "window_key", "t0")
+    near = near_event(city, wins, 4.0 + 0.5 * horizon, centre="t0")
+    facts = near.groupBy(*keys).agg(*[F.min_by(c, "t_s").alias(c) for c in ("category", "length_m", "width_m")], (F.max("t_s") - F.min("t_s")).alias("_len"))
+    facts = facts.where(F.col("_len") >= min_len)
+    if cats:
+        facts = facts.where(F.col("category").isin(*cats))
+    path = at_times(pose.select("log_id", "t_s", *[F.col(c).alias(g) for c, g in (("px", "gx"), ("py", "gy"), ("pyaw", "gyaw"))]),
+                    time_grid(wins, horizon, step).withColumnRenamed("t", "q_t"), ["gx", "gy", "gyaw"]).withColumn("dt", F.col("q_t") - F.col("t0"))
+    middle = path.where(F.col("k") == grid_steps(horizon, step) // 2).select("log_id", "window_key", "t0", F.col("gx").alias("ex"), F.col("gy").alias("ey"), F.col("gyaw").alias("eyaw"))
+    ego = at_times(pose.select("log_id", "t_s", F.col("pv").alias("ev")), middle, ["ev"], qt="t0").drop("log_id", "t0")
+    states = clamp_state(fit_state(near, keys)).join(facts, keys).join(ego, "window_key")
+    base = states.where(F.hypot(F.col("x0") - F.col("ex"), F.col("y0") - F.col("ey")) <= max_dist).repartition(*keys)
+    grid = base.join(path.select("window_key", "k", "dt", "gx", "gy", "gyaw"), "window_key")
+    return _scored_tags(base, grid, horizon, step, k)

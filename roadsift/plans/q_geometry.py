@@ -207,8 +207,8 @@ FR = repr(math.radians(70.0))
 
 
 @query("geo_13_bearing_sector", ACTOR + " bearing:d sector:n",
-       f"WITH {BOX} SELECT window_key, track_uuid, b AS bearing, CASE WHEN abs(b) > {math.pi!r} - {FR} THEN 2 WHEN abs(b) <= {FR} THEN 0 "
-       "WHEN b > 0 THEN 1 ELSE 3 END AS sector FROM (SELECT *, atan2(y0, x0) AS b FROM boxes)")
+       f"WITH {BOX} SELECT window_key, track_uuid, b AS bearing, CASE WHEN abs(b) > {math.pi!r} - {FR} THEN 3 WHEN abs(b) <= {FR} THEN 0 "
+       "WHEN b > 0 THEN 1 ELSE 2 END AS sector FROM (SELECT *, atan2(y0, x0) AS b FROM boxes)")
 def geo_13(t):
     b, s = G.bearing_sector(F.col("x0"), F.col("y0"))
     return boxes(t).withColumn("bearing", b).withColumn("sector", s)
@@ -382,3 +382,73 @@ def geo_25(t):
                           (F.col("o_orderkey") % 6 / 10.0).alias("eyaw"), F.lit(8.0).alias("ev"))
     return G.tag_actors(states, ego, k=3)
 
+
+# --- the tagger on recorded paths: poses every 0.05 s, annotations 0.02 s after them, a track per event type -----------------------------
+
+def ego_path(t):
+    i = F.col("i")
+    return ego_signal(t).select("log_id", "t_s", (i * F.lit(0.4)).alias("px"), (i % 50 * F.lit(0.1)).alias("py"), (i % 60 / F.lit(100.0) - 0.3).alias("pyaw"), F.col("speed").alias("pv"))
+
+
+def annotated(t):
+    i, kind = F.col("i"), F.length("event_type") % 5
+    return ego_signal(t).select("log_id", F.col("event_type").alias("track_uuid"), (F.col("t_s") + F.lit(0.02)).alias("t_s"),
+                                F.when(kind == 0, "BUS").when(kind == 1, "PEDESTRIAN").when(kind == 2, "SIGN").otherwise("TRUCK").alias("category"),
+                                (F.length("event_type") / F.lit(2.0)).alias("length_m"), F.lit(1.8).alias("width_m"),
+                                (i % 13 * F.lit(0.5) + 3.0).alias("x"), (i % 7 - F.lit(3.0)).alias("y"))
+
+
+def _lerp(c, j, f):
+    return f"(a{j}.{c} + (b{j}.{c} - a{j}.{c}) * {f})"
+
+
+RECORDED = WINDOWS + f""", path AS (SELECT log_id, i, t_s, i * 0.4e0 AS px, (i % 50) * 0.1e0 AS py, (i % 60) / 100e0 - 0.3e0 AS pyaw, speed AS pv, event_type FROM ego),
+ends AS (SELECT log_id, max(i) AS n FROM path GROUP BY log_id),
+ann AS (SELECT a.log_id, a.event_type AS track_uuid, a.t_s + 0.02e0 AS t_s, length(a.event_type) AS ln, (a.i % 13) * 0.5e0 + 3e0 AS x, (a.i % 7) - 3e0 AS y,
+    a.px + (coalesce(b.px, a.px) - a.px) * 0.4e0 AS ox, a.py + (coalesce(b.py, a.py) - a.py) * 0.4e0 AS oy, a.pyaw + (coalesce(b.pyaw, a.pyaw) - a.pyaw) * 0.4e0 AS oyaw
+  FROM path AS a LEFT JOIN path AS b ON b.log_id = a.log_id AND b.i = a.i + 1),
+city AS (SELECT log_id, track_uuid, t_s, ln, ox + cos(oyaw)*x - sin(oyaw)*y AS x, oy + sin(oyaw)*x + cos(oyaw)*y AS y FROM ann),
+cw AS (SELECT window_key, log_id, (t_start + t_end) / 2 AS t0 FROM windows),
+pairs AS (SELECT cw.window_key, t0, city.* FROM cw JOIN city USING (log_id) WHERE abs(t0 - t_s) <= 6.0),
+facts AS (SELECT window_key, track_uuid, any_value(ln) AS ln FROM pairs GROUP BY ALL HAVING max(t_s) - min(t_s) >= 0.5 AND any_value(ln) % 5 <> 1),
+grid AS (SELECT g.window_key, k, t - t0 AS dt, {', '.join(_lerp(c, 1, 'f') + ' AS ' + o for c, o in (('px', 'gx'), ('py', 'gy'), ('pyaw', 'gyaw')))} FROM (
+    SELECT *, least(greatest(t / 5e-2 - j, 0.0), 1.0) AS f FROM (SELECT *, least(greatest(floor(t / 5e-2), 0), n) AS j FROM (SELECT cw.*, n, k, t0 - 2e0 + k * 0.2e0 AS t FROM cw JOIN ends USING (log_id), range(0, 21) AS r(k)))) AS g
+  JOIN path AS a1 ON a1.log_id = g.log_id AND a1.i = j JOIN path AS b1 ON b1.log_id = g.log_id AND b1.i = least(j + 1, n)),
+speed AS (SELECT window_key, {_lerp('pv', 1, 'f')} AS ev FROM (SELECT *, least(greatest(t0 / 5e-2 - j, 0.0), 1.0) AS f FROM (SELECT cw.*, n, least(greatest(floor(t0 / 5e-2), 0), n) AS j FROM cw JOIN ends USING (log_id))) AS g
+  JOIN path AS a1 ON a1.log_id = g.log_id AND a1.i = j JOIN path AS b1 ON b1.log_id = g.log_id AND b1.i = least(j + 1, n)),
+egoc AS (SELECT window_key, gx AS ex, gy AS ey, gyaw AS eyaw, ev FROM grid JOIN speed USING (window_key) WHERE k = 10)"""
+
+
+def _state_sql():
+    """The fit of ``geo_02`` with slope and curvature kept."""
+    inner = _fit_sql().split(", ann AS", 1)[1].split("c AS (SELECT *, t_s - t0 AS dt", 1)[1]
+    inner = "c AS (SELECT *, t_s - t0 AS dt" + inner.rsplit("SELECT window_key, track_uuid, n_samples, floor", 1)[0]
+    q = {v: f"CASE WHEN n >= 3 THEN {v}q0 ELSE (q{v}0 - l{v}*s1) / n END" for v in "xy"}
+    return inner.rstrip() + f""", st AS (SELECT window_key, track_uuid, {q['x']} AS x0, {q['y']} AS y0, CASE WHEN n >= 3 THEN xq1 ELSE lx END AS rvx, CASE WHEN n >= 3 THEN yq1 ELSE ly END AS rvy,
+    CASE WHEN n >= 3 THEN xq2 ELSE 0 END AS rax, CASE WHEN n >= 3 THEN yq2 ELSE 0 END AS ray FROM f)"""
+
+
+TAGGED = "WITH " + RECORDED + ", " + _state_sql() + f""", base AS (SELECT st.window_key, st.track_uuid, x0, y0, least(greatest(rvx, -100.0), 100.0) AS vx, least(greatest(rvy, -100.0), 100.0) AS vy, least(greatest(rax, -20.0), 20.0) AS ax,
+    least(greatest(ray, -20.0), 20.0) AS ay, sqrt(rax*rax + ray*ray) AS a_norm, ln, ln / 2e0 AS length_m, 1.8e0 AS width_m, ex, ey, eyaw, ev FROM st JOIN facts USING (window_key, track_uuid) JOIN egoc USING (window_key)
+  WHERE sqrt(pow(x0 - ex, 2) + pow(y0 - ey, 2)) <= 200),
+roll AS (SELECT base.*, k, dt, gx, gy, gyaw, x0 + vx*dt AS cx, y0 + vy*dt AS cy, CASE WHEN abs(vx) + abs(vy) > 1e-4 THEN atan2(vy, vx) ELSE 0 END AS cyaw, x0 + vx*dt + 0.5*ax*dt*dt AS qx, y0 + vy*dt + 0.5*ay*dt*dt AS qy,
+    CASE WHEN sqrt(pow(vx+ax*dt, 2) + pow(vy+ay*dt, 2)) > 1e-3 THEN atan2(vy+ay*dt, vx+ax*dt) WHEN abs(vx) + abs(vy) > 1e-4 THEN atan2(vy, vx) ELSE 0 END AS qyaw FROM base JOIN grid USING (window_key)),
+d1 AS (SELECT * FROM {_box_sql('roll', 'cx', 'cy', 'cyaw', 'dcv', ex='gx', ey='gy', eyaw='gyaw')}),
+d2 AS (SELECT * FROM {_box_sql('d1', 'qx', 'qy', 'qyaw', 'dca', ex='gx', ey='gy', eyaw='gyaw')}),
+sm AS (SELECT window_key, track_uuid, k, dt, -0.3*ln((1-w)*exp(-dcv/0.3) + w*exp(-dca/0.3) + 1e-12) AS m FROM (SELECT *, a_norm / (a_norm + 0.8) AS w FROM d2)),
+low AS (SELECT window_key, track_uuid, greatest(min(m), 0.0) AS dmin_m, greatest(-min(m), 0.0) AS penetration_m, bool_or(two) AS sustained_tight FROM (SELECT *, m < 0.6 AND coalesce(lag(m) OVER (PARTITION BY window_key, track_uuid ORDER BY k) < 0.6, FALSE) AS two FROM sm) GROUP BY ALL),
+sc AS (SELECT *, abs(bearing) <= {FR} AS front, CASE WHEN sustained_tight THEN 1.0 ELSE 0.6 END * exp(-pow(dmin_m / 1.5, 2)) AS p_overlap, CASE WHEN abs(y_rel) <= 3 AND x_rel >= -5 THEN 1 ELSE 0 END AS on_path,
+    greatest(0.0, ev - (vx*cos(eyaw) + vy*sin(eyaw))) AS closing, ln % 5 = 2 AS still, ln % 5 NOT IN (1, 2) AS large FROM (SELECT *, atan2(y_rel, x_rel) AS bearing FROM (
+    SELECT base.*, dmin_m, penetration_m, sustained_tight, cos(eyaw)*(x0-ex) + sin(eyaw)*(y0-ey) AS x_rel, cos(eyaw)*(y0-ey) - sin(eyaw)*(x0-ex) AS y_rel FROM base JOIN low USING (window_key, track_uuid)))),
+gated AS (SELECT *, 0.50*p_overlap + 0.25/(1.0 + dmin_m) + 0.20*sustained_tight::INT + 0.05*least(1.0, a_norm/2.0) + CASE WHEN front THEN 0.03 ELSE 0 END + CASE WHEN large THEN 0.02 ELSE 0 END AS fused,
+    p_overlap >= 0.08 OR dmin_m <= 12 OR (front AND closing >= 0.5) OR (still AND (on_path = 1 OR p_overlap >= 0.05)) OR (front AND large) AS hard FROM sc
+  WHERE NOT (still AND sqrt(x_rel*x_rel + y_rel*y_rel) > 40) OR on_path = 1 OR p_overlap >= 0.05)"""
+
+
+@query("geo_27_tag_recorded", ACTOR + " dmin_m:d p_overlap:d sustained_tight:b x_rel_m:d y_rel_m:d closing:d on_path:n hard:b",
+       TAGGED + " SELECT window_key, track_uuid, dmin_m, p_overlap, sustained_tight, x_rel AS x_rel_m, y_rel AS y_rel_m, closing, on_path, hard FROM gated")
+def geo_27(t):
+    """Poses and annotations to tagged actors; all of a window's tracks, as there are fewer than the 24 that would be kept."""
+    wins = braking_windows(t).select("log_id", "window_key", ((F.col("t_start") + F.col("t_end")) / 2).alias("t0"))
+    tags = G.tag_recorded(ego_path(t), annotated(t), wins, ["BUS", "TRUCK", "SIGN"])
+    return tags.withColumnsRenamed({"rel_speed_closing_mps": "closing", "on_path_like": "on_path"})
