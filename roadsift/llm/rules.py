@@ -104,9 +104,11 @@ def removed_lines(base: DataFrame, max_docs: int) -> DataFrame:
     lines = base.select("id", "host", "k1", "k2", F.explode(F.arrays_zip("line", "line_words")).alias("l"))
     lines = lines.select("id", F.xxhash64("host").alias("at"), "k1", "k2", F.col("l.line").alias("line"), F.col("l.line_words").alias("words"))
     key = ["at", "line"]
-    holders = lines.select("id", *key).distinct()  # repeated rows of an id are one document here
-    common = holders.groupBy(key).agg(F.count("*").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") > max_docs)
-    lost = lines.join(common, key).where(~F.col("id").eqNullSafe(F.col("first")))
+    # rows decide what may be common; among those lines, repeated rows of an id count as one document
+    often = lines.groupBy(key).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > max_docs).select(*key)
+    shared = stored(lines.join(often, key), "shared-lines")
+    common = shared.select("id", *key).distinct().groupBy(key).agg(F.count("*").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") > max_docs)
+    lost = shared.join(common, key).where(~F.col("id").eqNullSafe(F.col("first")))
     lost = lost.select("k1", "k2", "line", "words").distinct()  # repeated rows share a key
     return lost.groupBy("k1", "k2").agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("removed"))
 
