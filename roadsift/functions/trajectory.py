@@ -29,7 +29,7 @@ def at_times(series: DataFrame, queries: DataFrame, cols: Sequence[str], t: str
     w = chunk_window([key], "_i")
     around = own_rows(with_halo(filled, "_i", 1, 1).withColumns({"_before": F.lag("_back").over(w)["last"], "_after": F.lead("_ahead").over(w)["first"]}))
     hit = asked.join(around.select(key, "_b", "_s", "_before", "_after"), [key, "_b"], "left")
-    hit = hit.withColumns({"_p": F.coalesce(F.element_at(F.filter("_s", lambda s: s["t"] <= F.col(qt)), -1), "_before"),
+    hit = hit.withColumns({"_p": F.coalesce(F.try_element_at(F.filter("_s", lambda s: s["t"] <= F.col(qt)), F.lit(-1)), "_before"),
                            "_n": F.coalesce(F.get(F.filter("_s", lambda s: s["t"] >= F.col(qt)), F.lit(0)), "_after")})
     p, n = F.col("_p"), F.col("_n")
     share = (F.col(qt) - p["t"]) / (n["t"] - p["t"])
