@@ -92,7 +92,8 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        spans = [scan_text(t) for t in unsqueeze(batch.column("text")).to_pylist()]
+        text = batch.column("text")
+        spans = [scan_text(t) for t in (unsqueeze(text) if pa.types.is_binary(text.type) else text).to_pylist()]
         yield pa.record_batch([batch.column("sha256"), pa.array(spans, kind)], ["sha256", "spans"])
 
 
@@ -109,11 +110,10 @@ def scan(versions: DataFrame, ledger: Ledger, id: str = "doc_id", text: str = "t
     if n:
         texts = versions.select(F.col(id).alias("id"), F.sha2(content, 256).alias("sha256"), content.alias("text"))
         here = (F.col("sha256") == F.col("blob")) & F.col("id").eqNullSafe(F.col("at"))
-        if n <= FEW:
+        if n <= FEW:  # nothing is shuffled, so nothing is compressed
             texts = texts.join(F.broadcast(unseen), here, "left_semi")
-        texts = texts.mapInArrow(_squeezed, f"id {texts.schema['id'].dataType.simpleString()}, sha256 string, text binary")
-        if n > FEW:
-            texts = texts.join(unseen, here, "left_semi")
+        else:
+            texts = texts.mapInArrow(_squeezed, f"id {texts.schema['id'].dataType.simpleString()}, sha256 string, text binary").join(unseen, here, "left_semi")
         ledger.add(texts.select("sha256", "text").mapInArrow(_scan, f"sha256 string, spans {SPANS}").dropDuplicates(["sha256"]))
     known = ledger.read().select("sha256", "spans")
     return named.join(known, "sha256").select(F.col("id").alias(id), "sha256", "spans")
