@@ -6,7 +6,8 @@ key into chunks of at most ``CHUNK`` consecutive rows:
 
 * ``row_index`` numbers the rows of every key through a range partitioning, which splits hot keys;
 * ``with_halo`` copies the few rows a bounded look-around needs into the neighbouring chunk;
-* ``running_sum`` and ``fill_edges`` carry one summary row per chunk over to the next chunks.
+* ``running_sum`` and ``fill_edges`` carry one summary row per chunk over to the next chunks, and one per chunk of chunks over those: no
+  task sees more than ``CHUNK`` rows of a key at either level (a key of 10^12 rows has under 4,000 at the last).
 """
 
 from __future__ import annotations
@@ -85,15 +86,23 @@ def running_sum(df: DataFrame, keys: Sequence[str], value: str, out: str, i: str
     chunked = df.withColumn("_chunk", chunk_of(i, size))
     local = chunked.withColumn(out, F.sum(value).over(
         chunk_window(keys, i).rowsBetween(Window.unboundedPreceding, 0)))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (chunked.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_total"))
-             .withColumn("_carry", F.sum("_total").over(before))
-             .where("_chunk > 0").select(*keys, "_chunk", "_carry"))
+    totals = chunked.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_total")).withColumn("_super", chunk_of("_chunk", size))
+    inner = totals.withColumn("_in", F.sum("_total").over(_over(keys, "_super", "_chunk").rowsBetween(Window.unboundedPreceding, -1)))
+    outer = totals.groupBy(*keys, "_super").agg(F.sum("_total").alias("_all")).withColumn(
+        "_before", F.sum("_all").over(_over(keys, None, "_super").rowsBetween(Window.unboundedPreceding, -1)))
+    carry = inner.join(outer, [*keys, "_super"]).where("_chunk > 0").select(
+        *keys, "_chunk", (F.coalesce("_before", F.lit(0)) + F.coalesce("_in", F.lit(0))).alias("_carry"))
     return (local.join(carry, [*keys, "_chunk"], "left")
             .withColumn(out, F.col(out) + F.coalesce(F.col("_carry"), F.lit(0)))
             .select(*df.columns, out))
 
 
+def _over(keys: Sequence[str], level: str | None, order: str):
+    """Rows of a key, or of one chunk of chunks of it, in order; without either they are dealt by a constant."""
+    by = [*keys, *([level] if level else [])]
+    return Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)
+
+
 def fill_edges(df: DataFrame, keys: Sequence[str], value: Column, prev: str, nxt: str, i: str = "i",
                size: int = CHUNK) -> DataFrame:
     """Last non-null ``value`` at or before each row (``prev``) and first one at or after it (``nxt``)."""
@@ -107,11 +116,17 @@ def fill_edges(df: DataFrame, keys: Sequence[str], value: Column, prev: str, nxt
     ends = chunked.groupBy(*keys, "_chunk").agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(i))).alias("_last"),
         F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col(i))).alias("_first"))
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    carry = ends.select(
-        *keys, "_chunk",
-        F.last("_last", ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(by_chunk.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    ends = ends.withColumn("_super", chunk_of("_chunk", size))
+    supers = ends.groupBy(*keys, "_super").agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_chunk"))).alias("_end"),
+                                               F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col("_chunk"))).alias("_begin"))
+
+    def around(w, last: str, first: str) -> list[Column]:
+        return [F.last(last, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                F.first(first, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))]
+    far = [c.alias(n) for c, n in zip(around(_over(keys, None, "_super"), "_end", "_begin"), ("_far_before", "_far_after"))]
+    close = [c.alias(n) for c, n in zip(around(_over(keys, "_super", "_chunk"), "_last", "_first"), ("_before", "_after"))]
+    carry = ends.select(*keys, "_super", "_chunk", *close).join(supers.select(*keys, "_super", *far), [*keys, "_super"]).select(
+        *keys, "_chunk", F.coalesce("_before", "_far_before").alias("_before"), F.coalesce("_after", "_far_after").alias("_after"),
     ).where("_before IS NOT NULL OR _after IS NOT NULL")
     return (local.join(carry, [*keys, "_chunk"], "left")
             .withColumn(prev, F.coalesce(F.col(prev), F.col("_before")))

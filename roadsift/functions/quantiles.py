@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10000
@@ -35,14 +35,24 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence
     else:
         joined = values.withColumn("_b", brackets.select(F.struct("n", "_lows", "_highs")).scalar()) \
                        .select("_v", "_b.*")
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.element_at("_lows", k + 1).alias("lo"),
-                                F.element_at("_highs", k + 1).alias("hi")) for k, p in enumerate(ps)])
-    exploded = joined.select(*keys, "n", "_v", F.explode(wanted).alias("_w")).select(*keys, "n", "_v", "_w.*")
-    side = F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") > F.col("hi"), 2).otherwise(1)
-    counted = (exploded.withColumn("_side", side)
-               .withColumn("_at", F.when(F.col("_side") == 1, F.col("_v")))
-               .groupBy(*keys, "n", "p", "_side", "_at")
-               .agg(F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
+    lo, hi = (lambda k: F.element_at("_lows", k + 1)), (lambda k: F.element_at("_highs", k + 1))
+    v = F.col("_v")
+    # what lies outside a bracket is counted where it is, one number per rank and side; only rows inside one become rows of their own
+    beside = joined.groupBy(*keys).agg(F.max("n").alias("n"), *[c.alias(f"{name}{k}") for k in range(len(ps)) for name, c in (
+        ("_below", F.count_if(v < lo(k))), ("_above", F.count_if(v > hi(k))), ("_max", F.max(F.when(v < lo(k), v))), ("_min", F.min(F.when(v > hi(k), v))))])
+    nothing = F.lit(None).cast("double")
+    sides = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("_side"), nothing.alias("_at"), F.col(f"{name}{k}").alias("_rows"),
+                               (F.col(f"_min{k}") if side else nothing).alias("_min"), (nothing if side else F.col(f"_max{k}")).alias("_max"))
+                      for k, p in enumerate(ps) for side, name in ((0, "_below"), (2, "_above"))])
+    beside = beside.select(*keys, "n", F.explode(sides).alias("_w")).select(*keys, "n", "_w.*").where("_rows > 0")
+    ranks = F.array(*[F.when((v >= lo(k)) & (v <= hi(k)), F.lit(float(p))) for k, p in enumerate(ps)])
+    within = joined.select(*keys, "n", "_v", F.explode(F.array_compact(ranks)).alias("p")).groupBy(*keys, "n", "p", F.col("_v").alias("_at")).agg(F.count(F.lit(1)).alias("_rows"))
+    counted = beside.unionByName(within.select(*keys, "n", "p", F.lit(1).alias("_side"), "_at", "_rows", F.col("_at").alias("_min"), F.col("_at").alias("_max")))
+    return _picked(counted, keys, out, nearest)
+
+
+def _picked(counted: DataFrame, keys: Sequence[str], out: str, nearest: bool = False) -> DataFrame:
+    """The quantile of each (key, p) from counts by value in its bracket and one count on either side."""
     w = Window.partitionBy(*keys, "p").orderBy("_side", "_at")
     counted = counted.withColumn("_end", F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rank = (F.col("n") - 1) * F.col("p")
@@ -64,6 +74,40 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence
     return found.select(*keys, "p", "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(out))
 
 
+def column_quantiles(df: DataFrame, columns: dict[str, Column], p: float) -> dict[str, float | None]:
+    """The exact quantile of every column of a table, all columns in the same passes; the driver gets one number each.
+
+    The first pass brackets every column's rank, the second counts what lies beside the brackets; rows become rows of their own only for
+    columns whose bracket holds different values, and only if they lie in it."""
+    names = list(columns)
+    values = df.select(*[c.cast("double").alias(f"c{k}") for k, c in enumerate(columns.values())])
+    slack = 2.0 / ACCURACY
+    ranks = [max(0.0, p - slack), min(1.0, p + slack)]
+    first = values.agg(*[f for k in range(len(names)) for f in (F.count(f"c{k}").alias(f"n{k}"), F.percentile_approx(f"c{k}", ranks, F.lit(ACCURACY)).alias(f"b{k}"))]).first()
+    known = [k for k in range(len(names)) if first[f"n{k}"]]
+    if not known:
+        return dict.fromkeys(names)
+    lo, hi = {k: first[f"b{k}"][0] for k in known}, {k: first[f"b{k}"][1] for k in known}
+    c = {k: F.col(f"c{k}") for k in known}
+    beside = values.agg(*[f.alias(f"{name}{k}") for k in known for name, f in (
+        ("below", F.count_if(c[k] < lo[k])), ("above", F.count_if(c[k] > hi[k])), ("max", F.max(F.when(c[k] < lo[k], c[k]))), ("min", F.min(F.when(c[k] > hi[k], c[k]))))]).first()
+    rows = []
+    for k in known:
+        n, below, above = first[f"n{k}"], beside[f"below{k}"], beside[f"above{k}"]
+        rows += [(k, n, p, 0, None, below, None, beside[f"max{k}"]), (k, n, p, 2, None, above, beside[f"min{k}"], None)]
+        if lo[k] == hi[k]:
+            rows.append((k, n, p, 1, lo[k], n - below - above, lo[k], lo[k]))
+    counted = df.sparkSession.createDataFrame(rows, "field int, n long, p double, _side int, _at double, _rows long, _min double, _max double").where("_rows > 0")
+    wide = [k for k in known if lo[k] < hi[k]]
+    if wide:
+        inside = F.array_compact(F.array(*[F.when((c[k] >= lo[k]) & (c[k] <= hi[k]), F.struct(F.lit(k).alias("field"), c[k].alias("_at"))) for k in wide]))
+        within = values.select(F.explode(inside).alias("w")).groupBy("w.field", "w._at").agg(F.count(F.lit(1)).alias("_rows"))
+        sizes = F.element_at(F.create_map(*[F.lit(x) for k in wide for x in (k, first[f"n{k}"])]), F.col("field")).cast("long")
+        counted = counted.unionByName(within.select("field", sizes.alias("n"), F.lit(p).alias("p"), F.lit(1).alias("_side"), "_at", "_rows", F.col("_at").alias("_min"), F.col("_at").alias("_max")))
+    found = {r["field"]: r["q"] for r in _picked(counted, ["field"], "q").collect()}
+    return {name: found.get(k) for k, name in enumerate(names)}
+
+
 def group_medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
     return group_quantiles(df, keys, value, [0.5], out).select(*keys, out)
 

@@ -10,18 +10,16 @@ from pyspark.sql import types as T
 
 from roadsift.functions.quantiles import group_quantiles
 
+# The published feature schema in its order, the columns that identify a window, the map cues among the features, the
+# sizes of the top-k tables, and the columns of one actor's snapshot.
+FEATURES = ["log_id", "window_t_start", "window_t_end", "window_center", "track_uuid", "category", "is_vehicle", "is_vru", "is_static",
+            "sector_id", "on_path_like", "x_rel_m", "y_rel_m", "r_rel_m", "dmin_m", "p_overlap", "t_at_dmin_s", "sustained_tight",
+            "rel_speed_closing_mps", "lat_speed_mps", "a_norm", "length_m", "width_m", "bearing_rad", "ttc_s", "dist_lt3", "dist_lt5",
+            "dist_lt8", "approach_like", "crossing_like", "heading_align_cos", "long_gap_m", "lat_offset_m", "map_lane_offset_m",
+            "map_lane_alignment_cos", "dist_to_stopline_m", "dist_to_crosswalk_m", "in_drivable_area", "rank_p_overlap",
+            "margin_to_top_p", "rank_inv_dmin", "margin_to_top_inv_d"]
 KEYS = ["log_id", "window_t_start", "window_t_end", "window_center"]
-
-# Column groups of the published feature schema, in its order.
-META = ["log_id", "window_t_start", "window_t_end", "window_center", "track_uuid", "category", "is_vehicle", "is_vru",
-        "is_static", "sector_id", "on_path_like"]
-GEOMETRY = ["x_rel_m", "y_rel_m", "r_rel_m", "dmin_m", "p_overlap", "t_at_dmin_s", "sustained_tight",
-            "rel_speed_closing_mps", "lat_speed_mps", "a_norm", "length_m", "width_m", "bearing_rad"]
-KINEMATIC = ["ttc_s", "dist_lt3", "dist_lt5", "dist_lt8", "approach_like", "crossing_like", "heading_align_cos",
-             "long_gap_m", "lat_offset_m"]
 MAP = ["map_lane_offset_m", "map_lane_alignment_cos", "dist_to_stopline_m", "dist_to_crosswalk_m", "in_drivable_area"]
-CONTEXT = ["rank_p_overlap", "margin_to_top_p", "rank_inv_dmin", "margin_to_top_inv_d"]
-FEATURES = META + GEOMETRY + KINEMATIC + MAP + CONTEXT
 TOP_KS = (1, 3, 5, 10, 24)
 SNAPSHOT = ["category", "is_vehicle", "is_vru", "is_static", "sector_id", "on_path_like", "x_rel_m", "y_rel_m", "r_rel_m",
             "dmin_m", "p_overlap", "t_at_dmin_s", "sustained_tight", "rel_speed_closing_mps", "lat_speed_mps", "a_norm",

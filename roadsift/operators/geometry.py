@@ -54,8 +54,9 @@ def _solve(pre: str, v: str, quad: Column) -> list[Column]:
     def det(r):
         return (r[0][0] * (r[1][1] * r[2][2] - r[1][2] * r[2][1]) - r[0][1] * (r[1][0] * r[2][2] - r[1][2] * r[2][0])
                 + r[0][2] * (r[1][0] * r[2][1] - r[1][1] * r[2][0]))
-    d3 = det([[n, t, u], [t, tt, tu], [u, tu, uu]])
-    d2 = n * tt - t * t
+    # what rounding leaves of a determinant that is zero counts as zero
+    d3, d2 = det([[n, t, u], [t, tt, tu], [u, tu, uu]]), n * tt - t * t
+    d3, d2 = F.when(d3 > 1e-14 * n * tt * uu, d3), F.when(d2 > 1e-14 * n * tt, d2)
     q0 = F.try_divide(det([[a, t, u], [b, tt, tu], [c, tu, uu]]), d3)
     q1 = F.try_divide(det([[n, a, u], [t, b, tu], [u, c, uu]]), d3)
     q2 = F.try_divide(det([[n, t, a], [t, tt, b], [u, tu, c]]), d3)

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadsift.functions.durable import stored
 from roadsift.functions.intervals import overlap_join
 from roadsift.functions.keys import seeded_hash
 from roadsift.functions.ordered import row_index
-from roadsift.functions.quantiles import group_quantiles, wide_quantiles
+from roadsift.functions.quantiles import column_quantiles, wide_quantiles
 from roadsift.operators.pu import ordered_split
-from roadsift.operators.similarity import cosine_topk, unit
+from roadsift.operators.similarity import cosine_topk
 
 # Numeric columns the embedding uses when at least 24 of them exist.
 VITAL = ["x_rel_m", "y_rel_m", "r_rel_m", "dmin_m", "p_overlap", "t_at_dmin_s", "sustained_tight", "rel_speed_closing_mps",
@@ -92,28 +95,25 @@ def select_features(df: DataFrame, whitelist: Sequence[str] = VITAL, drop: Seque
     return have if len(have) >= least else sorted(f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in drop)
 
 
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in cols])).alias("r")).select("r.*")
-
-
-def robust_stats(fit: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Median and median absolute deviation (0 becomes 1) of each column, one row per column."""
-    long = _long(fit, cols)
-    med = group_quantiles(long, ["field"], "v", [0.5], "med").select("field", "med")
-    # one row per column, so shipping it is bounded by the schema
-    dev = long.join(F.broadcast(med), "field").withColumn("d", F.abs(F.col("v") - F.col("med")))
-    mad = group_quantiles(dev, ["field"], "d", [0.5], "mad").select("field", "mad")
-    return med.join(mad, "field").withColumn("mad", F.when(F.col("mad") > 0, F.col("mad")).otherwise(1.0))
+def robust_stats(fit: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Median and median absolute deviation (0 becomes 1) of each column; nothing for columns without values."""
+    kept = stored(fit.select(*cols), "robust-columns")  # read in every pass
+    med = column_quantiles(kept, {c: F.col(c) for c in cols}, 0.5)
+    known = {c: m for c, m in med.items() if m is not None}
+    mad = column_quantiles(kept, {c: F.abs(F.col(c) - F.lit(m)) for c, m in known.items()}, 0.5) if known else {}
+    return {c: (m, mad[c] if mad[c] > 0 else 1.0) for c, m in known.items()}
 
 
 def robust_scale(fit: DataFrame, df: DataFrame, cols: Sequence[str], clip: float = 8.0) -> DataFrame:
-    """EMB-08: (x - median) / MAD with missing values at the median, clipped."""
-    row = robust_stats(fit, cols).agg(F.struct(*[F.struct(
-        F.max(F.when(F.col("field") == c, F.col("med"))).alias("med"), F.max(F.when(F.col("field") == c, F.col("mad"))).alias("mad")).alias(c)
-        for c in cols]).alias("s")).scalar()
-    out = df.withColumn("_st", row)
-    z = {c: (F.coalesce(F.col(c).cast("double"), F.col("_st")[c]["med"]) - F.col("_st")[c]["med"]) / F.col("_st")[c]["mad"] for c in cols}
-    return out.withColumns({c: F.least(F.greatest(v, F.lit(-clip)), F.lit(clip)) for c, v in z.items()}).drop("_st")
+    """EMB-08: (x - median) / MAD with missing values at the median, clipped; null where a column has no value at all."""
+    stats = robust_stats(fit, cols)
+
+    def scaled(c: str) -> Column:
+        if c not in stats:
+            return F.lit(None).cast("double")
+        med, mad = map(F.lit, stats[c])
+        return F.least(F.greatest((F.coalesce(F.col(c).cast("double"), med) - med) / mad, F.lit(-clip)), F.lit(clip))
+    return df.withColumns({c: scaled(c) for c in cols})
 
 
 def window_holdout(df: DataFrame, key: str = "window_key", frac: float = 0.15, seed: int = 1337) -> DataFrame:
@@ -142,16 +142,59 @@ def sample_pairs(df: DataFrame, pool: Sequence[str], item: str = "item_id", seed
                                         .otherwise(F.col("any_partner")).alias("j"), (F.col("pool_partner_n") >= 2).alias("from_pool"))
 
 
+def _matrix(batch, cols: Sequence[str]) -> np.ndarray:
+    return np.nan_to_num(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in cols]))
+
+
+def principal_axes(df: DataFrame, cols: Sequence[str], dim: int, rounds: int = 200, tol: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """EMB-11: the ``dim`` axes of greatest variance as columns, and their variances.
+
+    One pass adds up the Gram matrix in blocks; it has as many rows as there are columns, so its decomposition by block power iteration
+    (multiply, orthonormalise, until the axes stand still) needs no data.  An axis's largest entry is positive."""
+    names, d = list(cols), len(cols)
+
+    def part(batches):
+        total = np.zeros((d + 1, d + 1))
+        for batch in batches:
+            x = np.column_stack([_matrix(batch, names), np.ones(batch.num_rows)])
+            total += x.T @ x
+        yield pa.record_batch({"at": pa.array(np.arange(total.size), pa.int32()), "v": pa.array(total.ravel())})
+
+    gram = np.zeros((d + 1) ** 2)
+    for r in df.select(*names).mapInArrow(part, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        gram[r["at"]] = r["v"]
+    gram = gram.reshape(d + 1, d + 1)
+    n = max(gram[-1, -1], 1.0)
+    covariance = gram[:d, :d] / n - np.outer(gram[:d, -1], gram[-1, :d]) / n ** 2
+    axes = np.linalg.qr(np.random.default_rng(0).normal(size=(d, d)))[0]
+    shift = np.trace(covariance) * 1e-9 + 1e-12  # keeps directions without variance apart
+    for _ in range(rounds):
+        new, _ = np.linalg.qr((covariance + shift * np.eye(d)) @ axes)
+        moved = np.abs(np.abs((new * axes).sum(axis=0)) - 1).max()
+        axes = new
+        if moved < tol:
+            break
+    spread = ((covariance @ axes) * axes).sum(axis=0)
+    axes = axes[:, np.argsort(-spread, kind="stable")][:, :dim]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    return axes, np.sort(spread)[::-1][:dim]
+
+
 def embed_actors(df: DataFrame, cols: Sequence[str], dim: int = 128, out: str = "embedding") -> DataFrame:
-    """EMB-11: principal components of robust features as a unit vector, with its norm before scaling."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    v = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df)
-    proj = PCA(k=min(dim, len(cols)), inputCol="_x", outputCol="_p").fit(v).transform(v)
-    arr = proj.withColumn("_a", vector_to_array("_p")).drop("_x", "_p")
-    norm = F.sqrt(F.aggregate("_a", F.lit(0.0), lambda a, x: a + x * x))
-    return arr.withColumn("norm", norm).withColumn(out, unit("_a")).drop("_a")
+    """EMB-11: principal components of robust features as a unit vector, with its norm before scaling; at most as many as columns."""
+    names = list(cols)
+    axes, _ = principal_axes(df, names, min(dim, len(names)))
+
+    def project(batches):
+        for batch in batches:
+            y = _matrix(batch, names) @ axes
+            norm = np.linalg.norm(y, axis=1)
+            unit_rows = y / np.where(norm > 0, norm, 1)[:, None]
+            offsets = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1])
+            yield pa.record_batch([*batch.columns, pa.array(norm), pa.ListArray.from_arrays(offsets, pa.array(unit_rows.ravel()))], [*batch.schema.names, "norm", out])
+
+    kinds = T.StructType([*df.schema.fields, T.StructField("norm", T.DoubleType()), T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return df.mapInArrow(project, kinds)
 
 
 def nn_recall(emb: DataFrame, vec: str = "embedding") -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,31 +154,71 @@ def linear_score(cols: Sequence[str], weights: Sequence[float], bias: float) ->
     return 1.0 / (1.0 + F.exp(-z))
 
 
-def fit_nnpu_linear(df: DataFrame, cols: Sequence[str], pi: float, y: str = "y", epochs: int = 20, rate: float = 0.5):
+def nnpu_risk(df: DataFrame, cols: Sequence[str], pi: float, weights: Sequence[float], y: str = "y") -> tuple[float, np.ndarray]:
+    """PU-14: non-negative risk of a linear model (its bias last) and the gradient of that risk, in one pass.
+
+    Every task adds up losses and slopes of its batches; the sums meet place by place, so the driver gets one row for each."""
+    w = np.asarray(weights, float)
+    names, d = list(cols), len(cols) + 1
+
+    def part(batches):
+        total = np.zeros(5 + 3 * d)
+        for batch in batches:
+            x = np.column_stack([*[batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], np.ones(batch.num_rows)])
+            label = batch.column(y).to_numpy(zero_copy_only=False)
+            z = x @ w
+            p = np.exp(-np.logaddexp(0.0, -z))
+            pos, unl = label == 1, label == 0
+            as_pos, as_neg = np.logaddexp(0.0, -z), np.logaddexp(0.0, z)
+            total += np.concatenate([[pos.sum(), unl.sum(), as_pos[pos].sum(), as_neg[pos].sum(), as_neg[unl].sum()],
+                                     (p - 1)[pos] @ x[pos], p[pos] @ x[pos], p[unl] @ x[unl]])
+        yield pa.record_batch({"at": pa.array(np.arange(len(total)), pa.int32()), "v": pa.array(total)})
+
+    rows = df.select(F.col(y).cast("int").alias(y), *names).mapInArrow(part, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    v = np.zeros(5 + 3 * d)
+    for r in rows:
+        v[r["at"]] = r["v"]
+    n_pos, n_unl = max(v[0], 1.0), max(v[1], 1.0)
+    slope_pos, slope_neg, slope_unl = v[5:5 + d] / n_pos, v[5 + d:5 + 2 * d] / n_pos, v[5 + 2 * d:] / n_unl
+    negative = v[4] / n_unl - pi * v[3] / n_pos
+    return float(pi * v[2] / n_pos + max(0.0, negative)), pi * slope_pos + ((slope_unl - pi * slope_neg) if negative > 0 else 0.0)
+
+
+def fit_nnpu_linear(df: DataFrame, cols: Sequence[str], pi: float, y: str = "y", epochs: int = 100, tol: float = 1e-6, memory: int = 8):
     """PU-14: linear classifier under the non-negative PU risk; returns (weights, bias, risk).
 
-    Full-batch gradient descent: every epoch is one aggregate over the data, the driver holds the weights only.
+    Limited-memory quasi-Newton steps with a backtracking line search, until no slope exceeds ``tol`` or no step lowers the risk; the driver
+    holds the weights and the last ``memory`` steps only.
     """
-    df = pinned(df.select(y, *cols))  # read once an epoch
-    w, b, risk = np.zeros(len(cols)), 0.0, None
+    df = pinned(df.select(y, *cols))  # read at every step
+    w = np.zeros(len(cols) + 1)
+    risk, grad = nnpu_risk(df, cols, pi, w, y)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(epochs):
-        p = linear_score(cols, w, b)
-        pos, unl = F.col(y) == 1, F.col(y) == 0
-        # logistic losses: as positive -> -ln p with slope p-1, as negative -> -ln(1-p) with slope p
-        soft = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
-        terms = [F.avg(F.when(pos, -F.ln(soft))).alias("rp"), F.avg(F.when(pos, -F.ln(1 - soft))).alias("rpn"),
-                 F.avg(F.when(unl, -F.ln(1 - soft))).alias("run")]
-        one = F.lit(1.0)
-        for k, x in enumerate([*[F.col(c) for c in cols], one]):
-            terms += [F.avg(F.when(pos, (p - 1) * x)).alias(f"gp{k}"), F.avg(F.when(pos, p * x)).alias(f"gpn{k}"),
-                      F.avg(F.when(unl, p * x)).alias(f"gun{k}")]
-        r = df.agg(*terms).first()
-        negative = r["run"] - pi * r["rpn"]
-        risk = pi * r["rp"] + max(0.0, negative)
-        grad = np.array([pi * r[f"gp{k}"] + ((r[f"gun{k}"] - pi * r[f"gpn{k}"]) if negative > 0 else 0.0)
-                         for k in range(len(cols) + 1)])
-        w, b = w - rate * grad[:-1], b - rate * grad[-1]
-    return [float(v) for v in w], float(b), float(risk)
+        if np.abs(grad).max() <= tol:
+            break
+        way, used = -grad, []
+        for s, g in reversed(steps):
+            used.append((s @ way) / (g @ s))
+            way = way - used[-1] * g
+        if steps:
+            s, g = steps[-1]
+            way = way * (s @ g) / (g @ g)
+        for (s, g), a in zip(steps, reversed(used)):
+            way = way + (a - (g @ way) / (g @ s)) * s
+        length, fall = 1.0, float(grad @ way)
+        while length > 1e-6:
+            there = nnpu_risk(df, cols, pi, w + length * way, y)
+            if there[0] <= risk + 1e-4 * length * fall:
+                break
+            length /= 2
+        else:
+            break
+        s, g = length * way, there[1] - grad
+        if s @ g > 1e-12:
+            steps = [*steps, (s, g)][-memory:]
+        w, (risk, grad) = w + s, there
+    return [float(v) for v in w[:-1]], float(w[-1]), risk
 
 
 def fold_of(key: Column, k: int = 5, seed: int = 1337) -> Column:

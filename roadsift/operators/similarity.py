@@ -52,6 +52,10 @@ class Balls:
         c = corpus.select("id", F.col(vec).cast("array<double>").alias("_v"), self.other.cast("string").alias("_x"))
         self.id_type = c.schema["id"].dataType.simpleString()
         n = c.count()
+        if n <= BLOCK:  # one block is one cell, which every query visits
+            self.facts = None
+            self.blocks = c.groupBy(F.lit(0).alias("cell")).agg(F.collect_list(F.struct("id", "_v", "_x")).alias("_cb"))
+            return
         cells = min(PIVOTS, max(1, -(-n // BLOCK)))
         chosen = c.where(F.exists("_v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(cells).select("_v").collect()
         pivots = _normalised([r[0] for r in chosen]) if chosen else np.zeros((1, 1))
@@ -71,6 +75,7 @@ class Balls:
         subs = F.array(*[F.lit(int(max(1, -(-int(x) // BLOCK)))) for x in sizes])
         self.blocks = placed.groupBy("cell", F.pmod(F.xxhash64("id"), F.get(subs, F.col("cell"))).alias("sub")).agg(F.collect_list(F.struct("id", "_v", "_x")).alias("_cb"))
 
+
 def _bounds(m: np.ndarray, pivots: np.ndarray, sizes: np.ndarray, radius: np.ndarray, zero: np.ndarray) -> np.ndarray:
     """The greatest similarity that each cell can hold for a query, with room for rounding."""
     angle = _angles(m @ pivots.T)
@@ -97,7 +102,7 @@ def topk_with_visits(corpus: DataFrame, queries: DataFrame, k: int = 10, vec: st
     schema = f"query_id {qt}, id {balls.id_type}, similarity double"
     chunks = max(1, -(-q.count() // BLOCK))
     facts = balls.facts
-    sizes = facts[1]
+    sizes = facts[1] if facts else None
 
     def route(choose, extra: str):
         def run(batches):
@@ -130,14 +135,19 @@ def topk_with_visits(corpus: DataFrame, queries: DataFrame, k: int = 10, vec: st
     def block(batches):
         for pdf in batches:
             for qs, cs in zip(pdf["_qb"], pdf["_cb"]):
-                yield score([r["query_id"] for r in qs], np.asarray([r["_v"] for r in qs]), [r["_x"] for r in qs],
-                            [r["id"] for r in cs], np.asarray([r["_v"] for r in cs]), [r["_x"] for r in cs])
+                yield score([r["query_id"] for r in qs], _normalised([r["_v"] for r in qs]), [r["_x"] for r in qs],
+                            [r["id"] for r in cs], _normalised([r["_v"] for r in cs]), [r["_x"] for r in cs])
 
     def visit(routed: DataFrame) -> DataFrame:
         sent = routed.select("query_id", "_v", "_x", F.explode("cells").alias("cell"))
+        return meet(sent)
+
+    def meet(sent: DataFrame) -> DataFrame:
         packs = sent.groupBy("cell", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("query_id", "_v", "_x")).alias("_qb"))
         return packs.join(balls.blocks, "cell").select("_qb", "_cb").mapInPandas(block, schema)
 
+    if facts is None:
+        return _rank(meet(q.withColumn("cell", F.lit(0))), k), q.select("query_id", F.lit(1).cast("bigint").alias("cells"))
     home = stored(route(nearest, "")(q), "routed-queries")
     first = stored(_rank(visit(home), k), "first-visits")
     floor = first.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("floor"))

@@ -73,7 +73,7 @@ def emb_06_off(t):
     return X.index_offenders(index(t))
 
 
-COLS = ["x_rel_m", "dmin_m", "ttc_s", "lat_speed_mps"]
+COLS = [c for c in X.VITAL if c not in ("rank_p_overlap", "margin_to_top_p", "rank_inv_dmin", "margin_to_top_inv_d")]  # all that the fixture has
 
 
 @query("emb_07_select_features", "name:s n:n", f"WITH {IDX} " + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n FROM idx" for c in X.VITAL if c not in (
@@ -84,9 +84,13 @@ def emb_07(t):
     return df.agg(F.array(*[F.struct(F.lit(c).alias("name"), F.count(c).alias("n")) for c in cols]).alias("a")).select(F.inline("a"))
 
 
-@query("emb_08_robust_scale", A + " " + " ".join(f"{c}:d" for c in COLS), f"WITH {IDX}, med AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in COLS) +
-       " FROM idx), mad AS (SELECT " + ", ".join(f"quantile_cont(abs({c} - m_{c}), 0.5) AS d_{c}" for c in COLS) + " FROM idx, med) SELECT window_key, track_uuid, " +
-       ", ".join(f"least(greatest((coalesce({c}, m_{c}) - m_{c}) / CASE WHEN d_{c} > 0 THEN d_{c} ELSE 1 END, -8.0), 8.0) AS {c}" for c in COLS) + " FROM idx, med, mad")
+SCALED = f"{IDX}, med AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in COLS) + " FROM idx), mad AS (SELECT " + ", ".join(
+    f"quantile_cont(abs({c} - m_{c}), 0.5) AS d_{c}" for c in COLS) + " FROM idx, med), scaled AS (SELECT window_key, track_uuid, " + ", ".join(
+    f"least(greatest((coalesce({c}, m_{c}) - m_{c}) / CASE WHEN d_{c} > 0 THEN d_{c} ELSE 1 END, -8.0), 8.0) AS {c}" for c in COLS) + " FROM idx, med, mad)"
+EMB08 = f"WITH {SCALED} SELECT window_key, track_uuid, @ FROM scaled"
+
+
+@query("emb_08_robust_scale", A + " " + " ".join(f"{c}:d" for c in COLS), EMB08.replace("@", ", ".join(COLS)))
 def emb_08(t):
     df = index(t)
     return X.robust_scale(df, df, COLS)
@@ -108,10 +112,12 @@ def emb_10(t):
     return X.sample_pairs(ev, ["log_id", "event_type"], "event_id")
 
 
-@query("emb_11_embed_actors", A + " norm:d dim:n")
+@query("emb_11_embed_actors", A + " norm:d dim:n length:d", EMB08.replace("@", f"sqrt({' + '.join(f'{c} * {c}' for c in COLS)}) AS norm, {len(COLS)} AS dim, CASE WHEN {' OR '.join(f'{c} <> 0' for c in COLS)} THEN 1 ELSE 0 END AS length"))
 def emb_11(t):
+    """All components of the feature list, which keep lengths whatever the axes."""
     df = index(t)
-    return X.embed_actors(X.robust_scale(df, df, COLS), COLS, 3).withColumn("dim", F.size("embedding"))
+    out = X.embed_actors(X.robust_scale(df, df, COLS), COLS)
+    return out.withColumns({"dim": F.size("embedding"), "length": F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))})
 
 
 NN = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS VARCHAR) AS window_key FROM embeddings),

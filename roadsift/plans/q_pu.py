@@ -166,12 +166,25 @@ def pu_13(t):
     return P.standardise(df.where("y = 0"), df, ["x1", "x2"])
 
 
+COLUMNS = ["x1", "x2", "score", "other"]
+STD = ", ".join(f"(coalesce({c}, avg({c}) OVER ()) - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in COLUMNS)
+
+
 @query("pu_14_fit_nnpu_linear", "doc_id:n score:d")
 def pu_14(t):
-    """Few epochs, for the interface; convergence is covered by the tests."""
-    df = P.standardise(pu(t), pu(t), ["x1", "x2"])
-    w, b, _ = P.fit_nnpu_linear(df, ["x1", "x2"], pi=0.3, epochs=3)
-    return df.withColumn("score", P.linear_score(["x1", "x2"], w, b))
+    """All numeric columns, until no step lowers the risk."""
+    df = P.standardise(pu(t), pu(t), COLUMNS)
+    w, b, _ = P.fit_nnpu_linear(df, COLUMNS, pi=0.3)
+    return df.withColumn("score", P.linear_score(COLUMNS, w, b))
+
+
+@query("pu_14_first_step", "at:n slope:d risk:d", f"WITH {PU}, s AS (SELECT y, 1e0 AS one, {STD} FROM pu) " + " UNION ALL ".join(
+    f"SELECT {k} AS at, -0.15 * avg({c}) FILTER (y = 1) + 0.5 * avg({c}) FILTER (y = 0) - 0.15 * avg({c}) FILTER (y = 1) AS slope, ln(2.0) AS risk FROM s" for k, c in enumerate([*COLUMNS, "one"])))
+def pu_14_first(t):
+    """Slopes and risk at weights of zero, where every probability is a half."""
+    df = P.standardise(pu(t), pu(t), COLUMNS)
+    risk, slopes = P.nnpu_risk(df, COLUMNS, 0.3, [0.0] * 5)
+    return t.spark.createDataFrame([(k, float(v), risk) for k, v in enumerate(slopes)], "at int, slope double, risk double")
 
 
 @query("pu_15_score", "doc_id:n score:d",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from roadsift.plans.registry import query
 from roadsift.sources import io as S
+from roadsift.sources.keyed import KeyedTable
 
 NS = "CAST(event_id * 1000003 + 7 AS BIGINT)"
 
@@ -154,6 +155,17 @@ def src_13(t):
     return S.upsert(*_versions(t), ["key"])
 
 
+@query("src_13_keyed_table", "key:n v:d load_seq:n", "WITH u AS (SELECT o_orderkey % 1000 AS key, o_totalprice AS v, o_orderkey AS load_seq FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey % 1500, -o_totalprice, o_orderkey + 1000000 FROM orders WHERE o_orderkey % 3 = 0) SELECT key, arg_max(v, load_seq) AS v, max(load_seq) AS load_seq FROM u GROUP BY key")
+def src_13_keyed(t):
+    """The same writes as ``src_13_upsert`` into a bucketed table, the second one twice."""
+    old, new = _versions(t)
+    table = KeyedTable(t.spark, S.scratch(t.spark, "keyed"), ["key"], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in old.schema))
+    table.upsert(old, "first")
+    table.upsert(new, "second")
+    table.upsert(new, "second")
+    return table.read()
+
+
 @query("src_14_log_run", "run_id:s spec_json:s rank:n vec_id:n", """SELECT sha1('[{"k":"prompt","v":"base"},{"k":"top_k","v":"10"}]') AS run_id, '{"prompt":"base","top_k":"10"}' AS spec_json, vec_id + 1 AS rank, vec_id FROM embeddings""")
 def src_14(t):
     runs, rows = S.log_run(t.spark, {"top_k": 10, "prompt": "base"}, t.embeddings.select((F.col("vec_id") + 1).alias("rank"), "vec_id"))

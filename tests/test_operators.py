@@ -230,6 +230,46 @@ def test_two_sided_features(spark):
     assert got == {("a", "p"): (0.5, 15.0), ("a", "q"): (round(math.hypot(14, 1), 6), 1.0), ("b", "p"): (1.0, None)}
 
 
+def test_values_at_other_times(spark):
+    """Against numpy: gaps longer than a bucket, times before, between, on and after the samples, a log without samples."""
+    from roadsift.functions.trajectory import at_times
+
+    rng = np.random.default_rng(3)
+    series, queries, want = [], [], {}
+    for log in range(4):
+        ts = np.sort(np.concatenate([rng.uniform(0, 9, 30), rng.uniform(40, 44, 5), [100.0]]))
+        vs = rng.normal(size=(2, len(ts)))
+        series += [(f"l{log}", float(a), float(b), float(c)) for a, b, c in zip(ts, *vs)]
+        for k, q in enumerate([*rng.uniform(-5, 110, 60), *ts[:5], ts[-1]]):
+            queries.append((f"l{log}", k, float(q)))
+            want[f"l{log}", k] = [np.interp(q, ts, v) for v in vs]
+    queries.append(("none", 0, 1.0))
+    got = at_times(spark.createDataFrame(series, "log_id string, t_s double, u double, v double").repartition(3),
+                   spark.createDataFrame(queries, "log_id string, n int, q_t double"), ["u", "v"]).collect()
+    assert len(got) == len(queries)
+    for r in got:
+        assert (r["u"], r["v"]) == (None, None) if r["log_id"] == "none" else np.allclose((r["u"], r["v"]), want[r["log_id"], r["n"]], atol=1e-9)
+
+
+def test_fits_of_repeated_timestamps(spark):
+    """Two different times give a line, one time a standing actor at the mean; three give a parabola."""
+    rows = [("two", t, x) for t, x in ((0.0, 1.0), (0.0, 1.0), (0.5, 2.0), (0.5, 2.0))] + [("one", 0.1, x) for x in (1.0, 2.0, 6.0)] + [("three", t, 1 + t + 3 * t * t) for t in (-0.5, 0.0, 0.5)]
+    df = spark.createDataFrame([("w", a, t, x, -x, 0.0) for a, t, x in rows], "window_key string, track_uuid string, t_s double, x double, y double, t0 double")
+    got = {r["track_uuid"]: tuple(round(r[c], 6) for c in ("x0", "vx", "ax", "y0")) for r in G.fit_state(df).collect()}
+    assert got == {"two": (1.0, 2.0, 0.0, -1.0), "one": (3.0, 0.0, 0.0, -3.0), "three": (1.0, 1.0, 6.0, -1.0)}
+
+
+def test_changed_and_missing_files(spark, tmp_path):
+    import hashlib
+
+    from roadsift.operators.knowledge import check_files
+
+    for name in ("a.json", "b.json"):
+        (tmp_path / name).write_text(name)
+    expected = spark.createDataFrame([("a.json", hashlib.sha256(b"a.json").hexdigest()), ("b.json", "0" * 64), ("c.json", "0" * 64)], "name string, sha256 string")
+    assert {tuple(r) for r in check_files(spark, str(tmp_path), expected).collect()} == {("b.json", "checksum_mismatch"), ("c.json", "missing")}
+
+
 def test_a_point_id_in_two_logs(spark):
     square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
     features = spark.createDataFrame([("a", 1, "drivable", False, square), ("b", 1, "lane", True, [(0.0, 9.0), (9.0, 9.0)])],
@@ -248,6 +288,57 @@ def test_pu_risk_falls_and_separates(spark):
     assert last < first and w[0] > 0
 
 
+def test_pu_fit_reaches_the_least_risk(spark):
+    """Against many small plain steps over the same rows."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal([1.5, 0.5, 0], 1, (150, 3)), rng.normal([1.5, 0.5, 0], 1, (120, 3)), rng.normal([-1, 0, 0], 1, (280, 3))])
+    y = np.array([1] * 150 + [0] * 400)
+    df = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(y, x)], "y int, a double, b double, c double")
+    w, b, risk = P.fit_nnpu_linear(df, ["a", "b", "c"], 0.3)
+    full, v, plain = np.column_stack([x, np.ones(len(x))]), np.zeros(4), None
+    for _ in range(20000):
+        z = full @ v
+        p = 1 / (1 + np.exp(-z))
+        neg = np.logaddexp(0, z)[y == 0].mean() - 0.3 * np.logaddexp(0, z)[y == 1].mean()
+        plain = 0.3 * np.logaddexp(0, -z)[y == 1].mean() + max(0, neg)
+        g = 0.3 * ((p - 1)[y == 1] @ full[y == 1]) / 150 + ((p[y == 0] @ full[y == 0]) / 400 - 0.3 * (p[y == 1] @ full[y == 1]) / 150 if neg > 0 else 0)
+        v = v - 0.1 * g
+    assert risk <= plain + 1e-5 and (neg <= 1e-3 or np.allclose([*w, b], v, atol=1e-2))
+
+
+def test_principal_axes(spark):
+    """Against numpy: axes, variances, kept inner products with all components, and a column without variance."""
+    from roadsift.operators.index import embed_actors, principal_axes
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 5)) @ np.diag([5, 3, 2, 0.5, 0]) @ np.linalg.qr(rng.normal(size=(5, 5)))[0] + 1.0
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id int, " + ", ".join(f"c{k} double" for k in range(5))).repartition(3)
+    axes, spread = principal_axes(df, [f"c{k}" for k in range(5)], 3)
+    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert np.allclose(spread, values[::-1][:3], rtol=1e-6) and np.allclose(np.abs((axes * vectors[:, ::-1][:, :3]).sum(axis=0)), 1, atol=1e-6)
+    rows = sorted(embed_actors(df, [f"c{k}" for k in range(5)]).select("id", "norm", "embedding").collect())
+    y = np.array([r["embedding"] for r in rows]) * np.array([[r["norm"]] for r in rows])
+    assert np.allclose(y @ y.T, x @ x.T) and np.allclose([r["norm"] for r in rows], np.linalg.norm(x, axis=1))
+
+
+def test_a_keyed_table_touches_only_its_buckets(spark, tmp_path):
+    from roadsift.sources.keyed import KeyedTable
+
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], "k int, v string, load_seq int", buckets=16)
+    assert table.upsert(spark.createDataFrame([(k, "a", 1) for k in range(200)], "k int, v string, load_seq int"), "one") == 16
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "rows").rglob("part-*.parquet")}
+    before = files()
+    change = spark.createDataFrame([(3, "b", 2), (3, "c", 3), (4, "old", 0), (900, "new", 1)], "k int, v string, load_seq int")
+    n = table.upsert(change, "two")
+    kept = {p for p, at in files().items() if before.get(p) == at}
+    assert 1 <= n <= 3 and len(kept) == 16 - n
+    rows = {r["k"]: (r["v"], r["load_seq"]) for r in table.read().collect()}
+    assert len(rows) == 201 and (rows[3], rows[4], rows[900], rows[5]) == (("c", 3), ("a", 1), ("new", 1), ("a", 1))
+    assert table.upsert(change.withColumn("load_seq", F.lit(9)), "two") == 0 and table.insert(spark.createDataFrame([(3, "z", 99), (901, "n", 1)], "k int, v string, load_seq int"), "three") >= 1
+    again = {r["k"]: r["v"] for r in table.read().collect()}
+    assert len(again) == 202 and again[3] == "c" and again[901] == "n" and table.attempts().count() == 3
+
+
 def test_upsert_is_idempotent_and_last_write_wins(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, load_seq int")
     n = spark.createDataFrame([(2, "c", 2), (3, "d", 2), (3, "e", 3)], "k int, v string, load_seq int")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadsift.functions.ordered import chunk_window, fill_edges, own_rows, row_index, running_sum, with_halo
-from roadsift.functions.quantiles import group_quantiles
+from roadsift.functions.quantiles import column_quantiles, group_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +42,23 @@ def test_running_sum_and_fill(spark, frame):
     assert np.allclose(near["next"].astype(float), p.groupby("log_id")["x"].bfill(), equal_nan=True)
 
 
+def test_three_levels_of_carries(spark, frame):
+    """Chunks of 3 rows, chunks of 3 chunks, and 14 of those in the hot log; without keys no task gets all rows of a level."""
+    df = spark.createDataFrame(frame)
+    got = running_sum(df, ["log_id"], "v", "s", size=3).toPandas().sort_values(["log_id", "i"])
+    assert np.allclose(got["s"], frame.sort_values(["log_id", "i"]).groupby("log_id")["v"].cumsum())
+    sparse = F.when(F.col("i") % 41 == 5, F.col("v"))
+    near = fill_edges(df, ["log_id"], sparse, "prev", "next", size=3).toPandas().sort_values(["log_id", "i"])
+    p = frame.sort_values(["log_id", "i"]).assign(x=lambda d: d["v"].where(d["i"] % 41 == 5))
+    assert np.allclose(near["prev"].astype(float), p.groupby("log_id")["x"].ffill(), equal_nan=True)
+    assert np.allclose(near["next"].astype(float), p.groupby("log_id")["x"].bfill(), equal_nan=True)
+    whole = row_index(df.drop("i"), [], ["log_id", "v"], out="i")
+    summed = running_sum(whole, [], "v", "s", size=3)
+    assert "SinglePartition" not in summed._jdf.queryExecution().executedPlan().toString().split("Scan ExistingRDD")[0]
+    flat = summed.toPandas().sort_values("i")
+    assert np.allclose(flat["s"], flat["v"].cumsum())
+
+
 def test_halo_reaches_over_chunk_borders(spark, frame):
     halo = with_halo(spark.createDataFrame(frame), before=2, after=3, size=5)
     w = chunk_window(["log_id"])
@@ -61,3 +78,16 @@ def test_group_quantiles_are_exact(spark, nearest):
     for k, vs in groups.items():
         for p in ps:
             assert got[(k, p)] == pytest.approx(np.quantile(vs, p, method="nearest" if nearest else "linear"), abs=1e-12)
+
+
+@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.9, 1.0])
+def test_quantiles_of_many_columns(spark, p):
+    rng = np.random.default_rng(11)
+    x = {"normal": rng.normal(size=30000), "ties": rng.integers(0, 3, 30000).astype(float), "same": np.full(30000, 2.5), "gaps": np.where(rng.random(30000) < 0.3, np.nan, rng.normal(size=30000))}
+    df = spark.createDataFrame(pd.DataFrame(x)).repartition(4)
+    columns = {c: F.when(~F.isnan(c), F.col(c)) for c in x} | {"none": F.lit(None).cast("double"), "negative": -F.col("normal")}
+    got = column_quantiles(df, columns, p)
+    assert got.pop("none") is None
+    for c, v in got.items():
+        values = -x["normal"] if c == "negative" else x[c][~np.isnan(x[c])]
+        assert v == pytest.approx(np.quantile(values, p), abs=1e-12), c
