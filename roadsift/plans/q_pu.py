@@ -178,13 +178,13 @@ def pu_14(t):
     return df.withColumn("score", P.linear_score(COLUMNS, w, b))
 
 
-@query("pu_14_first_step", "at:n slope:d risk:d", f"WITH {PU}, s AS (SELECT y, 1e0 AS one, {STD} FROM pu) " + " UNION ALL ".join(
-    f"SELECT {k} AS at, -0.15 * avg({c}) FILTER (y = 1) + 0.5 * avg({c}) FILTER (y = 0) - 0.15 * avg({c}) FILTER (y = 1) AS slope, ln(2.0) AS risk FROM s" for k, c in enumerate([*COLUMNS, "one"])))
+@query("pu_14_first_step", "weight:n slope:d risk:d", f"WITH {PU}, s AS (SELECT y, 1e0 AS one, {STD} FROM pu) " + " UNION ALL ".join(
+    f"SELECT {k} AS weight, -0.15 * avg({c}) FILTER (y = 1) + 0.5 * avg({c}) FILTER (y = 0) - 0.15 * avg({c}) FILTER (y = 1) AS slope, ln(2.0) AS risk FROM s" for k, c in enumerate([*COLUMNS, "one"])))
 def pu_14_first(t):
     """Slopes and risk at weights of zero, where every probability is a half."""
     df = P.standardise(pu(t), pu(t), COLUMNS)
     risk, slopes = P.nnpu_risk(df, COLUMNS, 0.3, [0.0] * 5)
-    return t.spark.createDataFrame([(k, float(v), risk) for k, v in enumerate(slopes)], "at int, slope double, risk double")
+    return t.spark.createDataFrame([(k, float(v), risk) for k, v in enumerate(slopes)], "weight int, slope double, risk double")
 
 
 @query("pu_15_score", "doc_id:n score:d",
