@@ -26,6 +26,7 @@ from roadsift.llm.text import Words, mixed, slices, squeeze, unsqueeze, window_h
 BATCH = 12 << 20  # bytes of text whose strings are reduced and packed together
 PIECE = 1 << 20  # bytes of text hashed at once; hashing takes many bytes for one of text
 BUCKET = 4 << 20  # bytes of text to a bucket at most, on average
+PART = 1 << 19  # windows of a bucket that are sorted at once
 TASK = 64 << 20  # bytes of text to a task, where the session's shuffle partitions would make it more
 ZSTD = pa.Codec("zstd", 6)
 KEY = struct.Struct("<qi")
@@ -171,10 +172,19 @@ def repeated_in(blocks: list[bytes], size: int) -> Iterator[bytes]:
         hashes, whole = window_hashes(words.hashes, words.doc, size)
         at = np.flatnonzero(whole)
         parts.append((hashes[at], (words.doc[at] + a).astype(np.int32), (at - words.bounds[words.doc[at]]).astype(np.int32),
-                      words.starts[at] + shift, words.ends[at + size - 1] + shift))
+                      words.starts[at] + shift, (words.ends[at + size - 1] - words.starts[at]).astype(np.int32)))
         a = b
-    hashes, owner, place, begin, end = (np.concatenate(c) for c in zip(*parts))
-    del parts
+    raw = data.tobytes()
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    del parts, data
+    # windows of a bucket are dealt by their hash, so that sorting takes little beside the windows themselves
+    rounds = max(1, len(columns[0]) // PART)
+    for k in range(rounds):
+        mine = np.flatnonzero(columns[0] % np.uint64(rounds) == k) if rounds > 1 else slice(None)
+        yield from _repeated_windows(ids, content, first, raw, *(c[mine] for c in columns))
+
+
+def _repeated_windows(ids, content, first, raw: bytes, hashes, owner, place, begin, length) -> Iterator[bytes]:
     order = np.argsort(hashes, kind="stable")
     sorted_hashes = hashes[order]
     borders = np.flatnonzero(np.append(True, sorted_hashes[1:] != sorted_hashes[:-1]))
@@ -183,8 +193,8 @@ def repeated_in(blocks: list[bytes], size: int) -> Iterator[bytes]:
     if not len(order):
         return
     borders = np.cumsum(counts) - counts
-    raw, owner, place = data.tobytes(), owner[order], place[order]
-    begin, end = begin[order].tolist(), end[order].tolist()
+    owner, place = owner[order], place[order]
+    begin, end = begin[order].tolist(), (begin[order] + length[order]).tolist()
     lead = np.repeat(borders, counts).tolist()
     if all(raw[x:y] == raw[begin[k]:end[k]] for x, y, k in zip(begin, end, lead)):
         least = np.repeat(np.minimum.reduceat(ids[owner], borders), counts)

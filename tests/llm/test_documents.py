@@ -85,7 +85,9 @@ def test_components(spark):
     assert got == want and components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_repeated_windows(table):
+@pytest.mark.parametrize("part", [1 << 21, 500])
+def test_repeated_windows(table, monkeypatch, part):
+    monkeypatch.setattr(substrings, "PART", part)
     got = substrings.remove_repeats(table).select("row.doc_id", "row.kept", "n_words", "n_removed", "kept").toDF("doc_id", "own", "n_words", "n_removed", "kept").collect()
     want = without_repeats(texts())
     assert len(got) == len(documents())
