@@ -22,6 +22,7 @@ from roadsift.llm.text import squeeze, unsqueeze, unused
 
 RULES_VERSION = 1
 FEW = 50_000  # hashes with an id, some 100 bytes each, that may be broadcast
+SHARE = 20  # and only where this many times as many texts are known
 
 # fixed values: kind, pattern, group that is measured, least length of it
 BASE_RULES = [
@@ -100,17 +101,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(versions: DataFrame, ledger: Ledger, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans of every row of ``versions``; texts that the ledger holds under its rules aren't read again.
 
-    What is unseen is decided on hashes.  Texts move only if something is unseen: few unseen ones (``FEW``) are sent to the texts, else both
-    are shuffled by hash."""
+    What is unseen is decided on hashes.  Texts move only if something is unseen: few unseen ones (``FEW``, ``SHARE``) are sent to the texts,
+    else both are shuffled by hash, as in every first scan."""
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = versions.select(F.col(id).alias("id"), F.sha2(content, 256).alias("sha256"))
     blobs = named.groupBy("sha256").agg(F.min("id").alias("at"))
     unseen = stored(blobs.join(ledger.read().select("sha256"), "sha256", "left_anti").withColumnRenamed("sha256", "blob"), "unseen")
     n = unseen.count()
+    few = n <= FEW and SHARE * n <= ledger.read().count()
     if n:
         texts = versions.select(F.col(id).alias("id"), F.sha2(content, 256).alias("sha256"), content.alias("text"))
         here = (F.col("sha256") == F.col("blob")) & F.col("id").eqNullSafe(F.col("at"))
-        if n <= FEW:  # nothing is shuffled, so nothing is compressed
+        if few:  # nothing is shuffled, so nothing is compressed
             texts = texts.join(F.broadcast(unseen), here, "left_semi")
         else:
             texts = texts.mapInArrow(_squeezed, f"id {texts.schema['id'].dataType.simpleString()}, sha256 string, text binary").join(unseen, here, "left_semi")

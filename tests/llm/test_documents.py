@@ -219,6 +219,7 @@ def test_a_ledger_that_is_written_twice(spark):
 def test_two_versions_of_a_corpus_and_of_the_rules(spark, monkeypatch, few):
     """Only new texts are read in the second version; new rules read every text of the corpus again, beside the old findings."""
     monkeypatch.setattr(secret_scan, "FEW", few)
+    monkeypatch.setattr(secret_scan, "SHARE", 0)
     old = spark.createDataFrame([(k, f"text {k} secret: value{k}99") for k in range(6)], "doc_id long, text string")
     new = spark.createDataFrame([(k, f"text {k} secret: value{k}99" if k < 4 else f"changed {k}") for k in range(6)] + [(9, None)], "doc_id long, text string")
     ledger = secret_scan.Ledger(spark)
