@@ -118,11 +118,14 @@ def is_stationary(eps: float = 0.3) -> Column:
 
 
 def actor_summary() -> Column:
-    """EVD-09: one sentence about an actor."""
+    """EVD-09: one sentence about an actor; tenths are rounded as numbers, half up, not by the digits that a format would print."""
+    def tenths(c):
+        return F.floor(F.col(c) * 10 + 0.5) / F.lit(10.0)
+
     def words(c):
         return F.replace(F.col(c), F.lit("_"), F.lit(" "))
-    dist = F.when(F.col("r_rel_m").isNull(), "at unknown distance").otherwise(F.format_string("~%.1f m away", "r_rel_m"))
-    when = F.when(F.col("ttc_s").isNull(), "with unknown TTC").otherwise(F.format_string("with TTC≈%.1f s", "ttc_s"))
+    dist = F.when(F.col("r_rel_m").isNull(), "at unknown distance").otherwise(F.format_string("~%.1f m away", tenths("r_rel_m")))
+    when = F.when(F.col("ttc_s").isNull(), "with unknown TTC").otherwise(F.format_string("with TTC≈%.1f s", tenths("ttc_s")))
     role = F.when(F.col("role_hint") != "other", F.concat(F.lit(", (role: "), words("role_hint"), F.lit(")"))).otherwise("")
     return F.concat(F.lit("A "), F.lower(F.replace("category", F.lit("_"), F.lit(" "))), F.lit(", "), dist, F.lit(", on the "), words("side_bucket"),
                     F.lit(", ("), words("distance_bucket"), F.lit("), "), when, F.lit(", showing "), words("trajectory_bucket"), F.lit(" behaviour"), role, F.lit("."))
