@@ -232,13 +232,21 @@ def _pr(t):
     return t.lineitem.select(F.col("l_linenumber").cast("bigint").alias("backend_id"), F.col("l_orderkey").alias("window_key"))
 
 
+def _whole_emb(t):
+    """Every line's backend and order has a vector, and so has one backend of every order, whether a line has its number or not."""
+    k = F.col("window_key")
+    lines = t.lineitem.select(F.col("l_linenumber").cast("bigint").alias("backend_id"), F.col("l_orderkey").alias("window_key"))
+    return lines.unionByName(_emb(t).select("backend_id", "window_key")).distinct().withColumn("embedding", F.when(k % 2 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))))
+
+
 EMB = "em AS (SELECT o_orderkey % 7 + 1 AS backend_id, o_orderkey AS window_key FROM orders), pr AS (SELECT l_linenumber AS backend_id, l_orderkey AS window_key FROM lineitem)"
+WHOLE_EMB = EMB.replace("FROM orders)", "FROM orders UNION SELECT l_linenumber, l_orderkey FROM lineitem)")
 
 
-@query("kb_17_backend_coverage", "backend_id:n prompt_type:s n_rows:n windows:n embedded:n", f"WITH {EMB}, b AS (SELECT DISTINCT l_linenumber AS backend_id FROM lineitem), p AS (SELECT backend_id, count(*) AS n_rows, count(DISTINCT window_key) AS windows FROM pr GROUP BY 1), e AS (SELECT backend_id, count(*) AS embedded FROM em GROUP BY 1) SELECT b.backend_id, 'p' || b.backend_id AS prompt_type, coalesce(n_rows, 0) AS n_rows, coalesce(windows, 0) AS windows, coalesce(embedded, 0) AS embedded FROM b LEFT JOIN p USING (backend_id) LEFT JOIN e USING (backend_id)")
+@query("kb_17_backend_coverage", "backend_id:n prompt_type:s n_rows:n windows:n embedded:n", f"WITH {WHOLE_EMB}, b AS (SELECT DISTINCT l_linenumber AS backend_id FROM lineitem), p AS (SELECT backend_id, count(*) AS n_rows, count(DISTINCT window_key) AS windows FROM pr GROUP BY 1), e AS (SELECT backend_id, count(*) AS embedded FROM em GROUP BY 1) SELECT b.backend_id, 'p' || b.backend_id AS prompt_type, coalesce(n_rows, 0) AS n_rows, coalesce(windows, 0) AS windows, coalesce(embedded, 0) AS embedded FROM b LEFT JOIN p USING (backend_id) LEFT JOIN e USING (backend_id)")
 def kb_17(t):
     b = t.lineitem.select(F.col("l_linenumber").cast("bigint").alias("backend_id")).distinct().withColumns({"prompt_type": F.concat(F.lit("p"), F.col("backend_id").cast("string")), "backend_dir": F.lit("d")})
-    return B.backend_coverage(_pr(t), b, _emb(t))
+    return B.backend_coverage(_pr(t), b, _whole_emb(t))
 
 
 @query("kb_17_embedding_coverage", "metric:s value:d", f"WITH {EMB} SELECT 'dim:' || (1 + window_key % 2) AS metric, count(*)::DOUBLE AS value FROM em GROUP BY 1 UNION ALL SELECT 'without_prediction', count(*) FROM em ANTI JOIN pr USING (backend_id, window_key)")
