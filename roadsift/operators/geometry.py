@@ -350,6 +350,12 @@ def numbered_lines(lines: DataFrame, log: str = "log_id") -> DataFrame:
         *[c for c in ("kind", "feature_id", "edge") if c in lines.columns])) - 1)
 
 
+def grown(rows: DataFrame) -> DataFrame:
+    """A table made by exploding, joined by shuffles only: it is planned at the size of what it was made from, small enough to pass whole
+    through the driver where its rows are not."""
+    return rows.hint("merge")
+
+
 def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size)
 
@@ -374,11 +380,11 @@ def segment_cells(segs: DataFrame, size: float) -> DataFrame:
 
 
 def cell_hits(points: DataFrame, segs: DataFrame, size: float | None, log: str = "log_id") -> DataFrame:
-    """Point and segment pairs of neighbouring cells (of the whole log without ``size``), with their distance."""
+    """Point and segment pairs of neighbouring cells (of the whole log without ``size``), with their distance and, with a size, the point's cell."""
     if size is None:
-        return segment_distance(points.join(segs, log))
+        return segment_distance(points.join(grown(segs), log))
     at = points.withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)})
-    return segment_distance(at.join(segment_cells(segs, size), [log, "cx", "cy"]).drop("cx", "cy"))
+    return segment_distance(at.join(grown(segment_cells(segs, size)), [log, "cx", "cy"]))
 
 
 def nearest_lines(points: DataFrame, lines: DataFrame, cols: Sequence[str], targets: dict[str, Column], point: str, log: str,
@@ -405,13 +411,14 @@ def nearest_lines(points: DataFrame, lines: DataFrame, cols: Sequence[str], targ
     asked = [c for c in kept if c not in (log, point, "x", "y")]
     sizes = [cell * GROWTH ** k for k in range(LEVELS)] + [None]
     for size in sizes:
-        # points are spread by their id before they multiply: one small shuffle that the aggregates then reuse
-        hit = cell_hits(left.select(log, point, "x", "y", *asked).repartition(point), segs, size, log)
+        # a point lies in one cell, so that the aggregates need no shuffle of the pairs; a crowded cell is split as a skewed join
+        hit = cell_hits(left.select(log, point, "x", "y", *asked), segs, size, log)
+        home = [log] if size is None else [log, "cx", "cy"]
         key = _packed_order(_nano(F.col("d")), F.col("seg"), SEGMENTS)
-        per = hit.groupBy(log, point, *asked, "line", *cols).agg(F.min(key).alias("_k"), F.min_by("theta", key).alias("theta"))
+        per = hit.groupBy(*home, point, *asked, "line", *cols).agg(F.min(key).alias("_k"), F.min_by("theta", key).alias("theta"))
         per = per.withColumns({"q": F.shiftright("_k", SEGMENTS.bit_length() - 1), "seg": F.col("_k") % SEGMENTS})
-        found = per.groupBy(log, point).agg(*[F.min(F.when(cond, F.struct("q", F.col("line").cast("int").alias("line"), "seg", "theta", *cols))).cast(best_type).alias(f"_new_{t}")
-                                              for t, cond in targets.items()])
+        found = per.groupBy(*home, point).agg(*[F.min(F.when(cond, F.struct("q", F.col("line").cast("int").alias("line"), "seg", "theta", *cols))).cast(best_type).alias(f"_new_{t}")
+                                                for t, cond in targets.items()]).drop("cx", "cy")
         reach = F.lit(True) if size is None else None
         state = left.join(found, [log, point], "left")
         changed = {}
@@ -468,9 +475,9 @@ def polygon_cells(polygons: DataFrame, size: float, log: str = "log_id") -> Data
 def point_in_polygon(points: DataFrame, polygons: DataFrame, point: str = "point_id", log: str = "log_id", cell: float = 4 * CELL) -> DataFrame:
     """GEO-22: per point whether any polygon of its log contains it (even-odd rule); a point tests the edges of its cell's row only.
     Points of logs without polygons have no row."""
-    at = points.select(log, point, _cell(F.col("x"), cell).alias("cx"), _cell(F.col("y"), cell).alias("cy"), "x", "y").repartition(point)
-    hits = at.join(polygon_cells(polygons, cell, log), [log, "cx", "cy"]).groupBy(log, point, "feature_id").agg(F.count_if(crossing()).alias("n"))
-    found = hits.groupBy(log, point).agg(F.bool_or(F.col("n") % 2 == 1).alias("inside"))
+    at = points.select(log, point, _cell(F.col("x"), cell).alias("cx"), _cell(F.col("y"), cell).alias("cy"), "x", "y")
+    hits = at.join(grown(polygon_cells(polygons, cell, log)), [log, "cx", "cy"]).groupBy(log, "cx", "cy", point, "feature_id").agg(F.count_if(crossing()).alias("n"))
+    found = hits.groupBy(log, "cx", "cy", point).agg(F.bool_or(F.col("n") % 2 == 1).alias("inside")).drop("cx", "cy")
     mapped = points.select(log, point).join(polygons.where(F.size("pts") >= 3).select(log).distinct(), log, "left_semi")
     return mapped.join(found, [log, point], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
@@ -496,7 +503,7 @@ def map_lines(features: DataFrame, log: str = "log_id") -> DataFrame:
     lanes = features.where(two)
     centre = centerlines(lanes, left="pts", right="pts2", log=log).groupBy(log, "feature_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pts"))
-    return plain.unionByName(lanes.select(*keys).join(centre, [log, "feature_id"]).select(*keys, F.lit(0).alias("edge"), "pts"))
+    return plain.unionByName(lanes.select(*keys).join(grown(centre), [log, "feature_id"]).select(*keys, F.lit(0).alias("edge"), "pts"))
 
 
 def map_cues(points: DataFrame, features: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
@@ -514,7 +521,7 @@ def map_cues(points: DataFrame, features: DataFrame, point: str = "point_id", lo
         F.collect_set(F.when(cross, F.floor((F.col("theta") + math.pi) / width))).alias("_ways"))
     # a crosswalk segment counts as ahead if its heading is within a right angle; by sectors of headings, with a margin of one
     may = F.exists("_ways", lambda s: F.abs(angle_diff(s * width + width / 2 - math.pi, F.col("heading"))) < math.pi / 2 + width)
-    known = points.select(log, point, "x", "y", "heading").join(summary, log, "left").withColumns(
+    known = points.select(log, point, "x", "y", "heading").join(grown(summary), log, "left").withColumns(
         {"_may": F.coalesce(may, F.lit(False)), **{c: F.coalesce(c, F.lit(False)) for c in ("_lane", "_cross", "_inter")}})
     slim = known.select(log, point, "x", "y", "heading", *[F.col(c) for c in ("_may", "_lane", "_cross", "_inter")])
     targets = {"lane": lane, "cross": cross, "ahead": cross & (F.abs(angle_diff(F.col("theta"), F.col("heading"))) < math.pi / 2), "inter": inter}
@@ -525,7 +532,7 @@ def map_cues(points: DataFrame, features: DataFrame, point: str = "point_id", lo
     late = nearest_lines(rest, lines.where(inter), [], {"late": F.lit(True)}, point, log).select(log, point, F.col("late.q").alias("_late"))
     area = point_in_polygon(points, features.where("kind = 'drivable'"), point, log)
     mapped = features.select(log).distinct().withColumn("_mapped", F.lit(True))
-    out = best.join(late, [log, point], "left").join(area, [log, point], "left").join(mapped, log, "left")
+    out = best.join(grown(late), [log, point], "left").join(grown(area), [log, point], "left").join(mapped, log, "left")
     # without any map nothing is known
     drivable = F.when(F.col("_mapped"), F.coalesce(F.col("inside"), F.col("lane.q") / 1e9 < 3.5, F.lit(False)))
     return out.select(log, point, (F.col("lane.q") / 1e9).alias("map_lane_offset_m"), F.cos(F.col("heading") - F.col("lane.theta")).alias("map_lane_alignment_cos"),
