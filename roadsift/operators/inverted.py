@@ -3,7 +3,7 @@
 Cells are trained by rounds of mergeable sums (every round one pass that returns a sum and a count per cell), the corpus is written
 once, partitioned by cell, with an 8-bit form beside each vector, and a search reads the partitions of the cells it probes.  In a cell the
 8-bit scores choose the candidates, with the exact error of every vector as room, so that within the probed cells nothing is lost;
-candidates are scored exactly.
+candidates are scored exactly.  Queries are sent to groups of cells, once to a group and not once to each of its cells.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from roadsift.operators.similarity import BLOCK, _normalised, _rank
 
 CELLS = 1024   # at most, so that centres fit every task
 ROUNDS = 4
+GROUP = 4 * BLOCK   # rows of a group of cells at most, unless one cell holds more
+SLICE = 256         # queries that meet a group's rows at once
 
 
 def _unit_rows(corpus: DataFrame, vec: str) -> DataFrame:
@@ -97,40 +99,60 @@ class Lists:
         q = queries.select("query_id", F.col(vec).cast("array<double>").alias("_v"))
         qt, ct = q.schema["query_id"].dataType.simpleString(), self.read().schema["id"].dataType.simpleString()
 
+        places, subs = self._groups(sizes)
+
         def route(batches):
             for pdf in batches:
                 if not len(pdf):
                     continue
                 m = _normalised(pdf["_v"])
                 order = np.argsort(-(m @ centres.T), axis=1, kind="stable")
-                enough = (np.cumsum(sizes[order], axis=1) < k).sum(axis=1) + 1
-                yield pd.DataFrame({"query_id": pdf["query_id"], "_v": list(m), "cells": [o[:max(probes, e)] for o, e in zip(order, enough)]})
-
-        routed = stored(q.mapInPandas(route, f"query_id {qt}, _v array<double>, cells array<int>"), "routed-queries").withColumn("cell", F.explode("cells"))
-        wanted = [r[0] for r in routed.select("cell").distinct().collect()]  # at most CELLS numbers
-        rows = self.read().where(F.col("cell").isin(wanted))
-        chunks, subs = (F.pmod(F.xxhash64(c), F.lit(max(1, -(-n // BLOCK)))) for c, n in (("query_id", q.count()), ("id", int(sizes.max(initial=0)))))
-        asked = routed.groupBy("cell", chunks.alias("chunk")).agg(F.collect_list(F.struct("query_id", "_v")).alias("_q"))
-        blocks = rows.groupBy("cell", subs.alias("sub")).agg(F.collect_list(F.struct("id", "v", "small", "scale", "error")).alias("_c"))
+                enough = np.maximum((np.cumsum(sizes[order], axis=1) < k).sum(axis=1) + 1, probes)
+                probed = np.zeros(order.shape, bool)
+                np.put_along_axis(probed, order, np.arange(len(centres)) < enough[:, None], axis=1)
+                held = probed & (sizes > 0)
+                yield pd.DataFrame({"query_id": pdf["query_id"], "_v": list(m), "places": [np.unique(places[h]) for h in held], "probed": [np.packbits(p).tobytes() for p in probed]})
+
+        routed = stored(q.mapInPandas(route, f"query_id {qt}, _v array<double>, places array<int>, probed binary"), "routed-queries").withColumn("place", F.explode("places"))
+        wanted = [r[0] for r in routed.select("place").distinct().collect()]  # at most CELLS numbers
+        rows = self.read().where(F.col("cell").isin(np.flatnonzero(np.isin(places, wanted)).tolist())).withColumn("place", F.get(F.lit(places.tolist()), F.col("cell")))
+        chunk, sub = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-q.count() // BLOCK)))), F.pmod(F.xxhash64("id"), F.get(F.lit(subs.tolist()), F.col("place")))
+        asked = routed.groupBy("place", chunk.alias("chunk")).agg(F.collect_list(F.struct("query_id", "_v", "probed")).alias("_q"))
+        blocks = rows.groupBy("place", sub.alias("sub")).agg(F.collect_list(F.struct("id", "v", "small", "scale", "error", "cell")).alias("_c"))
 
         def block(batches):
             for pdf in batches:
                 for qs, cs in zip(pdf["_q"], pdf["_c"]):
-                    qm, cid = np.asarray([r["_v"] for r in qs]), np.asarray([r["id"] for r in cs])
+                    cid, cell = np.asarray([r["id"] for r in cs]), np.asarray([r["cell"] for r in cs])
                     scale, error = (np.asarray([r[c] for r in cs]) for c in ("scale", "error"))
-                    rough = (qm @ np.stack([np.frombuffer(r["small"], np.int8) for r in cs]).astype(np.float64).T) * scale
+                    small, exact = np.stack([np.frombuffer(r["small"], np.int8) for r in cs]).astype(np.float64).T, np.asarray([r["v"] for r in cs])
                     room = error + 1e-12  # unit queries: the rough score is off by the vector's error at most
-                    if len(cs) > k:
-                        floor = -np.partition(-(rough - room), k - 1, axis=1)[:, k - 1]
-                        a, b = np.nonzero(rough + room >= floor[:, None] - 1e-12)
-                    else:
-                        a, b = np.nonzero(np.isfinite(rough))
-                    exact = np.asarray([r["v"] for r in cs])
-                    yield pd.DataFrame({"query_id": np.asarray([r["query_id"] for r in qs])[a], "id": cid[b], "similarity": np.einsum("ij,ij->i", qm[a], exact[b])})
-
-        pairs = asked.join(blocks, "cell").select("_q", "_c")
+                    for at in range(0, len(qs), SLICE):
+                        part = qs[at:at + SLICE]
+                        qm, qid = np.asarray([r["_v"] for r in part]), np.asarray([r["query_id"] for r in part])
+                        probed = np.stack([np.unpackbits(np.frombuffer(r["probed"], np.uint8), count=len(centres)) for r in part]).astype(bool)[:, cell]
+                        rough = np.where(probed, (qm @ small) * scale, -np.inf)
+                        if len(cs) > k:
+                            floor = -np.partition(-(rough - room), k - 1, axis=1)[:, k - 1]
+                            a, b = np.nonzero(probed & (rough + room >= floor[:, None] - 1e-12))
+                        else:
+                            a, b = np.nonzero(np.isfinite(rough))
+                        yield pd.DataFrame({"query_id": qid[a], "id": cid[b], "similarity": np.einsum("ij,ij->i", qm[a], exact[b])})
+
+        # the queries sent are planned at the size of the routed table, whatever the number of groups it is exploded to: no broadcast
+        pairs = asked.hint("merge").join(blocks, "place").select("_q", "_c")
         return _rank(pairs.mapInPandas(block, f"query_id {qt}, id {ct}, similarity double"), k)
 
+    def _groups(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The group of every cell, and into how many blocks of rows each group is dealt.  Groups are at most ``GROUP`` rows and a cell
+        large, and no fewer than tasks where cells allow it."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        total = int(sizes.sum())
+        room = max(1, min(GROUP, -(-total // tasks)))
+        places = (np.cumsum(sizes) - sizes) // room
+        places = np.unique(places, return_inverse=True)[1].astype(np.int32)
+        return places, np.maximum(1, -(-np.bincount(places, weights=sizes).astype(np.int64) // (2 * GROUP)))
+
 
 def approx_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, cells: int | None = None, probes: int | None = None, vec: str = "embedding") -> DataFrame:
     """RET-05: ``k`` similar rows of every query from inverted lists made for this corpus; by default half of the cells are probed, ``probes``
