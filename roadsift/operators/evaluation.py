@@ -117,7 +117,7 @@ def label_overlap(windows: DataFrame, gt: DataFrame) -> DataFrame:
 def discovery_stats(labelled: DataFrame, score: str = "score") -> DataFrame:
     """EVL-08: count, mean and median score of detections with and without ground truth."""
     base = labelled.groupBy("is_gt").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))
-    return base.join(group_medians(labelled, ["is_gt"], score), "is_gt", "left")
+    return base.join(group_medians(labelled, ["is_gt"], score, fixed=True), "is_gt", "left")
 
 
 def nearest_in_time(queries: DataFrame, points: DataFrame, q: str, p: str, cols: list[str], log: str = "log_id") -> DataFrame:
@@ -146,7 +146,7 @@ def temporal_quality(gt: DataFrame, windows: DataFrame) -> DataFrame:
 def temporal_summary(quality: DataFrame) -> DataFrame:
     """EVL-09: medians of latency and IoU and the mean fragmentation, one row."""
     long = quality.select(F.explode(F.create_map(F.lit("latency"), F.col("latency_s"), F.lit("iou"), F.col("iou"))).alias("metric", "v"))
-    med = group_medians(long, ["metric"], "v", "value").select(F.concat(F.lit("median_"), "metric").alias("metric"), "value")
+    med = group_medians(long, ["metric"], "v", "value", fixed=True).select(F.concat(F.lit("median_"), "metric").alias("metric"), "value")
     return med.unionByName(tall(quality.agg(F.avg("frag").alias("mean_fragmentation"))))
 
 

@@ -49,7 +49,7 @@ def _column_stats(df: DataFrame, cols: Sequence[str], value: str) -> Column:
     """Medians of several columns as one struct-valued scalar subquery."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value"))
                                          for c in cols])).alias("r")).select("r.*")
-    q = group_quantiles(long, ["field"], "value", [0.5], value)
+    q = group_quantiles(long, ["field"], "value", [0.5], value, fixed=True)
     return q.agg(F.struct(*[F.max(F.when(F.col("field") == c, F.col(value))).alias(c) for c in cols]).alias("s")).scalar()
 
 
@@ -229,8 +229,8 @@ def fold_of(key: Column, k: int = 5, seed: int = 1337) -> Column:
 def calibrate_tau(positives: DataFrame, score: str = "score", recall: float = 0.9, k: int = 5, seed: int = 1337) -> DataFrame:
     """PU-16: per fold of logs the nearest-rank (1 - recall) quantile of the positive scores and its recall."""
     folds = positives.withColumn("fold", fold_of(F.col("log_id"), k, seed))
-    tau = group_quantiles(folds, ["fold"], score, [1.0 - recall], "tau", nearest=True).select("fold", "tau")
-    mid = group_quantiles(folds, ["fold"], score, [0.5], "pos_median").select("fold", "pos_median")
+    tau = group_quantiles(folds, ["fold"], score, [1.0 - recall], "tau", nearest=True, fixed=True).select("fold", "tau")
+    mid = group_quantiles(folds, ["fold"], score, [0.5], "pos_median", fixed=True).select("fold", "pos_median")
     stats = folds.join(F.broadcast(tau), "fold").groupBy("fold", "tau").agg(  # one row per fold
         F.count(F.lit(1)).alias("n_pos"), F.avg((F.col(score) >= F.col("tau")).cast("double")).alias("recall_at_tau"),
         F.min(score).alias("pos_min"), F.max(score).alias("pos_max"))
@@ -267,7 +267,7 @@ def tier_summary(tiered: DataFrame, score: str = "score") -> DataFrame:
     """PU-19: count, minimum, median and maximum score of each tier."""
     base = tiered.groupBy("conf_level").agg(F.count(F.lit(1)).alias("n_windows"), F.min(score).alias("score_min"),
                                            F.max(score).alias("score_max"))
-    return base.join(group_quantiles(tiered, ["conf_level"], score, [0.5], "score_median")
+    return base.join(group_quantiles(tiered, ["conf_level"], score, [0.5], "score_median", fixed=True)
                      .select("conf_level", "score_median"), "conf_level")
 
 

@@ -157,7 +157,7 @@ def global_percentiles(windows: DataFrame, levels: Sequence[float] = GLOBAL_LEVE
     once = windows.dropDuplicates(["log_id", "i_start", "i_end"])
     long = once.select(F.explode(F.create_map(F.lit("a_min"), F.col("a_min_ms2"), F.lit("j_min"), F.col("j_min_ms3")))
                        .alias("metric", "value"))
-    q = group_quantiles(long, ["metric"], "value", [x / 100.0 for x in levels], "value")
+    q = group_quantiles(long, ["metric"], "value", [x / 100.0 for x in levels], "value", fixed=True)
     return q.select("metric", (F.col("p") * 100).alias("pct"), "n", "value")
 
 
