@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadsift.functions.durable import stored
 from roadsift.functions.intervals import overlap_join  # noqa: F401  (re-exported for callers)
 from roadsift.functions.keys import window_key
 from roadsift.functions.ordered import chunk_window, fill_edges, own_rows, row_index, running_sum, with_halo
@@ -241,7 +242,8 @@ def detect_windows(series: DataFrame, a_min: float | str = PRIMARY["a_min"], j_m
 
     Filtering and recording share one pass over the samples of each segment.
     """
-    series = brake_mask(kinematics(series, v, key=key), a_min, j_min, mode, key)
+    # percentiles, segments and their samples read the series several times
+    series = stored(brake_mask(stored(kinematics(series, v, key=key), "kinematics"), a_min, j_min, mode, key), "brake-mask")
     segs = merge_segments(segments(series, key=key), max_gap_s, min_dur_s, key)
     seen = samples_in(segs, series, [v, "mask_and", "a", "j"], key)
     stats = seen.groupBy(key, "s", "e", "t_s0", "t_s1").agg(
