@@ -19,10 +19,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ from roadsift.llm.packing import Ids
 from roadsift.llm.text import UNITS, slices, unit_hashes, utf8
 
 PART = 1 << 20
+HELD = 1 << 22  # links that are counted at once, 8 bytes each
 CUT = re.compile(r"(?<=\S) ")
 ZSTD = pa.Codec("zstd", 1)
 BLANK = "▁"  # fixed value: stands for a blank in the second vocabulary
@@ -228,14 +231,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     """``pair`` (both ids in one number), its links ``n`` and whether no pair with the same second id has more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for links in batch.column("links"):
-                new, times = np.unique(unpacked_links(links.as_py()), return_counts=True)
-                pairs, n = np.concatenate([pairs, new]), np.concatenate([n, times])
-                if len(pairs) > 1 << 20:
-                    pairs, n = _added(pairs, n)
-        pairs, n = _added(pairs, n)
+        pairs, n = counted(unpacked_links(links.as_py()) for batch in batches for links in batch.column("links"))
         yield pa.record_batch({"pair": pa.array(pairs.view(np.int64)), "n": pa.array(n)})
 
     counts = rows.select("links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -244,6 +240,20 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return counts.join(best, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+def counted(links: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs and their links.  Texts wait until there are ``HELD`` links, so that what is counted isn't copied again for each text."""
+    pairs, n, waiting, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    for new in chain(links, [None]):
+        if new is not None:
+            waiting.append(new)
+            held += len(new)
+        if held and (new is None or held >= HELD):
+            times = pc.value_counts(pa.array(np.concatenate(waiting)))
+            pairs, n = _added(np.append(pairs, times.field("values").to_numpy()), np.append(n, times.field("counts").to_numpy()))
+            waiting, held = [], 0
+    return pairs, n
+
+
 def _added(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new, back = np.unique(pairs, return_inverse=True)
     total = np.zeros(len(new), np.int64)

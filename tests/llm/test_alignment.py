@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,16 @@ def test_parts_are_encoded_as_the_whole(monkeypatch):
 
 def test_empty_table(spark):
     assert alignment.alignment(spark.createDataFrame([], SCHEMA), *FILES).count() == 0
+
+
+def test_counting_copies_no_counted_pair_for_each_text(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 4000, 300).astype(np.uint64) for _ in range(500)] + [np.zeros(0, np.uint64)]
+    copied, join = [], np.concatenate
+    monkeypatch.setattr(alignment.np, "concatenate", lambda parts, *a, **b: copied.append(sum(map(len, parts))) or join(parts, *a, **b))
+    monkeypatch.setattr(alignment, "HELD", 1 << 14)
+    pairs, n = alignment.counted(iter(texts))
+    want = Counter(x for t in texts for x in t.tolist())
+    assert dict(zip(pairs.tolist(), n.tolist())) == want and len(pairs) == len(want)
+    assert sum(copied) < 2 * 500 * 300  # an append for each text copied over 4000 for each
+    assert [len(x) for x in alignment.counted(iter([]))] == [0, 0]
