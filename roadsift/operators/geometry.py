@@ -7,8 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from roadsift.functions.durable import pinned
+from roadsift.functions import mapscan
+from roadsift.functions.durable import stored
 from roadsift.functions.intervals import near_join
 
 # Published tagging configuration.
@@ -341,7 +344,12 @@ def segment_distance(df: DataFrame, out: str = "d") -> DataFrame:
 
 
 SEGMENTS = 1 << 14   # segments of one line that fit the packed order, with distances up to 281 km; beyond that it raises
-CELL, GROWTH, LEVELS = 8.0, 4, 4   # metres of the finest cells, and how they grow until a search takes in the whole map
+CELL = 8.0   # metres of the finest cells
+LEVELS = ((128.0, 32.0), (2048.0, 512.0))   # metres of the tiles of a large map, and how far their lines may be away, before a search takes in the whole map
+FAR = 512.0   # a line of unknown place counts, as a null does, where no other is within this distance
+WHOLE, CROWD = 2048, 1 << 18   # segments of a map that is searched whole, points of a tile before it is split
+RINGS, MAPPED = 1 << 40, 1 << 41   # bits of logs that have polygons, or anything
+SECTORS = 32
 
 
 def numbered_lines(lines: DataFrame, log: str = "log_id") -> DataFrame:
@@ -360,22 +368,24 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size)
 
 
-def segment_cells(segs: DataFrame, size: float) -> DataFrame:
-    """Each segment once per cell (cx, cy) from which a point may lie within ``size`` of it.
+def segment_cells(segs: DataFrame, size: float, reach: float | None = None) -> DataFrame:
+    """Each segment once per cell (cx, cy) from which a point may lie within ``reach`` (``size`` if not given) of it.
+
+    Column by column: the stretch of the segment that is at most ``reach`` away, and the rows up to ``reach`` above and below it."""
+    reach = size if reach is None else reach
 
-    Column by column: the stretch of the segment that is at most one column away, and the rows up to one above and below it."""
     def y_at(x: Column) -> Column:
         share = F.when(F.abs("ux") > 1e-12, (x - F.col("sx")) / F.col("ux"))
         return F.col("sy") + F.col("uy") * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
 
     def rows(c: Column) -> Column:
-        a, b = y_at((c - 1) * size), y_at((c + 2) * size)
+        a, b = y_at(c * size - reach), y_at((c + 1) * size + reach)
         steep = F.abs("ux") <= 1e-12
         lo = F.when(steep, F.least("sy", F.col("sy") + F.col("uy"))).otherwise(F.least(a, b))
         hi = F.when(steep, F.greatest("sy", F.col("sy") + F.col("uy"))).otherwise(F.greatest(a, b))
-        return F.transform(F.sequence(_cell(lo, size) - 1, _cell(hi, size) + 1), lambda r: F.struct(c.alias("cx"), r.alias("cy")))
+        return F.transform(F.sequence(_cell(lo - reach, size), _cell(hi + reach, size)), lambda r: F.struct(c.alias("cx"), r.alias("cy")))
     ends = F.least("sx", F.col("sx") + F.col("ux")), F.greatest("sx", F.col("sx") + F.col("ux"))
-    cells = F.flatten(F.transform(F.sequence(_cell(ends[0], size) - 1, _cell(ends[1], size) + 1), rows))
+    cells = F.flatten(F.transform(F.sequence(_cell(ends[0] - reach, size), _cell(ends[1] + reach, size)), rows))
     return segs.withColumn("_c", F.explode(cells)).select(*segs.columns, "_c.*")
 
 
@@ -387,64 +397,160 @@ def cell_hits(points: DataFrame, segs: DataFrame, size: float | None, log: str =
     return segment_distance(at.join(grown(segment_cells(segs, size)), [log, "cx", "cy"]))
 
 
-def nearest_lines(points: DataFrame, lines: DataFrame, cols: Sequence[str], targets: dict[str, Column], point: str, log: str,
-                  open_first: dict[str, Column] | None = None, cell: float = CELL) -> DataFrame:
+def heading_sectors(lines: DataFrame, log: str = "log_id") -> DataFrame:
+    """Per log the sectors of headings that its segments have, as bits of ``ways``."""
+    sector = F.floor((F.col("theta") + math.pi) / (2 * math.pi / SECTORS)).cast("int")
+    return line_segments(lines.select(log, "pts")).select(log, sector.alias("_s")).groupBy(log).agg(F.bit_or(F.expr("shiftleft(1L, _s)")).alias("ways"))
+
+
+def some_ahead(ways: Column, heading: Column) -> Column:
+    """Whether a heading is within a right angle of any of a log's sectors, with a margin of one sector."""
+    width = 2 * math.pi / SECTORS
+    near = F.exists(F.sequence(F.lit(0), F.lit(SECTORS)), lambda s: (F.call_function("getbit", ways, s) == 1) & (
+        F.abs(angle_diff(s * width + width / 2 - math.pi, heading)) < math.pi / 2 + width))
+    return F.coalesce(near, F.lit(False))
+
+
+def nearest_lines(points: DataFrame, lines: DataFrame, targets: dict[str, Column], point: str, log: str, cols: Sequence[str] = (), directed: Sequence[str] = (),
+                  instead: dict[str, str] | None = None, polygons: DataFrame | None = None, mapped: DataFrame | None = None, whole: int = WHOLE) -> DataFrame:
     """For each point and target the nearest line of its log that meets the target: a struct of ``q`` (nanometres), ``line``, ``seg``,
     ``theta`` and ``cols``; null where the log has none.
 
-    A target is a condition on a line (its ``cols``, the heading ``theta`` of its segment nearest to the point) and on the point's columns.
-    The search runs ring after ring: segments are registered in the cells around them, a point meets those of its own cell, which are all
-    within one cell's size of it, and is done with a target once the best line is no farther than that.  What is left goes on
-    with cells ``GROWTH`` times as large, and after ``LEVELS`` of them meets its log's whole map.  ``open_first`` names the targets that
-    a point's log can't meet at all by a condition on the point's columns, so that it doesn't look for them.
-    """
-    segs = line_segments(lines.select(log, "line", "pts", *cols))
-    kept = points.columns
-    best_type = "struct<" + ", ".join(["q: bigint", "line: int", "seg: bigint", "theta: double", *[f"{c}: {lines.schema[c].dataType.simpleString()}" for c in cols]]) + ">"
-    left = points.withColumns({f"_open_{t}": (open_first or {}).get(t, F.lit(True)) for t in targets} | {f"_best_{t}": F.lit(None).cast(best_type) for t in targets})
-    is_open = [F.col(f"_open_{t}") for t in targets]
-    some_open = is_open[0]
-    for c in is_open[1:]:
-        some_open = some_open | c
-    out = left.where(~some_open).select(*kept, *[F.col(f"_best_{t}").alias(t) for t in targets])
-    left = left.where(some_open)
-    asked = [c for c in kept if c not in (log, point, "x", "y")]
-    sizes = [cell * GROWTH ** k for k in range(LEVELS)] + [None]
-    for size in sizes:
-        # a point lies in one cell, so that the aggregates need no shuffle of the pairs; a crowded cell is split as a skewed join
-        hit = cell_hits(left.select(log, point, "x", "y", *asked), segs, size, log)
-        home = [log] if size is None else [log, "cx", "cy"]
-        key = _packed_order(_nano(F.col("d")), F.col("seg"), SEGMENTS)
-        per = hit.groupBy(*home, point, *asked, "line", *cols).agg(F.min(key).alias("_k"), F.min_by("theta", key).alias("theta"))
-        per = per.withColumns({"q": F.shiftright("_k", SEGMENTS.bit_length() - 1), "seg": F.col("_k") % SEGMENTS})
-        found = per.groupBy(*home, point).agg(*[F.min(F.when(cond, F.struct("q", F.col("line").cast("int").alias("line"), "seg", "theta", *cols))).cast(best_type).alias(f"_new_{t}")
-                                                for t, cond in targets.items()]).drop("cx", "cy")
-        reach = F.lit(True) if size is None else None
-        state = left.join(found, [log, point], "left")
-        changed = {}
+    A target is a condition on a line.  For a ``directed`` one the line's segment nearest to the point must also head within a right angle of the
+    point's ``heading``.  A log whose map has at most ``whole`` segments is searched whole: its lines and then its points pass a task once, so
+    that no pair of them becomes a row.  In a larger log segments are registered in the tiles they reach, and a point is done once its
+    lines are no farther than that; what is left goes on with larger tiles and then with the whole map.  What a log can't give at all is not looked for
+    there, nor is a target of ``instead`` while the one that it stands in for may be found.  A crowded tile is split.
+
+    Besides, ``_bits`` has what the log has (``MAPPED`` for any row of ``mapped``, ``RINGS`` for polygons), ``_ways`` its sectors of headings towards directed
+    targets, ``_inside`` whether a polygon contains the point, and ``_n`` how often a point's id comes where the point is."""
+    bit = {t: 1 << i for i, t in enumerate(targets)}
+    mask = F.lit(0)
+    for t, cond in targets.items():
+        mask = mask.bitwiseOR(F.when(cond, bit[t]).otherwise(0))
+    known = F.col(log).isNotNull()
+    named = [F.struct(*cols).alias("cols")] if cols else []
+    lines = stored(lines.where(known).select(log, F.col("line").cast("bigint").alias("line"), "pts", mask.cast("bigint").alias("bits"), *named), "map-lines")
+    facts = lines.select(log, "bits", (F.size("pts") - 1).alias("n"))
+    rings = None
+    if polygons is not None:
+        shape = polygons.where(known & (F.size("pts") >= 3)).select(log, "feature_id", "pts")
+        rings = stored(shape.withColumn("line", F.dense_rank().over(Window.partitionBy(log).orderBy("feature_id")).cast("bigint")), "map-rings")
+        facts = facts.unionByName(rings.select(log, F.lit(RINGS).alias("bits"), F.size("pts").alias("n")))
+    if mapped is not None:
+        facts = facts.unionByName(mapped.where(known).select(log, F.lit(MAPPED).alias("bits"), F.lit(0).alias("n")))
+    facts = facts.groupBy(log).agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
+    ahead = sum(bit[t] for t in directed)
+    ways = heading_sectors(lines.where(F.col("bits").bitwiseAND(F.lit(ahead)) != 0), log) if directed else lines.select(log, F.lit(0).cast("bigint").alias("ways")).limit(0)
+    facts = stored(facts.join(grown(ways), log, "left").na.fill(0, ["ways"]), "map-logs")
+    large = facts.where(F.col("n") > whole)
+    some_large = not large.isEmpty()
+
+    kept, own = points.columns, [c for c in points.columns if c not in (log, point, "x", "y")]
+    heading = F.col("heading") if "heading" in own else F.lit(None)
+    best = T.StructType([T.StructField("q", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("seg", T.LongType()), T.StructField("theta", T.DoubleType()),
+                         *([T.StructField("cols", lines.schema["cols"].dataType)] if cols else [])])
+    plain = points.where(known).select(F.col(log).alias("log"), F.col(point).alias("point"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"),
+                                       heading.cast("double").alias("heading"), F.struct(*own, F.lit(0).alias("_")).alias("own"))
+    start = {"bits": F.lit(0).cast("bigint"), "ways": F.lit(0).cast("bigint"), "inside": F.lit(None).cast("boolean")}
+    row_type = T.StructType([f for f in plain.schema if f.name != "heading"] + [T.StructField("n", T.LongType())] + [
+        T.StructField("bits", T.LongType()), T.StructField("ways", T.LongType()), T.StructField("inside", T.BooleanType())])
+    for t in targets:
+        row_type = row_type.add(t, best)
+
+    def passed(rows: DataFrame, pieces: DataFrame, reach: float | None) -> DataFrame:
+        """The points ``rows`` after the pieces of their keys."""
+        key = ["log", "cx", "cy"]
+        many = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("_parts")).where("_parts > 1")
+        spread = F.coalesce("_parts", F.lit(1))
+        rows = rows.join(F.broadcast(many), key, "left").withColumn("part", F.pmod(F.xxhash64("point"), spread).cast("int")).drop("_parts").withColumn("kind", F.lit(mapscan.POINT))
+        pieces = pieces.join(F.broadcast(many), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1))).drop("_parts")
+        stream = rows.unionByName(pieces, allowMissingColumns=True)
+        order = [*mapscan.KEY, "kind", "point", "line", "seg"]
+        # ids that repeat where the point is; the rows are sorted once, for this count and for the scan
+        stream = stream.repartition(*mapscan.KEY).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*order))).sortWithinPartitions(*order)
+        work = mapscan.scanner([(t, bit[t], t in directed) for t in targets], None if reach is None else int(reach * 1e9 * (1 - 1e-9)), int(FAR * 1e9 * (1 - 1e-9)), SEGMENTS,
+                               ["log", "point", "x", "y", "own", "n"], to_arrow_schema(row_type), RINGS)
+        return stream.mapInArrow(work, row_type)
+
+    def pieces_of(size: float | None, reach: float | None, few: DataFrame, how: str, first: bool) -> DataFrame:
+        """Lines, polygons and facts of the logs in ``few`` (or not in it) as rows; by tile with a ``size``."""
+        def some(df):
+            return df.join(F.broadcast(few.select(log)), log, how) if some_large else df
+        shown = ["kind", "log", "cx", "cy", "line", "seg", "pts", "bits"]
+        at = {"log": F.col(log), "seg": F.lit(0).cast("bigint")} | ({} if size is not None else {"cx": F.lit(0).cast("bigint"), "cy": F.lit(0).cast("bigint")})
+
+        def pair(*names):
+            return F.array(*[F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in names])
+        if size is None:
+            both = some(lines).withColumns(at | {"kind": F.lit(mapscan.LINE)}).withColumn("pts", F.transform("pts", _xy)).select(*shown, *[c for c in ("cols",) if cols])
+            info = some(facts).withColumns(at | {"kind": F.lit(mapscan.INFO)}).select("kind", "log", "cx", "cy", "bits", "ways")
+            both = both.unionByName(info, allowMissingColumns=True)
+            if rings is not None and first:
+                closed = F.concat(F.slice("pts", -1, 1), "pts")
+                both = both.unionByName(some(rings).withColumns(at | {"kind": F.lit(mapscan.RING), "bits": F.lit(0).cast("bigint"), "pts": F.transform(closed, _xy)}).select(*shown), allowMissingColumns=True)
+            return both
+        segs = segment_cells(line_segments(some(lines)).withColumns({"x1": F.col("sx") + F.col("ux"), "y1": F.col("sy") + F.col("uy")}), size, reach)
+        both = segs.withColumns({"log": F.col(log), "kind": F.lit(mapscan.LINE), "pts": pair(("sx", "sy"), ("x1", "y1")), "seg": F.col("seg").cast("bigint")}).select(*shown, *[c for c in ("cols",) if cols])
+        if rings is not None and first:
+            edges = polygon_cells(some(rings).withColumn("feature_id", F.col("line")), size, log).withColumnRenamed("feature_id", "line")
+            edges = edges.withColumns(at | {"kind": F.lit(mapscan.RING), "bits": F.lit(0).cast("bigint"), "pts": pair(("x0", "y0"), ("x1", "y1"))}).select(*shown)
+            both = both.unionByName(edges, allowMissingColumns=True)
+        return both
+
+    here = {"cx": F.lit(0).cast("bigint"), "cy": F.lit(0).cast("bigint")}
+    names = {"log": log, "point": point}
+
+    def given(rows: DataFrame) -> DataFrame:
+        facts_of = {"_bits": F.col("bits"), "_ways": F.col("ways"), "_inside": F.col("inside"), "_n": F.col("n")}
+        return rows.select(*[F.col(a).alias(b) for a, b in names.items()], "x", "y", *[F.col(f"own.{c}") for c in own], *targets, *[v.alias(k) for k, v in facts_of.items()]).select(
+            *kept, *targets, *facts_of)
+    few = F.broadcast(large.select(F.col(log).alias("log"), F.col("bits").alias("bits"), F.col("ways").alias("ways")))
+    small = plain.join(few, "log", "left_anti") if some_large else plain
+    out = given(passed(small.withColumns(start | here), pieces_of(None, None, large, "left_anti", True), None))
+    # points without a log
+    nothing = {t: F.lit(None).cast(best) for t in targets} | {"_bits": F.lit(0).cast("bigint"), "_ways": F.lit(0).cast("bigint"), "_inside": F.lit(None).cast("boolean"), "_n": F.lit(1).cast("bigint")}
+    out = out.unionByName(points.where(~known).withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")} | nothing).select(*out.columns))
+    if not some_large:
+        return out
+    left = plain.join(few, "log").withColumn("inside", F.lit(None).cast("boolean"))
+    wanted = F.col("bits").bitwiseAND(F.lit(sum(bit.values())))
+    if directed:
+        may = some_ahead(F.col("ways"), F.col("heading"))
+        blind = F.when(may, sum(bit[t] for t, main in (instead or {}).items() if main in directed)).otherwise(ahead)
+        wanted = wanted.bitwiseAND(F.bitwise_not(blind.cast("bigint")))
+    left = left.withColumns({"open": wanted} | {f"_best_{t}": F.lit(None).cast(best) for t in targets})
+    for i, (size, reach) in enumerate([*LEVELS, (None, None)]):
+        cell = here if size is None else {c: F.coalesce(_cell(F.col(v), size), F.lit(0)) for c, v in (("cx", "x"), ("cy", "y"))}
+        carried = F.struct("own", "heading", "open", *[f"_best_{t}" for t in targets]).alias("own")
+        rows = left.withColumns(cell).select("log", "point", "x", "y", "heading", "bits", "ways", "inside", "cx", "cy", carried)
+        outer, row_type = row_type, T.StructType([T.StructField(f.name, rows.schema["own"].dataType if f.name == "own" else f.dataType) for f in row_type])
+        rows = passed(rows, pieces_of(size, reach, large, "left_semi", i == 0), reach)
+        row_type = outer
+        got = F.col("own.open")
         for t in targets:
-            new = F.col(f"_new_{t}")
-            sure = F.col(f"_open_{t}") & (reach if reach is not None else F.coalesce(new["q"] <= F.lit(int(size * 1e9 * (1 - 1e-9))), F.lit(False)))
-            changed[f"_best_{t}"] = F.when(sure, new).otherwise(F.col(f"_best_{t}"))
-            changed[f"_open_{t}"] = F.col(f"_open_{t}") & ~sure
-        state = state.withColumns(changed).drop(*[f"_new_{t}" for t in targets])
-        if size is not None:
-            state = pinned(state)
-        done = state if size is None else state.where(~some_open)
-        out = out.unionByName(done.select(*kept, *[F.col(f"_best_{t}").alias(t) for t in targets]))
-        if size is not None:
-            left = state.where(some_open)
-            if left.isEmpty():
-                break
-    return out
+            got = got.bitwiseAND(F.bitwise_not(F.when(F.col(t).isNotNull(), bit[t]).otherwise(0).cast("bigint")))
+        state = rows.select("log", "point", "x", "y", "n", "bits", "ways", "inside", F.col("own.own").alias("own"), F.col("own.heading").alias("heading"), got.alias("open"),
+                            *[F.coalesce(F.col(t), F.col(f"own._best_{t}")).alias(t) for t in targets])
+        if size is None:
+            return out.unionByName(given(state))
+        state = stored(state, "map-points")
+        out = out.unionByName(given(state.where("open = 0")))
+        left = state.where("open <> 0").drop("n").withColumnsRenamed({t: f"_best_{t}" for t in targets})
+        if left.isEmpty():
+            return out
+
+
+def _xy(p: Column) -> Column:
+    return F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))
 
 
 def nearest_on_polyline(points: DataFrame, lines: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
     """GEO-21: per point the nearest polyline of its log with distance, segment index and segment heading; equal distances go to the
     smaller feature id.  Points of logs without lines have no row."""
     mapped = points.join(lines.where(F.size("pts") >= 2).select(log).distinct(), log, "left_semi")
-    best = nearest_lines(mapped.select(log, point, "x", "y"), numbered_lines(lines, log), ["feature_id"], {"b": F.lit(True)}, point, log)
-    return best.select(log, point, (F.col("b.q") / 1e9).alias("d"), "b.feature_id", "b.seg", "b.theta")
+    best = nearest_lines(mapped.select(log, point, "x", "y"), numbered_lines(lines, log), {"b": F.lit(True)}, point, log, ["feature_id"])
+    return best.select(log, point, (F.col("b.q") / 1e9).alias("d"), "b.cols.feature_id", "b.seg", "b.theta")
 
 
 def ring_edges(polygons: DataFrame, pts: str = "pts") -> DataFrame:
@@ -487,9 +593,6 @@ def angle_diff(a: Column, b: Column) -> Column:
     return F.pmod(a - b + math.pi, F.lit(2 * math.pi)) - math.pi
 
 
-SECTORS = 32
-
-
 def map_lines(features: DataFrame, log: str = "log_id") -> DataFrame:
     """The lines that cues are measured to: a lane's centre line where it has two boundaries (``pts`` and ``pts2``), else its one line; both
     edges of a crosswalk."""
@@ -509,34 +612,23 @@ def map_lines(features: DataFrame, log: str = "log_id") -> DataFrame:
 def map_cues(points: DataFrame, features: DataFrame, point: str = "point_id", log: str = "log_id") -> DataFrame:
     """GEO-23: five map cues per point from the lanes, crosswalk edges and drivable areas of its log.
 
-    ``features`` has kind (lane / crosswalk / drivable), is_intersection, pts and, where a feature has two sides, pts2.  Lines are found
-    through ``nearest_lines``; a small summary of each log says which cues it can give at all.
+    ``features`` has kind (lane / crosswalk / drivable), is_intersection, pts and, where a feature has two sides, pts2.  Lines and
+    areas are found through ``nearest_lines``, in one pass over the points.
     """
     lines = numbered_lines(map_lines(features, log), log)
     lane, cross = F.col("kind") == "lane", F.col("kind") == "crosswalk"
-    inter = lane & F.col("is_intersection")
-    width = 2 * math.pi / SECTORS
-    summary = line_segments(lines.select(log, "kind", "is_intersection", "pts")).groupBy(log).agg(
-        F.bool_or(lane).alias("_lane"), F.bool_or(cross).alias("_cross"), F.bool_or(inter).alias("_inter"),
-        F.collect_set(F.when(cross, F.floor((F.col("theta") + math.pi) / width))).alias("_ways"))
-    # a crosswalk segment counts as ahead if its heading is within a right angle; by sectors of headings, with a margin of one
-    may = F.exists("_ways", lambda s: F.abs(angle_diff(s * width + width / 2 - math.pi, F.col("heading"))) < math.pi / 2 + width)
-    known = points.select(log, point, "x", "y", "heading").join(grown(summary), log, "left").withColumns(
-        {"_may": F.coalesce(may, F.lit(False)), **{c: F.coalesce(c, F.lit(False)) for c in ("_lane", "_cross", "_inter")}})
-    slim = known.select(log, point, "x", "y", "heading", *[F.col(c) for c in ("_may", "_lane", "_cross", "_inter")])
-    targets = {"lane": lane, "cross": cross, "ahead": cross & (F.abs(angle_diff(F.col("theta"), F.col("heading"))) < math.pi / 2), "inter": inter}
-    wanted = {"lane": F.col("_lane"), "cross": F.col("_cross"), "ahead": F.col("_may"), "inter": F.col("_inter") & ~F.col("_may")}
-    best = nearest_lines(slim, lines, ["kind", "is_intersection"], targets, point, log, wanted)
-    # no crosswalk ahead after all: the nearest intersection counts instead
-    rest = best.where(F.col("_may") & F.col("ahead").isNull() & F.col("_inter")).select(log, point, "x", "y")
-    late = nearest_lines(rest, lines.where(inter), [], {"late": F.lit(True)}, point, log).select(log, point, F.col("late.q").alias("_late"))
-    area = point_in_polygon(points, features.where("kind = 'drivable'"), point, log)
-    mapped = features.select(log).distinct().withColumn("_mapped", F.lit(True))
-    out = best.join(grown(late), [log, point], "left").join(grown(area), [log, point], "left").join(mapped, log, "left")
+    targets = {"lane": lane, "cross": cross, "ahead": cross, "inter": lane & F.col("is_intersection")}
+    best = nearest_lines(points.select(log, point, "x", "y", "heading"), lines, targets, point, log, directed=["ahead"], instead={"inter": "ahead"},
+                         polygons=features.where("kind = 'drivable'"), mapped=features.select(log))
+    has = lambda bit: F.col("_bits").bitwiseAND(F.lit(bit)) != 0
+    # an id that repeats meets itself once more for its polygons, and once more where no crosswalk is ahead after all
+    twice = has(RINGS).cast("int") + (has(1 << 3) & F.col("ahead").isNull() & some_ahead(F.col("_ways"), F.col("heading"))).cast("int")
+    times = F.when(F.col(point).isNotNull() & (F.col("_n") > 1), F.pow("_n", twice).cast("int")).otherwise(1)
+    out = best.withColumn("_t", F.explode(F.array_repeat(F.lit(0), times)))
     # without any map nothing is known
-    drivable = F.when(F.col("_mapped"), F.coalesce(F.col("inside"), F.col("lane.q") / 1e9 < 3.5, F.lit(False)))
+    drivable = F.when(has(MAPPED), F.coalesce(F.col("_inside"), F.col("lane.q") / 1e9 < 3.5, F.lit(False)))
     return out.select(log, point, (F.col("lane.q") / 1e9).alias("map_lane_offset_m"), F.cos(F.col("heading") - F.col("lane.theta")).alias("map_lane_alignment_cos"),
-                      (F.coalesce("ahead.q", "inter.q", "_late") / 1e9).alias("dist_to_stopline_m"), (F.col("cross.q") / 1e9).alias("dist_to_crosswalk_m"),
+                      (F.coalesce("ahead.q", "inter.q") / 1e9).alias("dist_to_stopline_m"), (F.col("cross.q") / 1e9).alias("dist_to_crosswalk_m"),
                       drivable.cast("double").alias("in_drivable_area"))
 
 
